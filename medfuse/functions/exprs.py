@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType, NumericType
 DOUBLE_MAX = 1.7976931348623157e308
 DOUBLE_EPS = 2.220446049250313e-16
 ROUND_HALF = 0.5 - 2.0 ** -20
+ROUND_LIMIT = 1e12   # larger magnitudes (and NaN, +-inf) are passed through unrounded
 
 
 def col_of(c) -> Column:
@@ -59,9 +60,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             scale = F.lit(float(10 ** digits))
-            out.append((F.floor(F.col(f"`{f.name}`").cast("double") * scale + F.lit(ROUND_HALF)) / scale
-                        + F.lit(0.0))
-                       .alias(f.name))
+            x = F.col(f"`{f.name}`").cast("double")
+            out.append(F.when(F.abs(x) < ROUND_LIMIT, F.floor(x * scale + F.lit(ROUND_HALF)) / scale + F.lit(0.0))
+                        .otherwise(x + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

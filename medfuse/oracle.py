@@ -21,7 +21,13 @@ def lit(v: float) -> str:
 
 
 def rnd(expr: str, alias: str) -> str:
-    return f"floor(CAST({expr} AS DOUBLE) * 1e{DIGITS} + {HALF!r}) / 1e{DIGITS} + 0.0 AS \"{alias}\""
+    return f"{rnd_expr(expr)} AS \"{alias}\""
+
+
+def rnd_expr(expr: str) -> str:
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e{DIGITS} + {HALF!r}) / 1e{DIGITS} + 0.0 "
+            f"ELSE {x} + 0.0 END")
 
 
 # ----------------------------------------------------------------------------- modality views
@@ -92,69 +98,73 @@ def _lr_sql(sxx, syy, sxy, ax, ay, n):
     }
 
 
-def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "wearables_raw") -> str:
+def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "wearables_raw",
+                prefix: str = "", pre_ctes: tuple = ()) -> str:
     """Oracle SQL for one feature group on a (Patient_ID, time, value) view."""
+    def R(expr, alias):
+        return rnd(expr, prefix + alias)
+
     st = (st or FeatureSettings()).only(group)
     sel: list[str] = []
     lags, leads, extra, tail = [], [], [], "FROM s GROUP BY Patient_ID"
     n = "any_value(n)"
     if group == "F1":
-        sel = [rnd(f"{n}", "length"), rnd("sum(x)", "sum_values"), rnd("avg(x)", "mean"),
-               rnd("quantile_cont(x, 0.5)", "median"), rnd("min(x)", "minimum"), rnd("max(x)", "maximum"),
-               rnd("max(abs(x))", "absolute_maximum")]
+        sel = [R(f"{n}", "length"), R("sum(x)", "sum_values"), R("avg(x)", "mean"),
+               R("quantile_cont(x, 0.5)", "median"), R("min(x)", "minimum"), R("max(x)", "maximum"),
+               R("max(abs(x))", "absolute_maximum")]
     elif group == "F2":
-        sel = [rnd("var_pop(x)", "variance"), rnd("stddev_pop(x)", "standard_deviation"),
-               rnd("sqrt(avg(x * x))", "root_mean_square"), rnd("sum(x * x)", "abs_energy"),
-               rnd("stddev_pop(x) / nullif(avg(x), 0)", "variation_coefficient")]
+        sel = [R("var_pop(x)", "variance"), R("stddev_pop(x)", "standard_deviation"),
+               R("sqrt(avg(x * x))", "root_mean_square"), R("sum(x * x)", "abs_energy"),
+               R("stddev_pop(x) / nullif(avg(x), 0)", "variation_coefficient")]
     elif group == "F3":
-        sel = [rnd(f"CASE WHEN {n} < 3 THEN NULL WHEN var_pop(x) = 0 THEN 0.0 ELSE skewness(x) END", "skewness"),
-               rnd(f"CASE WHEN {n} < 4 THEN NULL WHEN var_pop(x) = 0 THEN 0.0 ELSE kurtosis(x) END", "kurtosis")]
+        sel = [R(f"CASE WHEN {n} < 3 THEN NULL WHEN var_pop(x) = 0 THEN 0.0 ELSE skewness(x) END", "skewness"),
+               R(f"CASE WHEN {n} < 4 THEN NULL WHEN var_pop(x) = 0 THEN 0.0 ELSE kurtosis(x) END", "kurtosis")]
     elif group == "F4":
-        sel = [rnd(f"quantile_cont(x, {lit(q)})", fname("quantile", q=q)) for q in st.quantiles]
+        sel = [R(f"quantile_cont(x, {lit(q)})", fname("quantile", q=q)) for q in st.quantiles]
     elif group == "F5":
-        sel = [rnd(f"count_if(x >= {lit(t)}) / {n}", fname("count_above", t=t)) for t in st.count_above]
-        sel += [rnd(f"count_if(x <= {lit(t)}) / {n}", fname("count_below", t=t)) for t in st.count_below]
-        sel += [rnd(f"count_if(x >= {lit(lo)} AND x < {lit(hi)})", fname("range_count", max=hi, min=lo))
+        sel = [R(f"count_if(x >= {lit(t)}) / {n}", fname("count_above", t=t)) for t in st.count_above]
+        sel += [R(f"count_if(x <= {lit(t)}) / {n}", fname("count_below", t=t)) for t in st.count_below]
+        sel += [R(f"count_if(x >= {lit(lo)} AND x < {lit(hi)})", fname("range_count", max=hi, min=lo))
                 for lo, hi in st.range_count]
-        sel += [rnd(f"count_if(x = {lit(v)})", fname("value_count", value=v)) for v in st.value_count]
+        sel += [R(f"count_if(x = {lit(v)})", fname("value_count", value=v)) for v in st.value_count]
     elif group == "F6":
-        sel = [rnd("count_if(x > mean)", "count_above_mean"), rnd("count_if(x < mean)", "count_below_mean")]
-        sel += [rnd(f"count_if(abs(x - mean) > {lit(r)} * std) / {n}", fname("ratio_beyond_r_sigma", r=r))
+        sel = [R("count_if(x > mean)", "count_above_mean"), R("count_if(x < mean)", "count_below_mean")]
+        sel += [R(f"count_if(abs(x - mean) > {lit(r)} * std) / {n}", fname("ratio_beyond_r_sigma", r=r))
                 for r in st.r_sigma]
-        sel += [rnd(f"CAST(any_value(std) > {lit(r)} * (any_value(mx) - any_value(mn)) AS INTEGER)",
+        sel += [R(f"CAST(any_value(std) > {lit(r)} * (any_value(mx) - any_value(mn)) AS INTEGER)",
                     fname("large_standard_deviation", r=r)) for r in st.large_std]
-        sel += [rnd(f"CAST(abs(any_value(mean) - any_value(med)) < {lit(r)} * (any_value(mx) - any_value(mn)) AS INTEGER)",
+        sel += [R(f"CAST(abs(any_value(mean) - any_value(med)) < {lit(r)} * (any_value(mx) - any_value(mn)) AS INTEGER)",
                     fname("symmetry_looking", r=r)) for r in st.symmetry]
-        sel.append(rnd("CAST(any_value(var) > any_value(std) AS INTEGER)", "variance_larger_than_standard_deviation"))
+        sel.append(R("CAST(any_value(var) > any_value(std) AS INTEGER)", "variance_larger_than_standard_deviation"))
     elif group == "F7":
         extra = ["""vc AS (SELECT Patient_ID, x, count(*) AS c FROM s GROUP BY Patient_ID, x)"""]
         tail = "FROM vc GROUP BY Patient_ID"
-        sel = [rnd("CAST(count(*) < sum(c) AS INTEGER)", "has_duplicate"),
-               rnd("CAST(arg_max(c, x) >= 2 AS INTEGER)", "has_duplicate_max"),
-               rnd("CAST(arg_min(c, x) >= 2 AS INTEGER)", "has_duplicate_min"),
-               rnd("count(*) / sum(c)", "ratio_value_number_to_time_series_length"),
-               rnd("count_if(c > 1) / count(*)", "percentage_of_reoccurring_values_to_all_values"),
-               rnd("coalesce(sum(c) FILTER (WHERE c > 1), 0) / sum(c)",
+        sel = [R("CAST(count(*) < sum(c) AS INTEGER)", "has_duplicate"),
+               R("CAST(arg_max(c, x) >= 2 AS INTEGER)", "has_duplicate_max"),
+               R("CAST(arg_min(c, x) >= 2 AS INTEGER)", "has_duplicate_min"),
+               R("count(*) / sum(c)", "ratio_value_number_to_time_series_length"),
+               R("count_if(c > 1) / count(*)", "percentage_of_reoccurring_values_to_all_values"),
+               R("coalesce(sum(c) FILTER (WHERE c > 1), 0) / sum(c)",
                    "percentage_of_reoccurring_datapoints_to_all_datapoints"),
-               rnd("coalesce(sum(x) FILTER (WHERE c > 1), 0)", "sum_of_reoccurring_values"),
-               rnd("coalesce(sum(x * c) FILTER (WHERE c > 1), 0)", "sum_of_reoccurring_data_points")]
+               R("coalesce(sum(x) FILTER (WHERE c > 1), 0)", "sum_of_reoccurring_values"),
+               R("coalesce(sum(x * c) FILTER (WHERE c > 1), 0)", "sum_of_reoccurring_data_points")]
     elif group == "F8":
         lags = [1]
-        sel = [rnd("coalesce(sum(abs(x - lag_1)), 0)", "absolute_sum_of_changes"),
-               rnd("avg(abs(x - lag_1))", "mean_abs_change"),
-               rnd(f"CASE WHEN {n} > 1 THEN (max(x) FILTER (WHERE rn = n) - max(x) FILTER (WHERE rn = 1)) / ({n} - 1) END",
+        sel = [R("coalesce(sum(abs(x - lag_1)), 0)", "absolute_sum_of_changes"),
+               R("avg(abs(x - lag_1))", "mean_abs_change"),
+               R(f"CASE WHEN {n} > 1 THEN (max(x) FILTER (WHERE rn = n) - max(x) FILTER (WHERE rn = 1)) / ({n} - 1) END",
                    "mean_change"),
-               rnd("CASE WHEN any_value(std) = 0 THEN 0.0 ELSE sqrt(coalesce(sum(((x - mean) / std - (lag_1 - mean) / std)"
+               R("CASE WHEN any_value(std) = 0 THEN 0.0 ELSE sqrt(coalesce(sum(((x - mean) / std - (lag_1 - mean) / std)"
                    " * ((x - mean) / std - (lag_1 - mean) / std)), 0)) END", fname("cid_ce", normalize=True)),
-               rnd("sqrt(coalesce(sum((x - lag_1) * (x - lag_1)), 0))", fname("cid_ce", normalize=False))]
+               R("sqrt(coalesce(sum((x - lag_1) * (x - lag_1)), 0))", fname("cid_ce", normalize=False))]
     elif group == "F9":
         leads = sorted({k for l in (*st.c3_lags, *st.tras_lags) for k in (l, 2 * l)})
         at = lambda cond: f"max(x) FILTER (WHERE {cond})"
-        sel = [rnd(f"CASE WHEN {n} > 2 THEN ({at('rn = n')} - {at('rn = n - 1')} - {at('rn = 2')} + {at('rn = 1')})"
+        sel = [R(f"CASE WHEN {n} > 2 THEN ({at('rn = n')} - {at('rn = n - 1')} - {at('rn = 2')} + {at('rn = 1')})"
                    f" / (2.0 * ({n} - 2)) END", "mean_second_derivative_central")]
-        sel += [rnd(f"CASE WHEN {2 * l} >= {n} THEN 0.0 ELSE avg(x * lead_{l} * lead_{2 * l}) END", fname("c3", lag=l))
+        sel += [R(f"CASE WHEN {2 * l} >= {n} THEN 0.0 ELSE avg(x * lead_{l} * lead_{2 * l}) END", fname("c3", lag=l))
                 for l in st.c3_lags]
-        sel += [rnd(f"CASE WHEN {2 * l} >= {n} THEN 0.0 ELSE avg(lead_{2 * l} * lead_{2 * l} * lead_{l} - lead_{l} * x * x) END",
+        sel += [R(f"CASE WHEN {2 * l} >= {n} THEN 0.0 ELSE avg(lead_{2 * l} * lead_{2 * l} * lead_{l} - lead_{l} * x * x) END",
                     fname("time_reversal_asymmetry_statistic", lag=l)) for l in st.tras_lags]
     elif group in ("F10", "F11"):
         kmax = max(st.pacf_lags) if group == "F11" else max(max(st.acf_lags), st.agg_acf_maxlag)
@@ -165,12 +175,12 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
             return (f"CASE WHEN {n} >= {l} AND abs(any_value(var)) > 1e-8 THEN "
                     f"coalesce(sum((x - mean) * ({other} - mean)), 0) / nullif(({n} - {l}) * any_value(var), 0) END")
         if group == "F10":
-            sel = [rnd(acf(l), fname("autocorrelation", lag=l)) for l in st.acf_lags]
+            sel = [R(acf(l), fname("autocorrelation", lag=l)) for l in st.acf_lags]
             arr = "list_filter([" + ", ".join(f"CASE WHEN {n} > {l} THEN {acf(l)} END"
                                                 for l in range(1, st.agg_acf_maxlag + 1)) + "], lambda v: v IS NOT NULL)"
             deg = f"abs(any_value(var)) < 1e-10 OR {n} = 1"
             for fa, agg in (("mean", "avg"), ("median", "median"), ("var", "var_pop")):
-                sel.append(rnd(f"CASE WHEN {deg} THEN 0.0 ELSE list_aggregate({arr}, '{agg}') END",
+                sel.append(R(f"CASE WHEN {deg} THEN 0.0 ELSE list_aggregate({arr}, '{agg}') END",
                                fname("agg_autocorrelation", f_agg=fa, maxlag=st.agg_acf_maxlag)))
         else:
             extra = ["r AS (SELECT Patient_ID, any_value(n) AS n, " +
@@ -183,20 +193,20 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
             phi21 = f"(r1 - ({p2}) * r1)"
             p3 = f"(r3 - {phi21} * r2 - ({p2}) * r1) / nullif(1 - {phi21} * r1 - ({p2}) * r2, 0)"
             pac = {1: p1, 2: p2, 3: p3}
-            sel = [rnd(f"CASE WHEN n > 1 AND n > {l} THEN {pac[l]} END", fname("partial_autocorrelation", lag=l))
+            sel = [R(f"CASE WHEN n > 1 AND n > {l} THEN {pac[l]} END", fname("partial_autocorrelation", lag=l))
                    for l in st.pacf_lags]
     elif group == "F12":
-        sel = [rnd(f"(min(rn) FILTER (WHERE x = mx) - 1) / {n}", "first_location_of_maximum"),
-               rnd(f"max(rn) FILTER (WHERE x = mx) / {n}", "last_location_of_maximum"),
-               rnd(f"(min(rn) FILTER (WHERE x = mn) - 1) / {n}", "first_location_of_minimum"),
-               rnd(f"max(rn) FILTER (WHERE x = mn) / {n}", "last_location_of_minimum")]
+        sel = [R(f"(min(rn) FILTER (WHERE x = mx) - 1) / {n}", "first_location_of_maximum"),
+               R(f"max(rn) FILTER (WHERE x = mx) / {n}", "last_location_of_maximum"),
+               R(f"(min(rn) FILTER (WHERE x = mn) - 1) / {n}", "first_location_of_minimum"),
+               R(f"max(rn) FILTER (WHERE x = mn) / {n}", "last_location_of_minimum")]
     elif group == "F13":
         i = "CAST(rn - 1 AS DOUBLE)"
         lr = _lr_sql(f"regr_sxx(x, {i})", f"regr_syy(x, {i})", f"regr_sxy(x, {i})", f"avg({i})", "avg(x)", n)
-        sel = [rnd(lr[a], fname("linear_trend", attr=a)) for a in st.trend_attrs]
+        sel = [R(lr[a], fname("linear_trend", attr=a)) for a in st.trend_attrs]
         h = "(epoch_us(t) - epoch_us(t0)) / 3.6e9"
         lt = _lr_sql(f"regr_sxx(x, {h})", f"regr_syy(x, {h})", f"regr_sxy(x, {h})", f"avg({h})", "avg(x)", n)
-        sel += [rnd(lt[a], fname("linear_trend_timewise", attr=a)) for a in st.trend_attrs]
+        sel += [R(lt[a], fname("linear_trend_timewise", attr=a)) for a in st.trend_attrs]
         parts = []
         for L in st.trend_chunks:
             parts.append(f"""SELECT Patient_ID, {L} AS L, (rn - 1) // {L} AS ci, max(x) AS "max", min(x) AS "min",
@@ -210,7 +220,7 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                 m = f"count({ci})"
                 lr = _lr_sql(f"regr_sxx({y}, {ci})", f"regr_syy({y}, {ci})", f"regr_sxy({y}, {ci})",
                              f"avg({ci})", f"avg({y})", m)
-                sel2 += [rnd(f"CASE WHEN any_value(n) > {L} THEN {lr[a]} END",
+                sel2 += [R(f"CASE WHEN any_value(n) > {L} THEN {lr[a]} END",
                              fname("agg_linear_trend", attr=a, chunk_len=L, f_agg=fa)) for a in st.trend_attrs]
         extra.append("atr AS (SELECT Patient_ID, " + ", ".join(sel2) + " FROM ch GROUP BY Patient_ID)")
         sel = ["ltr.* EXCLUDE (Patient_ID)", "atr.* EXCLUDE (Patient_ID)"]
@@ -220,18 +230,18 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                  """isl AS (SELECT Patient_ID, f, rn - row_number() OVER (PARTITION BY Patient_ID, f ORDER BY rn) AS g FROM fl)""",
                  """runs AS (SELECT Patient_ID, f, count(*) AS len FROM isl GROUP BY Patient_ID, f, g)"""]
         tail = "FROM (SELECT DISTINCT Patient_ID FROM s) ids LEFT JOIN runs USING (Patient_ID) GROUP BY Patient_ID"
-        sel = [rnd("coalesce(max(len) FILTER (WHERE f = 1), 0)", "longest_strike_above_mean"),
-               rnd("coalesce(max(len) FILTER (WHERE f = -1), 0)", "longest_strike_below_mean")]
+        sel = [R("coalesce(max(len) FILTER (WHERE f = 1), 0)", "longest_strike_above_mean"),
+               R("coalesce(max(len) FILTER (WHERE f = -1), 0)", "longest_strike_below_mean")]
     elif group == "F15":
         kmax = max(st.peaks_n)
         lags = list(range(1, kmax + 1))
         leads = list(range(1, kmax + 1))
-        sel = [rnd(f"count_if(lag_1 IS NOT NULL AND ((x > {lit(m)}) <> (lag_1 > {lit(m)})))", fname("number_crossing_m", m=m))
+        sel = [R(f"count_if(lag_1 IS NOT NULL AND ((x > {lit(m)}) <> (lag_1 > {lit(m)})))", fname("number_crossing_m", m=m))
                for m in st.crossing_m]
         for k in st.peaks_n:
             cond = " AND ".join([f"lag_{k} IS NOT NULL AND lead_{k} IS NOT NULL"] +
                                 [f"x > lag_{j} AND x > lead_{j}" for j in range(1, k + 1)])
-            sel.append(rnd(f"count_if({cond})", fname("number_peaks", n=k)))
+            sel.append(R(f"count_if({cond})", fname("number_peaks", n=k)))
     elif group == "F16":
         ns = st.energy_segments
         extra = [f"""sg AS (SELECT *, n // {ns} AS q, n % {ns} AS r,
@@ -239,9 +249,9 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                  """sg2 AS (SELECT *, CASE WHEN rn - 1 < r * (q + 1) THEN (rn - 1) // (q + 1)
                    ELSE r + (rn - 1 - r * (q + 1)) // greatest(q, 1) END AS seg FROM sg)"""]
         tail = "FROM sg2 GROUP BY Patient_ID"
-        sel = [rnd(f"coalesce(sum(x * x) FILTER (WHERE seg = {s_}), 0) / nullif(sum(x * x), 0)",
+        sel = [R(f"coalesce(sum(x * x) FILTER (WHERE seg = {s_}), 0) / nullif(sum(x * x), 0)",
                    fname("energy_ratio_by_chunks", num_segments=ns, segment_focus=s_)) for s_ in range(ns)]
-        sel += [rnd(f"CASE WHEN any_value(abs_sum) <> 0 THEN min(rn) FILTER (WHERE cabs / abs_sum >= {lit(q)}) / {n} END",
+        sel += [R(f"CASE WHEN any_value(abs_sum) <> 0 THEN min(rn) FILTER (WHERE cabs / abs_sum >= {lit(q)}) / {n} END",
                     fname("index_mass_quantile", q=q)) for q in st.mass_quantiles]
     elif group == "F17":
         lags = [1]
@@ -257,7 +267,7 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                 d = "abs(x - lag_1)" if isabs else "(x - lag_1)"
                 for fa in st.change_aggs:
                     agg = "avg" if fa == "mean" else "var_pop"
-                    sel.append(rnd(f"CASE WHEN any_value({ql}) = any_value({qh}) THEN 0.0 ELSE "
+                    sel.append(R(f"CASE WHEN any_value({ql}) = any_value({qh}) THEN 0.0 ELSE "
                                    f"coalesce({agg}({d}) FILTER (WHERE {inside}), 0) END",
                                    fname("change_quantiles", f_agg=fa, isabs=isabs, qh=hi, ql=lo)))
     elif group == "F18":
@@ -265,7 +275,7 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
         extra = [f"""tk AS (SELECT Patient_ID, n, abs(x) AS ax,
                  row_number() OVER (PARTITION BY Patient_ID ORDER BY abs(x) DESC) AS r FROM s)"""]
         tail = "FROM tk GROUP BY Patient_ID"
-        sel = [rnd(f"CASE WHEN any_value(n) > {kk} THEN avg(ax) FILTER (WHERE r <= {kk}) END",
+        sel = [R(f"CASE WHEN any_value(n) > {kk} THEN avg(ax) FILTER (WHERE r <= {kk}) END",
                    fname("mean_n_absolute_max", number_of_maxima=kk)) for kk in st.n_abs_max]
         del k
     elif group == "F19":
@@ -288,10 +298,10 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                      "(SELECT unnest(range(1, 10)) AS d) d GROUP BY Patient_ID, d.d)")
         bvals = "CASE " + " ".join(f"WHEN d = {d} THEN {lit(v)}" for d, v in ben.items()) + " END"
         extra.append(f"bc AS (SELECT Patient_ID, corr(f, {bvals}) AS benford_correlation FROM bf GROUP BY Patient_ID)")
-        cols = [rnd(f'"{fname("binned_entropy", max_bins=b_)}"', fname("binned_entropy", max_bins=b_)) for b_ in st.entropy_bins]
-        sel = cols + [rnd("benford_correlation", "benford_correlation")]
+        cols = [R(f'"{fname("binned_entropy", max_bins=b_)}"', fname("binned_entropy", max_bins=b_)) for b_ in st.entropy_bins]
+        sel = cols + [R("benford_correlation", "benford_correlation")]
         tail = "FROM he JOIN bc USING (Patient_ID)"
-        return "WITH " + ",\n".join([MODALITY_CTES, series_cte(source, st), *extra]) + \
+        return "WITH " + ",\n".join([MODALITY_CTES, *pre_ctes, series_cte(source, st), *extra]) + \
             "\nSELECT Patient_ID, " + ", ".join(sel) + " " + tail
     elif group == "F20":
         dmax = max(st.perm_dims)
@@ -307,7 +317,7 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                  "pe AS (SELECT Patient_ID, d, -sum(c / tot * ln(c / tot)) AS h FROM "
                  "(SELECT *, sum(c) OVER (PARTITION BY Patient_ID, d) AS tot FROM pc) GROUP BY Patient_ID, d)"]
         tail = "FROM (SELECT DISTINCT Patient_ID FROM s) ids LEFT JOIN pe USING (Patient_ID) GROUP BY Patient_ID"
-        sel = [rnd(f"max(h) FILTER (WHERE d = {d})", fname("permutation_entropy", dimension=d, tau=1)) for d in st.perm_dims]
+        sel = [R(f"max(h) FILTER (WHERE d = {d})", fname("permutation_entropy", dimension=d, tau=1)) for d in st.perm_dims]
     elif group == "F22":
         sel = []
         for k in st.fft_coeffs:
@@ -316,9 +326,9 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
             valid = f"{k} <= {n} // 2"
             vals = {"real": re, "imag": im, "abs": f"sqrt({re} * {re} + {im} * {im})",
                     "angle": f"degrees(atan2(round({im}, 9), round({re}, 9)))"}
-            sel += [rnd(f"CASE WHEN {valid} THEN {vals[a]} END", fname("fft_coefficient", attr=a, coeff=k))
+            sel += [R(f"CASE WHEN {valid} THEN {vals[a]} END", fname("fft_coefficient", attr=a, coeff=k))
                     for a in st.fft_attrs]
     else:
         raise KeyError(group)
-    ctes = [MODALITY_CTES, series_cte(source, st, lags, leads), *extra]
+    ctes = [MODALITY_CTES, *pre_ctes, series_cte(source, st, lags, leads), *extra]
     return "WITH " + ",\n".join(ctes) + "\nSELECT Patient_ID, " + ", ".join(sel) + " " + tail

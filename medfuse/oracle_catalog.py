@@ -11,3 +11,166 @@ def oracle_sql() -> dict[str, str]:
     for g, name in FEATURE_QUERIES.items():
         out[name] = O.feature_sql(g)
     return out
+
+
+# ----------------------------------------------------------------------------- P, R, J, slice 1
+from medfuse.oracle import MODALITY_CTES, SCORE_CTE, feature_sql, rnd, rnd_expr  # noqa: E402
+from medfuse.sources import fixtures as fx  # noqa: E402
+
+# Columns of the fixture modality views: (name, is_floating)
+MOD_COLS = {
+    "ehr": [("Patient_ID", False), ("acctbal", True), ("nationkey", False), ("mktsegment", False),
+            ("CVD_Presence", False), ("Time_To_Event", True)],
+    "imaging": [("Patient_ID", False)] + [(f"e{i}", True) for i in range(fx.IMAGING_DIMS)],
+    "wearables": [("Patient_ID", False), ("time", False), ("value", True)],
+    "genomic": [("Patient_ID", False)] + [(f"g{i + 1}", False) for i in range(len(fx.PRIORITIES))],
+}
+
+
+def _w(body: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join([MODALITY_CTES, *ctes]) + "\n" + body
+
+
+def _miss(c: str, flt: bool) -> str:
+    return f'("{c}" IS NULL OR isnan("{c}"))' if flt else f'("{c}" IS NULL)'
+
+
+def _p1() -> str:
+    parts = []
+    for m, cols in MOD_COLS.items():
+        for i, (c, flt) in enumerate(cols):
+            parts.append(f"""SELECT '{c}' AS "column", {i} AS position, count(*) AS n,
+                count_if({_miss(c, flt)}) AS n_missing, {rnd_expr(f'count_if({_miss(c, flt)}) / count(*)')} AS rate,
+                '{m}' AS modality FROM {m}""")
+    return _w(" UNION ALL ".join(parts))
+
+
+def _p2() -> str:
+    parts = []
+    for m, cols in MOD_COLS.items():
+        pat = " || ".join(f"CASE WHEN {_miss(c, flt)} THEN '1' ELSE '0' END" for c, flt in cols)
+        parts.append(f"SELECT {pat} AS pattern, count(*) AS n, '{m}' AS modality FROM {m} GROUP BY 1")
+    return _w(" UNION ALL ".join(parts))
+
+
+def _impute_select(m: str, src: str | None = None, prefix: str = "") -> str:
+    """Mean-imputed modality (numeric non-key non-label columns to DOUBLE), rounded."""
+    src = src or m
+    out = []
+    for c, flt in MOD_COLS[m]:
+        if c == "Patient_ID":
+            out.append("Patient_ID")
+        elif c in ("CVD_Presence",):
+            out.append(f'"{c}"')
+        elif c == "Time_To_Event":
+            out.append(rnd('"Time_To_Event"', "Time_To_Event"))
+        elif c in ("mktsegment", "time"):
+            out.append(f'"{c}" AS "{prefix}{c}"')
+        else:
+            x = f"CAST(\"{c}\" AS DOUBLE)"
+            clean = f"CASE WHEN isnan({x}) THEN NULL ELSE {x} END"
+            out.append(rnd(f"coalesce({clean}, (SELECT avg({clean}) FROM {src}))", f"{prefix}{c}"))
+    return "SELECT " + ", ".join(out) + f" FROM {src}"
+
+
+def _r8_r9() -> str:
+    cols = ["coalesce(Patient_ID, 0) AS Patient_ID"] + [
+        rnd(f'coalesce(TRY_CAST("{c}" AS DOUBLE), 0)', c) for c, _ in MOD_COLS["ehr"] if c != "Patient_ID"]
+    return _w("SELECT " + ", ".join(cols) + " FROM ehr")
+
+
+R10_SQL = f"""WITH v AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN CAST('NaN' AS DOUBLE)
+    WHEN event_id % 17 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 19 = 0 THEN CAST('-inf' AS DOUBLE)
+    ELSE value END AS value FROM events)
+SELECT event_id, {rnd_expr("CASE WHEN isnan(value) THEN 0.0 WHEN value = CAST('inf' AS DOUBLE) THEN 1.7976931348623157e308 "
+                            "WHEN value = CAST('-inf' AS DOUBLE) THEN -1.7976931348623157e308 ELSE value END")} AS value FROM v"""
+
+R12_SQL = _w("""SELECT Patient_ID, CVD_Presence, CAST(list_transform(range(0, (SELECT max(CVD_Presence) + 1 FROM ehr)),
+    lambda i: CASE WHEN i = CVD_Presence THEN 1.0 ELSE 0.0 END) AS DOUBLE[]) AS CVD_Presence_onehot FROM ehr""")
+
+R13_SQL = f"""SELECT user_id AS Patient_ID, event_id, {rnd('value', 'value')},
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS time FROM events"""
+
+R14_SQL = _w("""SELECT Patient_ID, list(time ORDER BY time, value) FILTER (WHERE rn > n - 5) AS seq_time,
+    list(CAST(value AS DOUBLE) ORDER BY time, value) FILTER (WHERE rn > n - 5) AS seq_value
+    FROM (SELECT *, row_number() OVER (PARTITION BY Patient_ID ORDER BY time, value) AS rn,
+                count(*) OVER (PARTITION BY Patient_ID) AS n FROM wearables_raw WHERE value IS NOT NULL)
+    GROUP BY Patient_ID""")
+
+
+def _r16() -> str:
+    cols = ["Patient_ID"]
+    for c, _ in MOD_COLS["imaging"][1:]:
+        sd = f"stddev_pop({c}) OVER ()"
+        cols.append(rnd(f"CASE WHEN {c} IS NULL THEN NULL WHEN {sd} = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / {sd} END", c))
+    return _w("SELECT " + ", ".join(cols) + " FROM imaging")
+
+
+R17_SQL = f"""WITH {SCORE_CTE}
+SELECT order_key, line, {rnd('p', 'p')}, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS pred_class,
+    CASE WHEN p > 1 - p THEN 1 ELSE 0 END AS pred_argmax,
+    CASE WHEN p > 0.5 THEN 'Positive' ELSE 'Negative' END AS label_text FROM scores"""
+
+
+def _prefixed(m: str) -> str:
+    cols = ["Patient_ID"] + [(rnd(f'"{c}"', f"{m}_{c}") if flt else f'"{c}" AS "{m}_{c}"')
+                             for c, flt in MOD_COLS[m][1:]]
+    return f"SELECT {', '.join(cols)} FROM {m} WHERE Patient_ID IS NOT NULL"
+
+
+def _ehr_rounded() -> str:
+    return ("SELECT Patient_ID, " + rnd("acctbal", "acctbal") + ", nationkey, mktsegment, CVD_Presence, "
+            + rnd("Time_To_Event", "Time_To_Event") + " FROM ehr WHERE Patient_ID IS NOT NULL")
+
+
+J1_SQL = _w(f"""SELECT * FROM ({_ehr_rounded()}) e JOIN ({_prefixed('imaging')}) i USING (Patient_ID)
+    JOIN ({_prefixed('wearables')}) w USING (Patient_ID) JOIN ({_prefixed('genomic')}) g USING (Patient_ID)""")
+
+J3_SQL = _w(f"""SELECT * FROM ({_ehr_rounded()}) e FULL JOIN ({_prefixed('imaging')}) i USING (Patient_ID)
+    FULL JOIN ({_prefixed('genomic')}) g USING (Patient_ID)""")
+
+
+def _j5() -> str:
+    common = " INTERSECT ".join(f"SELECT Patient_ID FROM {m} WHERE Patient_ID IS NOT NULL" for m in MOD_COLS)
+    parts = [f"""SELECT '{m}' AS modality, count(DISTINCT Patient_ID) AS n_keys,
+        count(DISTINCT Patient_ID) FILTER (WHERE Patient_ID NOT IN (SELECT Patient_ID FROM common)) AS n_lost,
+        count_if(Patient_ID IS NULL) AS n_null_key_rows FROM {m}""" for m in MOD_COLS]
+    return _w(" UNION ALL ".join(parts), f"common AS ({common})")
+
+
+def _j2_matrix() -> str:
+    """Slice 1: imputed modalities, F1+F2+F8 wearables features, patient-grain joins."""
+    wi = ("wi AS (SELECT Patient_ID, time, coalesce(value, (SELECT avg(value) FROM wearables)) AS value "
+          "FROM wearables)")
+    feats = [feature_sql(g, source="wi", prefix="value__", pre_ctes=(wi,)) for g in ("F1", "F2", "F8")]
+    ehr = _impute_select("ehr")
+    img = _impute_select("imaging", prefix="imaging_")
+    gen = _impute_select("genomic", prefix="genomic_")
+    return _w(f"""SELECT * FROM ({ehr}) e JOIN ({img}) i USING (Patient_ID)
+        JOIN ({feats[0]}) f1 USING (Patient_ID) JOIN ({feats[1]}) f2 USING (Patient_ID)
+        JOIN ({feats[2]}) f8 USING (Patient_ID) JOIN ({gen}) g USING (Patient_ID)""")
+
+
+_base_oracle = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _base_oracle()
+    out.update({
+        "p1_missingness": _p1(),
+        "p2_missingness_patterns": _p2(),
+        "r2_impute_ehr": _w(_impute_select("ehr")),
+        "r2_impute_wearables": _w(_impute_select("wearables")),
+        "r8_r9_coerce_fill": _r8_r9(),
+        "r10_nan_to_num": R10_SQL,
+        "r12_one_hot": R12_SQL,
+        "r13_dummy_time": R13_SQL,
+        "r14_last_k_sequence": R14_SQL,
+        "r16_standardize": _r16(),
+        "r17_r19_decisions": R17_SQL,
+        "j1_merge_modalities": J1_SQL,
+        "j2_patient_feature_matrix": _j2_matrix(),
+        "j3_wide_concat": J3_SQL,
+        "j5_unmatched_keys": _j5(),
+    })
+    return out

@@ -44,3 +44,111 @@ def queries() -> dict[str, Query]:
     for g, name in FEATURE_QUERIES.items():
         out[name] = _feature_query(g)
     return out
+
+
+# ----------------------------------------------------------------------------- P, R, J, slice 1
+from functools import reduce  # noqa: E402
+
+from medfuse.functions.exprs import nan_to_num  # noqa: E402
+from medfuse.operators import clean as C  # noqa: E402
+from medfuse.operators import joins as J  # noqa: E402
+from medfuse.operators import profile as P  # noqa: E402
+from medfuse.plans.features import patient_feature_matrix  # noqa: E402
+
+KEY = fx.KEY
+
+
+def p1_missingness(spark, sf_dir):
+    mods = fx.modalities(spark, sf_dir)
+    return round_doubles(reduce(DataFrame.unionByName, [P.missingness(df).withColumn("modality", F.lit(n))
+                                                         for n, df in mods.items()]))
+
+
+def p2_missingness_patterns(spark, sf_dir):
+    mods = fx.modalities(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [P.missingness_patterns(df).withColumn("modality", F.lit(n))
+                                          for n, df in mods.items()])
+
+
+def r2_impute_ehr(spark, sf_dir):
+    return round_doubles(C.impute_mean(fx.ehr(spark, sf_dir)))
+
+
+def r2_impute_wearables(spark, sf_dir):
+    return round_doubles(C.impute_mean(fx.wearables(spark, sf_dir)))
+
+
+def r8_r9_coerce_fill(spark, sf_dir):
+    return round_doubles(C.fill_zero(C.coerce_numeric(fx.ehr(spark, sf_dir))))
+
+
+def _with_non_finite(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    e = F.col("event_id")
+    v = (F.when(e % 13 == 0, F.lit(float("nan"))).when(e % 17 == 0, F.lit(float("inf")))
+          .when(e % 19 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))
+    return ev.select("event_id", v.alias("value"))
+
+
+def r10_nan_to_num(spark, sf_dir):
+    return round_doubles(C.nan_to_num_cols(_with_non_finite(spark, sf_dir), ["value"]))
+
+
+def r12_one_hot(spark, sf_dir):
+    ehr = fx.ehr(spark, sf_dir).select(KEY, "CVD_Presence")
+    return C.one_hot(ehr, "CVD_Presence")
+
+
+def r13_dummy_time(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias(KEY), "event_id", "value")
+    return round_doubles(C.dummy_time(ev, ["event_id"], chunk_width=1000))
+
+
+def r14_last_k_sequence(spark, sf_dir):
+    seq = C.last_k_sequence(fx.wearables(spark, sf_dir, inject_nulls=False), 5)
+    return seq.select(KEY, F.col("sequence.time").alias("seq_time"), F.col("sequence.value").alias("seq_value"))
+
+
+def r16_standardize(spark, sf_dir):
+    img = fx.imaging(spark, sf_dir)
+    return round_doubles(C.standardize(img, [c for c in img.columns if c != KEY]))
+
+
+def r17_r19_decisions(spark, sf_dir):
+    s = fx.score_table(spark, sf_dir)
+    pc = C.class_from_prob("p")
+    return round_doubles(s.select("order_key", "line", "p", pc.alias("pred_class"),
+                                  C.argmax_class(F.array(1 - F.col("p"), F.col("p"))).alias("pred_argmax"),
+                                  C.label_text(pc).alias("label_text")))
+
+
+def j1_merge_modalities(spark, sf_dir):
+    return round_doubles(J.merge_modalities(fx.modalities(spark, sf_dir)))
+
+
+def j2_patient_feature_matrix(spark, sf_dir):
+    return round_doubles(patient_feature_matrix(spark, sf_dir))
+
+
+def j3_wide_concat(spark, sf_dir):
+    m = fx.modalities(spark, sf_dir)
+    return round_doubles(J.wide_concat([m["ehr"], C.add_prefix(m["imaging"], "imaging"),
+                                        C.add_prefix(m["genomic"], "genomic")]))
+
+
+def j5_unmatched_keys(spark, sf_dir):
+    return J.unmatched_keys(fx.modalities(spark, sf_dir))
+
+
+TABLE_QUERIES = [p1_missingness, p2_missingness_patterns, r2_impute_ehr, r2_impute_wearables, r8_r9_coerce_fill,
+                 r10_nan_to_num, r12_one_hot, r13_dummy_time, r14_last_k_sequence, r16_standardize,
+                 r17_r19_decisions, j1_merge_modalities, j2_patient_feature_matrix, j3_wide_concat,
+                 j5_unmatched_keys]
+
+_base_queries = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _base_queries()
+    out.update({f.__name__: f for f in TABLE_QUERIES})
+    return out

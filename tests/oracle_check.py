@@ -24,16 +24,18 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
         return round(v, 6) + 0.0
+    if isinstance(v, (list, tuple)) or type(v).__name__ == "ndarray":
+        return tuple(_norm(x) for x in list(v))
     if hasattr(v, "item"):
         return _norm(v.item())
-    if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+    if isinstance(v, pd.Timestamp):
+        return v.to_pydatetime()
     return v
 
 
