@@ -174,3 +174,67 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
         "j5_unmatched_keys": _j5(),
     })
     return out
+
+
+# ----------------------------------------------------------------------------- M1-M2, E1-E14
+from medfuse.functions.exprs import DOUBLE_EPS  # noqa: E402
+from medfuse.operators.metrics import KERAS_EPS  # noqa: E402
+from medfuse.operators.split import threshold_hex  # noqa: E402
+
+_SC = f"WITH {SCORE_CTE}, sc AS (SELECT *, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS pred_class FROM scores)\n"
+
+M1_SQL = f"""SELECT c_custkey AS Patient_ID,
+  CASE WHEN substr(md5(CAST(c_custkey AS VARCHAR) || ':42'), 1, 8) < '{threshold_hex(0.2)}' THEN 'test'
+       WHEN substr(md5(CAST(c_custkey AS VARCHAR) || ':42:val'), 1, 8) < '{threshold_hex(0.2)}' THEN 'validation'
+       ELSE 'train' END AS split FROM customer"""
+
+E1_SQL = _SC + f"""SELECT {rnd('avg(CASE WHEN label = pred_class THEN 1.0 ELSE 0.0 END)', 'accuracy')},
+  {rnd('coalesce(count_if(label = 1 AND pred_class = 1) / nullif(count_if(pred_class = 1), 0), 0)', 'precision')},
+  {rnd('coalesce(count_if(label = 1 AND pred_class = 1) / nullif(count_if(label = 1), 0), 0)', 'recall')},
+  {rnd('coalesce(2 * count_if(label = 1 AND pred_class = 1) / nullif(2 * count_if(label = 1 AND pred_class = 1) + count_if(label = 0 AND pred_class = 1) + count_if(label = 1 AND pred_class = 0), 0), 0)', 'f1')},
+  count_if(label = 1 AND pred_class = 1) AS tp, count_if(label = 0 AND pred_class = 1) AS fp,
+  count_if(label = 1 AND pred_class = 0) AS fn, count_if(label = 0 AND pred_class = 0) AS tn FROM sc"""
+
+
+def _auc_sql(label: str, score: str, src: str = "sc") -> str:
+    return f"""(SELECT sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS roc_auc,
+        CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM (
+      SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT {score} AS s, count_if({label} = 1) AS pos, count_if({label} = 0) AS neg
+            FROM {src} WHERE {score} IS NOT NULL GROUP BY {score})))"""
+
+
+E5_SQL = _SC + f"SELECT {rnd('roc_auc', 'roc_auc')}, n_pos, n_neg FROM {_auc_sql('label', 'p')}"
+
+E6_SQL = _SC + f"""SELECT {rnd('(a0.roc_auc + a1.roc_auc) / 2', 'roc_auc_macro')}
+  FROM {_auc_sql('1 - label', '1 - p')} a0, {_auc_sql('label', 'p')} a1"""
+
+_MAPE = f"avg(abs((y - y_hat) / CASE WHEN y = 0 THEN {DOUBLE_EPS!r} ELSE y END)) * 100"
+_R2 = ("CASE WHEN var_pop(y) * count(y) = 0 THEN CASE WHEN sum((y - y_hat) * (y - y_hat)) = 0 THEN 1.0 ELSE 0.0 END "
+       "ELSE 1 - sum((y - y_hat) * (y - y_hat)) / (var_pop(y) * count(y)) END")
+E7_SQL = _SC + f"""SELECT {rnd('avg(abs(y - y_hat))', 'mae')}, {rnd('avg((y - y_hat) * (y - y_hat))', 'mse')},
+  {rnd('sqrt(avg((y - y_hat) * (y - y_hat)))', 'rmse')}, {rnd(_R2, 'r2')}, {rnd(_MAPE, 'mape')} FROM sc"""
+
+_PC = f"least(greatest(p, {KERAS_EPS!r}), {1 - KERAS_EPS!r})"
+_CE = f"avg(-(label * ln({_PC}) + (1 - label) * ln(1 - {_PC})))"
+E12_SQL = _SC + f"""SELECT {rnd(_CE, 'cross_entropy')}, {rnd('avg((y - y_hat) * (y - y_hat))', 'mse')},
+  {rnd(_CE + ' + avg((y - y_hat) * (y - y_hat))', 'total_loss')} FROM sc"""
+
+E13_SQL = f"""WITH m AS ({E1_SQL.replace(chr(10), ' ')}), a AS ({E5_SQL.replace(chr(10), ' ')}),
+  r AS ({E7_SQL.replace(chr(10), ' ')})
+SELECT 'accuracy' AS metric, accuracy AS value FROM m UNION ALL SELECT 'precision', precision FROM m
+UNION ALL SELECT 'recall', recall FROM m UNION ALL SELECT 'f1', f1 FROM m
+UNION ALL SELECT 'roc_auc', roc_auc FROM a UNION ALL SELECT 'mae', mae FROM r UNION ALL SELECT 'mse', mse FROM r
+UNION ALL SELECT 'rmse', rmse FROM r UNION ALL SELECT 'r2', r2 FROM r UNION ALL SELECT 'mape', mape FROM r"""
+
+E14_SQL = _SC + "SELECT label, pred_class, count(*) AS n FROM sc GROUP BY label, pred_class"
+
+_oracle_2 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _oracle_2()
+    out.update({"m1_m2_split_assignment": M1_SQL, "e1_e4_classification_metrics": E1_SQL, "e5_roc_auc": E5_SQL,
+                "e6_macro_auc": E6_SQL, "e7_e11_regression_metrics": E7_SQL, "e12_losses": E12_SQL,
+                "e13_evaluate": E13_SQL, "e14_confusion_counts": E14_SQL})
+    return out

@@ -152,3 +152,59 @@ def queries() -> dict[str, Query]:  # noqa: F811
     out = _base_queries()
     out.update({f.__name__: f for f in TABLE_QUERIES})
     return out
+
+
+# ----------------------------------------------------------------------------- M1-M2, E1-E14
+from medfuse.operators import metrics as Mx  # noqa: E402
+from medfuse.operators import split as Sp  # noqa: E402
+
+
+def m1_m2_split_assignment(spark, sf_dir):
+    keys = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(KEY))
+    return Sp.assign_split(keys, test_size=0.2, validation_size=0.2, seed=42)
+
+
+def _scored(spark, sf_dir):
+    s = fx.score_table(spark, sf_dir)
+    return s.withColumn("pred_class", C.class_from_prob("p"))
+
+
+def e1_e4_classification_metrics(spark, sf_dir):
+    return round_doubles(Mx.classification_metrics(_scored(spark, sf_dir)))
+
+
+def e5_roc_auc(spark, sf_dir):
+    return round_doubles(Mx.roc_auc(_scored(spark, sf_dir)))
+
+
+def e6_macro_auc(spark, sf_dir):
+    s = _scored(spark, sf_dir).withColumn("probs", F.array(1 - F.col("p"), F.col("p")))
+    return round_doubles(Mx.macro_auc(s, "label", "probs", 2))
+
+
+def e7_e11_regression_metrics(spark, sf_dir):
+    return round_doubles(Mx.regression_metrics(_scored(spark, sf_dir)))
+
+
+def e12_losses(spark, sf_dir):
+    return round_doubles(Mx.losses(_scored(spark, sf_dir)))
+
+
+def e13_evaluate(spark, sf_dir):
+    return round_doubles(Mx.evaluate(_scored(spark, sf_dir), "label", "p", y="y", y_hat="y_hat"))
+
+
+def e14_confusion_counts(spark, sf_dir):
+    return Mx.confusion_counts(_scored(spark, sf_dir))
+
+
+METRIC_QUERIES = [m1_m2_split_assignment, e1_e4_classification_metrics, e5_roc_auc, e6_macro_auc,
+                  e7_e11_regression_metrics, e12_losses, e13_evaluate, e14_confusion_counts]
+
+_queries_2 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _queries_2()
+    out.update({f.__name__: f for f in METRIC_QUERIES})
+    return out
