@@ -238,3 +238,31 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
                 "e6_macro_auc": E6_SQL, "e7_e11_regression_metrics": E7_SQL, "e12_losses": E12_SQL,
                 "e13_evaluate": E13_SQL, "e14_confusion_counts": E14_SQL})
     return out
+
+
+# ----------------------------------------------------------------------------- X1 / X3 with declared weights
+from medfuse.plans.catalog import FIXED_INTERCEPT, FIXED_WEIGHTS  # noqa: E402
+
+
+def _fixed_contrib_sql() -> str:
+    parts = [f"SELECT Patient_ID, {i} AS position, 'e{i}' AS feature, "
+             f"{w!r} * (e{i} - (SELECT avg(e{i}) FROM imaging)) AS contribution FROM imaging"
+             for i, w in enumerate(FIXED_WEIGHTS)]
+    return " UNION ALL ".join(parts)
+
+
+X1_FIXED_SQL = _w(f"SELECT Patient_ID, position, feature, {rnd('contribution', 'contribution')} FROM ({_fixed_contrib_sql()})")
+
+_BASE = f"({FIXED_INTERCEPT!r} + " + " + ".join(f"{w!r} * (SELECT avg(e{i}) FROM imaging)"
+                                                 for i, w in enumerate(FIXED_WEIGHTS)) + ")"
+X3_FIXED_SQL = _w(f"""SELECT Patient_ID, feature, {rnd('contribution', 'contribution')},
+  row_number() OVER w AS rank, {rnd(_BASE + ' + sum(contribution) OVER (w ROWS UNBOUNDED PRECEDING)', 'cumulative')}
+  FROM ({_fixed_contrib_sql()}) WINDOW w AS (PARTITION BY Patient_ID ORDER BY abs(contribution) DESC, position)""")
+
+_oracle_3 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _oracle_3()
+    out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
+    return out

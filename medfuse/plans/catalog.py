@@ -208,3 +208,111 @@ def queries() -> dict[str, Query]:  # noqa: F811
     out = _queries_2()
     out.update({f.__name__: f for f in METRIC_QUERIES})
     return out
+
+
+# ----------------------------------------------------------------------------- M3-M7, AB1, X1-X3, S5, S10
+from medfuse.operators import explain as X  # noqa: E402
+from medfuse.operators.models import feature_names, predict  # noqa: E402
+from medfuse.plans import training as TR  # noqa: E402
+from medfuse.session import scratch_path  # noqa: E402
+from medfuse.sources import model_store as MS  # noqa: E402
+
+PRED_COLS = [KEY, "p_class1", "pred_class", "pred_time"]
+FIXED_WEIGHTS = [(-1) ** i / (i + 1) for i in range(fx.IMAGING_DIMS)]   # declared attribution weights
+FIXED_INTERCEPT = 0.1
+
+
+def _prep(spark, sf_dir, **kw):
+    return TR.prepare(spark, fx.modalities(spark, sf_dir), **kw)
+
+
+def m3_baseline_metrics(spark, sf_dir):
+    return round_doubles(TR.train_baseline(_prep(spark, sf_dir)).metrics)
+
+
+def m4_m7_multimodal_metrics(spark, sf_dir):
+    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir)).metrics)
+
+
+def m5_flat_model_metrics(spark, sf_dir):
+    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir), fusion=False, scope="flat").metrics)
+
+
+def m6_gbt_early_stopping_metrics(spark, sf_dir):
+    prep = _prep(spark, sf_dir, validation_size=0.2)
+    return round_doubles(TR.train_multimodal(prep, classifier="gbt", regressor="gbt", scope="gbt").metrics)
+
+
+def m7_test_predictions(spark, sf_dir):
+    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir)).predictions.select(*PRED_COLS))
+
+
+def ab1_ablation_metrics(spark, sf_dir):
+    return round_doubles(TR.ablation_study(_prep(spark, sf_dir)))
+
+
+def _attribution(spark, sf_dir):
+    prep = _prep(spark, sf_dir)
+    tr = TR.train_multimodal(prep)
+    contrib, base = X.model_attribution(tr.model, tr.predictions, tr.model.transform(prep.train),
+                                        feature_names(tr.columns))
+    return contrib, base
+
+
+def x1_model_attribution(spark, sf_dir):
+    return round_doubles(_attribution(spark, sf_dir)[0])
+
+
+def x2_global_importance(spark, sf_dir):
+    return round_doubles(X.global_importance(_attribution(spark, sf_dir)[0]))
+
+
+def x3_model_breakdown(spark, sf_dir):
+    contrib, base = _attribution(spark, sf_dir)
+    return round_doubles(X.breakdown(contrib, base))
+
+
+def _fixed_contrib(spark, sf_dir):
+    img = fx.imaging(spark, sf_dir)
+    cols = [c for c in img.columns if c != KEY]
+    row = img.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    means = [row[c] for c in cols]
+    base = FIXED_INTERCEPT + sum(w * m for w, m in zip(FIXED_WEIGHTS, means))
+    return X.linear_attribution(img, cols, FIXED_WEIGHTS, means), base
+
+
+def x1_linear_attribution_fixed(spark, sf_dir):
+    return round_doubles(_fixed_contrib(spark, sf_dir)[0])
+
+
+def x3_breakdown_fixed(spark, sf_dir):
+    contrib, base = _fixed_contrib(spark, sf_dir)
+    return round_doubles(X.breakdown(contrib, base))
+
+
+def s5_model_roundtrip(spark, sf_dir):
+    prep = _prep(spark, sf_dir)
+    tr = TR.train_multimodal(prep)
+    path = MS.save_model(tr.model, scratch_path(spark, f"model-{abs(hash(sf_dir))}"))
+    return round_doubles(predict(MS.load_model(path), prep.test).select(*PRED_COLS))
+
+
+def s10_training_report(spark, sf_dir):
+    prep = _prep(spark, sf_dir)
+    report = TR.training_report(TR.train_multimodal(prep).metrics, TR.train_baseline(prep).metrics)
+    path = MS.write_report(report, scratch_path(spark, f"report-{abs(hash(sf_dir))}"))
+    return round_doubles(spark.read.parquet(path))
+
+
+MODEL_QUERIES = [m3_baseline_metrics, m4_m7_multimodal_metrics, m5_flat_model_metrics, m6_gbt_early_stopping_metrics,
+                 m7_test_predictions, ab1_ablation_metrics, x1_model_attribution, x2_global_importance,
+                 x3_model_breakdown, x1_linear_attribution_fixed, x3_breakdown_fixed, s5_model_roundtrip,
+                 s10_training_report]
+
+_queries_3 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _queries_3()
+    out.update({f.__name__: f for f in MODEL_QUERIES})
+    return out
