@@ -266,3 +266,27 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     out = _oracle_3()
     out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
     return out
+
+
+# ----------------------------------------------------------------------------- S7, M10
+S7_SQL = _w("""SELECT CAST(e.Patient_ID AS VARCHAR) AS Patient_ID,
+    ['imaging_features: field required or invalid'] AS errors
+  FROM ehr e JOIN imaging USING (Patient_ID) JOIN genomic USING (Patient_ID)
+  JOIN (SELECT DISTINCT Patient_ID FROM wearables WHERE value IS NOT NULL) w USING (Patient_ID)
+  WHERE e.Patient_ID % 5 = 0""")
+
+M10_SQL = f"""WITH r AS (SELECT user_id AS Patient_ID, ts AS time, value FROM events),
+g AS (SELECT Patient_ID, date_trunc('day', time) AS window_start, date_trunc('day', time) + INTERVAL 1 DAY AS window_end,
+        count(value) AS n, {rnd('sum(value)', 'sum_values')}, {rnd('avg(value)', 'mean')},
+        {rnd('stddev_pop(value)', 'standard_deviation')}, {rnd('min(value)', 'minimum')}, {rnd('max(value)', 'maximum')},
+        {rnd('median(value)', 'median')}, count_if(value > 100.0) AS n_above
+      FROM r GROUP BY Patient_ID, date_trunc('day', time))
+SELECT * FROM g WHERE window_end <= (SELECT max(time) FROM r) - INTERVAL 1 HOUR"""
+
+_oracle_4 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _oracle_4()
+    out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL})
+    return out

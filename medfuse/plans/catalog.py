@@ -316,3 +316,61 @@ def queries() -> dict[str, Query]:  # noqa: F811
     out = _queries_3()
     out.update({f.__name__: f for f in MODEL_QUERIES})
     return out
+
+
+# ----------------------------------------------------------------------------- S6-S8, M8-M10
+import uuid  # noqa: E402
+
+from medfuse.plans import scoring as SC  # noqa: E402
+from medfuse.sources import records as RC  # noqa: E402
+from medfuse.streaming import scoring_stream as SS  # noqa: E402
+from medfuse.streaming import window_features as WF  # noqa: E402
+
+
+def _scoring_setup(spark, sf_dir):
+    prep = _prep(spark, sf_dir)
+    tr = TR.train_multimodal(prep)
+    recs = SC.records_from_modalities(fx.modalities(spark, sf_dir), keys=prep.test.select(KEY))
+    return tr, recs
+
+
+def s6_s8_m8_batch_scoring(spark, sf_dir):
+    tr, recs = _scoring_setup(spark, sf_dir)
+    results, _ = SC.score_records(recs, tr.model, tr.columns)
+    return round_doubles(results)
+
+
+def s7_quarantine(spark, sf_dir):
+    recs = SC.records_from_modalities(fx.modalities(spark, sf_dir), corrupt_every=5)
+    _, quarantine = RC.validate(RC.parse_records(recs))
+    return quarantine.select(KEY, "errors")
+
+
+def m9_stream_scoring(spark, sf_dir):
+    tr, recs = _scoring_setup(spark, sf_dir)
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    recs.write.mode("overwrite").text(f"{base}/source")
+    q = SS.start_scoring_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", tr.model, tr.columns)
+    q.awaitTermination()
+    return round_doubles(spark.read.parquet(f"{base}/sink/results").drop("batch_id"))
+
+
+def m10_windowed_stream_features(spark, sf_dir):
+    schema = fx.table(spark, sf_dir, "events").schema
+    src = WF.reading_stream(spark, f"{sf_dir.rstrip('/')}/events.parq*", schema)
+    readings = src.select(F.col("user_id").alias(KEY), F.col("ts").alias("time"), "value")
+    base = scratch_path(spark, f"windows-{uuid.uuid4().hex}")
+    q = WF.run_to_sink(WF.windowed_features(readings), f"{base}/sink", f"{base}/checkpoint")
+    q.awaitTermination()
+    return round_doubles(spark.read.parquet(f"{base}/sink"))
+
+
+SCORING_QUERIES = [s6_s8_m8_batch_scoring, s7_quarantine, m9_stream_scoring, m10_windowed_stream_features]
+
+_queries_4 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _queries_4()
+    out.update({f.__name__: f for f in SCORING_QUERIES})
+    return out
