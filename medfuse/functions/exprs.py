@@ -56,13 +56,14 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     Used only where results are compared across engines; the library itself
     returns unrounded values.
     """
+    scale = float(10 ** digits)
     out = []
     for f in df.schema.fields:
+        c = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            scale = F.lit(float(10 ** digits))
-            x = F.col(f"`{f.name}`").cast("double")
-            out.append(F.when(F.abs(x) < ROUND_LIMIT, F.floor(x * scale + F.lit(ROUND_HALF)) / scale + F.lit(0.0))
-                        .otherwise(x + F.lit(0.0)).alias(f.name))
+            x = f"CAST({c} AS DOUBLE)"
+            out.append(f"CASE WHEN abs({x}) < {ROUND_LIMIT!r}D THEN floor({x} * {scale!r}D + {ROUND_HALF!r}D) / {scale!r}D "
+                       f"+ 0.0D ELSE {x} + 0.0D END AS {c}")
         else:
-            out.append(F.col(f"`{f.name}`"))
-    return df.select(*out)
+            out.append(c)
+    return df.selectExpr(*out)   # one call for all columns (SQL text, parsed JVM-side)

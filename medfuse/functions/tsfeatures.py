@@ -119,7 +119,7 @@ def _quantile_list(st: FeatureSettings) -> list[float]:
 
 
 def _qv(qlist, q) -> Column:
-    return F.element_at(_c("qv"), qlist.index(q) + 1)
+    return _c(f"_q{qlist.index(q)}")
 
 
 def _lr(sxx, syy, sxy, avg_x, avg_y, n) -> dict[str, Column]:
@@ -155,17 +155,26 @@ def prepare_long(df: DataFrame, column_id: str, column_sort: str | None,
 
 
 def series_stats(long: DataFrame, keys: list[str], st: FeatureSettings) -> DataFrame:
+    """One row per series: n, moments, extremes, first time, sum |x| and the quantiles.
+
+    Quantiles leave as scalar columns ``_q0..`` so every later aggregate that
+    carries them keeps fixed-width buffers (hash aggregation, whole-stage codegen).
+    """
     x = _c(S.X)
     qs = _quantile_list(st)
     qv = (F.percentile(x, qs) if st.exact_quantiles
           else F.percentile_approx(x, qs, 100_000))
-    return long.groupBy(*keys).agg(
+    agg = long.groupBy(*keys).agg(
         F.count(x).alias(S.N), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
         F.var_pop(x).alias("var"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.min(S.T).alias("t0"), F.sum(F.abs(x)).alias("abs_sum"), qv.alias("qv"))
+        F.min(S.T).alias("t0"), F.sum(F.abs(x)).alias("abs_sum"), qv.alias("_qv"))
+    return agg.select(*keys, *stat_cols(st)[:-len(qs)],
+                      *[F.element_at("_qv", i + 1).alias(f"_q{i}") for i in range(len(qs))])
 
 
-STAT_COLS = [S.N, "mean", "std", "var", "min", "max", "t0", "abs_sum", "qv"]
+def stat_cols(st: FeatureSettings) -> list[str]:
+    return [S.N, "mean", "std", "var", "min", "max", "t0", "abs_sum",
+            *[f"_q{i}" for i in range(len(_quantile_list(st)))]]
 
 
 def needed_neighbors(st: FeatureSettings) -> tuple[list[int], list[int]]:
@@ -197,7 +206,7 @@ def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[C
     x, rn, n, mean, std, var = _c(S.X), _c(S.RN), _c(S.N), _c("mean"), _c("std"), _c("var")
     mn, mx = _c("min"), _c("max")
     qlist = _quantile_list(st)
-    aggs: list[Column] = [F.max(c).alias(c) for c in STAT_COLS]
+    aggs: list[Column] = [F.max(c).alias(c) for c in stat_cols(st)]
     fin: list[Column] = []
     i = (rn - 1).cast("double")
 
@@ -311,14 +320,14 @@ def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[C
         fin += [F.when((n > 1) & (n > l), F.element_at(pac, l)).alias(fname("partial_autocorrelation", lag=l))
                 for l in st.pacf_lags]
     if "F12" in g:
-        def vr(r):
-            return F.struct(x.alias("v"), r.alias("r"))
-        aggs += [F.max(vr(-rn)).alias("_fmax"), F.max(vr(rn)).alias("_lmax"),
-                 F.min(vr(rn)).alias("_fmin"), F.min(vr(-rn)).alias("_lmin")]
-        fin += [((-_c("_fmax").getField("r") - 1) / n).alias("first_location_of_maximum"),
-                (_c("_lmax").getField("r") / n).alias("last_location_of_maximum"),
-                ((_c("_fmin").getField("r") - 1) / n).alias("first_location_of_minimum"),
-                (-_c("_lmin").getField("r") / n).alias("last_location_of_minimum")]
+        # positions of the extremes from the per-series max/min already on every row
+        # (fixed-width buffers keep the whole aggregate on the hash path)
+        aggs += [F.min(F.when(x == mx, rn)).alias("_fmax"), F.max(F.when(x == mx, rn)).alias("_lmax"),
+                 F.min(F.when(x == mn, rn)).alias("_fmin"), F.max(F.when(x == mn, rn)).alias("_lmin")]
+        fin += [((_c("_fmax") - 1) / n).alias("first_location_of_maximum"),
+                (_c("_lmax") / n).alias("last_location_of_maximum"),
+                ((_c("_fmin") - 1) / n).alias("first_location_of_minimum"),
+                (_c("_lmin") / n).alias("last_location_of_minimum")]
     if "F13" in g:
         aggs += [F.regr_sxx(x, i).alias("_lsxx"), F.regr_syy(x, i).alias("_lsyy"),
                  F.regr_sxy(x, i).alias("_lsxy"), F.avg(i).alias("_lax")]

@@ -374,3 +374,18 @@ def queries() -> dict[str, Query]:  # noqa: F811
     out = _queries_4()
     out.update({f.__name__: f for f in SCORING_QUERIES})
     return out
+
+
+def f_all_features(spark, sf_dir):
+    """Every feature group in one extraction (the reference's single feature call)."""
+    w = fx.wearables(spark, sf_dir, inject_nulls=False)
+    return round_doubles(extract_features(w, "Patient_ID", "time"))
+
+
+_queries_5 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _queries_5()
+    out["f_all_features"] = f_all_features
+    return out
