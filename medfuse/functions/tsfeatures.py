@@ -19,6 +19,7 @@ are broken by the value; a feature undefined for the series length is NULL.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -31,7 +32,7 @@ from medfuse.functions import series as S
 
 SIG = "signal"
 ALL_GROUPS = ("F1", "F2", "F3", "F4", "F5", "F6", "F7", "F8", "F9", "F10", "F11",
-              "F12", "F13", "F14", "F15", "F16", "F17", "F18", "F19", "F20", "F22")
+              "F12", "F13", "F14", "F15", "F16", "F17", "F18", "F19", "F20", "F21", "F22")
 
 
 def _quantile_edges():
@@ -69,6 +70,9 @@ class FeatureSettings:
     n_abs_max: tuple = (7,)
     entropy_bins: tuple = (10,)
     perm_dims: tuple = (3, 4, 5, 6, 7)
+    sampen_r: float = 0.2               # sample entropy: m = 2, tolerance 0.2 * std
+    apen_m: int = 2
+    apen_r: tuple = (0.1, 0.3, 0.5, 0.7, 0.9)
     fft_coeffs: tuple = tuple(range(10))
     fft_attrs: tuple = ("real", "imag", "abs", "angle")
     groups: tuple = ALL_GROUPS
@@ -195,6 +199,8 @@ def needed_neighbors(st: FeatureSettings) -> tuple[list[int], list[int]]:
             leads.update(range(1, k + 1))
     if "F20" in g:
         leads.update(range(1, max(st.perm_dims) if st.perm_dims else 1))
+    if "F21" in g:
+        leads.update(range(1, max(3, st.apen_m + 1)))
     return sorted(lags), sorted(leads)
 
 
@@ -552,6 +558,77 @@ def _perm_entropy(nb: DataFrame, keys: list[str], st: FeatureSettings) -> DataFr
                                     for d in st.perm_dims])
 
 
+def _entropies(nb: DataFrame, keys: list[str], st: FeatureSettings) -> DataFrame:
+    """F21 sample entropy (m = 2) and approximate entropy (m, r) by tolerance grid cells.
+
+    Both count, per template (x_i .. x_i+L-1), the templates within Chebyshev
+    distance r = factor * std.  Templates go into cells of side r: two templates in
+    one cell always match, so a cell of k templates adds k to each member without
+    listing pairs.  Only templates in adjacent cells are compared (each unordered
+    cell pair once, the match credited to both); every such candidate lies within
+    2r, so the work follows the number of near pairs, not n^2, and the join is
+    keyed by cell, which spreads a long series over many tasks.  r = 0 (constant
+    series) makes the cell the template itself, with no neighbours.
+    """
+    m = st.apen_m
+    dims = max(3, m + 1)
+    lengths = sorted({2, 3, m, m + 1})
+    factors = sorted({st.sampen_r, *st.apen_r})
+    params = "array(" + ", ".join(f"named_struct('f', {f!r}D, 'L', {L})" for f in factors for L in lengths) + ")"
+    vals = [S.X] + [f"lead_{d}" for d in range(1, dims)]
+    tid = [*keys, "f", "L"]
+    t = (nb.select(*keys, S.RN, S.N, "std", *vals[1:], _c(S.X), F.explode(F.expr(params)).alias("p"))
+           .select(*keys, S.RN, S.N, _c("p.f").alias("f"), _c("p.L").alias("L"),
+                   (_c("p.f") * _c("std")).alias("r"),
+                   *[F.when(_c("p.L") > d, _c(v)).otherwise(F.lit(0.0)).alias(f"v{d}") for d, v in enumerate(vals)])
+           .where(_c(S.RN) <= _c(S.N) - _c("L") + 1))
+    t = t.select("*", *[F.when(_c("r") > 0, F.floor(_c(f"v{d}") / _c("r")).cast("double"))
+                        .otherwise(_c(f"v{d}")).alias(f"c{d}") for d in range(dims)])
+    cell = [*tid, *[f"c{d}" for d in range(dims)]]
+    same = t.groupBy(*cell).agg(F.count(F.lit(1)).alias("k"))
+    # half of the non-zero offsets in the used dimensions (first non-zero component positive)
+    offs = []
+    for L in lengths:
+        for o in itertools.product((-1, 0, 1), repeat=L):
+            nz = [v for v in o if v]
+            if nz and nz[0] > 0:
+                offs.append((L, tuple(o) + (0,) * (dims - L)))
+    off_sql = "array(" + ", ".join("named_struct('L', %d, %s)" % (L, ", ".join(f"'o{d}', {v}D" for d, v in enumerate(o)))
+                                   for L, o in offs) + ")"
+    probe = (t.where(_c("r") > 0)
+              .select(*tid, S.RN, "r", *[f"v{d}" for d in range(dims)], *[f"c{d}" for d in range(dims)],
+                      F.explode(F.expr(off_sql)).alias("o"))
+              .where(_c("o.L") == _c("L"))
+              .select(*tid, _c(S.RN).alias("prn"), "r", *[_c(f"v{d}").alias(f"pv{d}") for d in range(dims)],
+                      *[(_c(f"c{d}") + _c(f"o.o{d}")).alias(f"c{d}") for d in range(dims)]))
+    other = t.select(*cell, _c(S.RN).alias("qrn"), *[_c(f"v{d}").alias(f"qv{d}") for d in range(dims)])
+    dist = F.greatest(*[F.abs(_c(f"pv{d}") - _c(f"qv{d}")) for d in range(dims)])
+    credits = (probe.join(other, cell, "inner").where(dist <= _c("r"))
+                    .select(*tid, F.explode(F.array("prn", "qrn")).alias(S.RN))
+                    .groupBy(*tid, S.RN).agg(F.count(F.lit(1)).alias("nb")))
+    per_t = (t.select(*cell, S.RN, S.N).join(same, cell, "inner")
+              .join(credits, [*tid, S.RN], "left")
+              .select(*tid, S.N, (_c("k") + F.coalesce(_c("nb"), F.lit(0))).alias("C")))
+    per_l = per_t.groupBy(*tid).agg(F.max(S.N).alias(S.N), F.count(F.lit(1)).alias("K"),
+                                    (F.sum("C") - F.count(F.lit(1))).alias("pairs"),
+                                    F.sum(F.ln(_c("C"))).alias("lnc"))
+    phi = _c("lnc") / _c("K") - F.ln(_c("K"))
+
+    def pick(f, L, col):
+        return F.max(F.when((_c("f") == f) & (_c("L") == L), col))
+
+    aggs = [F.max(S.N).alias(S.N), pick(st.sampen_r, 2, _c("pairs")).alias("_B"),
+            pick(st.sampen_r, 3, _c("pairs")).alias("_A")]
+    aggs += [pick(r, m, phi).alias(f"_pm{i}") for i, r in enumerate(st.apen_r)]
+    aggs += [pick(r, m + 1, phi).alias(f"_pm1{i}") for i, r in enumerate(st.apen_r)]
+    a, b = F.coalesce(_c("_A"), F.lit(0)), _c("_B")
+    fin = [F.when(b.isNull() | (b == 0), F.lit(None).cast("double"))
+            .when(a == 0, F.lit(float("inf"))).otherwise(-F.ln(a / b)).alias("sample_entropy")]
+    fin += [F.when(_c(S.N) <= m + 1, F.lit(0.0)).otherwise(F.abs(_c(f"_pm{i}") - _c(f"_pm1{i}")))
+            .alias(fname("approximate_entropy", m=m, r=r)) for i, r in enumerate(st.apen_r)]
+    return per_l.groupBy(*keys).agg(*aggs).select(*keys, *fin)
+
+
 # ----------------------------------------------------------------------------- entry points
 
 def series_features(long: DataFrame, keys: list[str], st: FeatureSettings, is_time: bool) -> DataFrame:
@@ -576,6 +653,8 @@ def series_features(long: DataFrame, keys: list[str], st: FeatureSettings, is_ti
         parts.append(_top_abs(nb, keys, st))
     if "F20" in g:
         parts.append(_perm_entropy(nb, keys, st))
+    if "F21" in g:
+        parts.append(_entropies(nb, keys, st))
     if not parts:
         raise ValueError("no feature group selected")
     return reduce(lambda a, b: a.join(b, keys, "full"), parts)

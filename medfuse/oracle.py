@@ -328,6 +328,33 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
                     "angle": f"degrees(atan2(round({im}, 9), round({re}, 9)))"}
             sel += [R(f"CASE WHEN {valid} THEN {vals[a]} END", fname("fft_coefficient", attr=a, coeff=k))
                     for a in st.fft_attrs]
+    elif group == "F21":
+        # brute force: every template against every template of its series
+        m = st.apen_m
+        leads = list(range(1, max(3, m + 1)))
+        dims = max(3, m + 1)
+        factors = sorted({st.sampen_r, *st.apen_r})
+        lengths = sorted({2, 3, m, m + 1})
+        vs = ", ".join(f"CASE WHEN L > {d} THEN {'x' if d == 0 else f'lead_{d}'} ELSE 0.0 END AS v{d}" for d in range(dims))
+        dist = "greatest(" + ", ".join(f"abs(a.v{d} - b.v{d})" for d in range(dims)) + ")"
+        extra = [
+            "fl AS (SELECT unnest([" + ", ".join(f"{f!r}::DOUBLE" for f in factors) + "]) AS f)",
+            "ll AS (SELECT unnest([" + ", ".join(str(L) for L in lengths) + "]) AS L)",
+            f"tt AS (SELECT Patient_ID, f, L, rn, n, f * std AS r, {vs} FROM s, fl, ll WHERE rn <= n - L + 1)",
+            f"""cnt AS (SELECT a.Patient_ID, a.f, a.L, a.rn, any_value(a.n) AS n, count(*) AS C
+                 FROM tt a JOIN tt b ON a.Patient_ID = b.Patient_ID AND a.f = b.f AND a.L = b.L
+                 WHERE {dist} <= a.r GROUP BY ALL)""",
+            """pl AS (SELECT Patient_ID, f, L, any_value(n) AS n, count(*) AS K, sum(C) - count(*) AS pairs,
+                 sum(ln(C)) / count(*) - ln(count(*)) AS phi FROM cnt GROUP BY ALL)"""]
+        tail = "FROM pl GROUP BY Patient_ID"
+
+        def pick(f, L, c):
+            return f"max({c}) FILTER (WHERE f = {f!r}::DOUBLE AND L = {L})"
+        b, a = pick(st.sampen_r, 2, "pairs"), f"coalesce({pick(st.sampen_r, 3, 'pairs')}, 0)"
+        sel = [R(f"CASE WHEN {b} IS NULL OR {b} = 0 THEN NULL WHEN {a} = 0 THEN 'inf'::DOUBLE "
+                 f"ELSE -ln({a} / {b}) END", "sample_entropy")]
+        sel += [R(f"CASE WHEN max(n) <= {m + 1} THEN 0.0 ELSE abs({pick(r, m, 'phi')} - {pick(r, m + 1, 'phi')}) END",
+                  fname("approximate_entropy", m=m, r=r)) for r in st.apen_r]
     else:
         raise KeyError(group)
     ctes = [MODALITY_CTES, *pre_ctes, series_cte(source, st, lags, leads), *extra]

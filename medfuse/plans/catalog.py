@@ -25,7 +25,7 @@ FEATURE_QUERIES = {
     "F12": "f12_extreme_locations", "F13": "f13_linear_trends", "F14": "f14_strikes",
     "F15": "f15_crossings_peaks", "F16": "f16_energy_mass", "F17": "f17_change_quantiles",
     "F18": "f18_mean_abs_max", "F19": "f19_entropy_benford", "F20": "f20_permutation_entropy",
-    "F22": "f22_fft_coefficients",
+    "F21": "f21_sample_approx_entropy", "F22": "f22_fft_coefficients",
 }
 
 

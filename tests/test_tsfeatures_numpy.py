@@ -103,3 +103,55 @@ def test_feature_order_invariance(spark, sf_small):
     b = extract_features(w.repartition(7).orderBy(F.rand(3)), "Patient_ID", "time", settings=st)
     b = b.toPandas().set_index("Patient_ID").sort_index()
     pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-12)
+
+
+# ----------------------------------------------------------------------------- F21 against the O(n^2) definitions
+
+def _templates(x, L):
+    return np.array([x[i:i + L] for i in range(len(x) - L + 1)])
+
+
+def _sample_entropy(x, factor=0.2):
+    tol = factor * np.std(x)
+    b = sum((np.abs(t - _templates(x, 2)).max(axis=1) <= tol).sum() - 1 for t in _templates(x, 2))
+    a = sum((np.abs(t - _templates(x, 3)).max(axis=1) <= tol).sum() - 1 for t in _templates(x, 3))
+    return -math.log(a / b) if a else math.inf
+
+
+def _approximate_entropy(x, m, factor):
+    r = factor * np.std(x)
+    if len(x) <= m + 1:
+        return 0.0
+
+    def phi(L):
+        t = _templates(x, L)
+        c = (np.abs(t[:, None, :] - t[None, :, :]).max(axis=2) <= r).sum(axis=0) / len(t)
+        return np.log(c).sum() / len(t)
+    return abs(phi(m) - phi(m + 1))
+
+
+def test_entropies_against_numpy(data):
+    feats, series = data
+    st = FeatureSettings()
+    for pid, x in list(series.items())[:6]:
+        assert feats.loc[pid, "value__sample_entropy"] == pytest.approx(_sample_entropy(x), rel=1e-9)
+        for r in st.apen_r:
+            got = feats.loc[pid, "value__" + fname("approximate_entropy", m=st.apen_m, r=r)]
+            assert got == pytest.approx(_approximate_entropy(x, st.apen_m, r), rel=1e-9, abs=1e-12)
+
+
+def test_entropies_edge_series(spark):
+    """Constant series (r = 0: exact-template cells), a two-level series and a tiny one."""
+    rows = [(1, float(i), 5.0) for i in range(12)]                      # constant
+    rows += [(2, float(i), float(i % 2)) for i in range(15)]            # alternating
+    rows += [(3, float(i), v) for i, v in enumerate([1.0, 4.0, 2.0])]   # n = m + 1
+    df = spark.createDataFrame(rows, "Patient_ID long, time double, value double")
+    st = FeatureSettings().only("F21")
+    got = extract_features(df, "Patient_ID", "time", settings=st).toPandas().set_index("Patient_ID")
+    for pid in (1, 2):
+        x = np.array([v for p, _, v in rows if p == pid])
+        assert got.loc[pid, "value__sample_entropy"] == pytest.approx(_sample_entropy(x))
+        for r in st.apen_r:
+            assert got.loc[pid, "value__" + fname("approximate_entropy", m=2, r=r)] == pytest.approx(
+                _approximate_entropy(x, 2, r), abs=1e-12)
+    assert got.loc[3, "value__" + fname("approximate_entropy", m=2, r=0.5)] == 0.0
