@@ -290,3 +290,15 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     out = _oracle_4()
     out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL})
     return out
+
+
+# ----------------------------------------------------------------------------- S2
+S2_SQL = _w(f"""SELECT Patient_ID, {rnd('acctbal', 'acctbal')}, nationkey, mktsegment, false AS corrupt FROM ehr""")
+
+_oracle_5 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _oracle_5()
+    out["s2_csv_scan"] = S2_SQL
+    return out

@@ -382,10 +382,26 @@ def f_all_features(spark, sf_dir):
     return round_doubles(extract_features(w, "Patient_ID", "time"))
 
 
+def s2_csv_scan(spark, sf_dir):
+    """The EHR modality written as CSV by Spark, read back with a schema (no inference)."""
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+    from medfuse.sources.loaders import CORRUPT_COL, load_table
+    path = scratch_path(spark, f"s2_ehr_csv_{uuid.uuid4().hex}")
+    (fx.ehr(spark, sf_dir).select(KEY, "acctbal", "nationkey", "mktsegment")
+       .write.mode("overwrite").option("header", True).csv(path))
+    schema = StructType([StructField(KEY, LongType()), StructField("acctbal", DoubleType()),
+                         StructField("nationkey", LongType()), StructField("mktsegment", StringType())])
+    back = load_table(spark, path, schema, fmt="csv", keep_corrupt=True)
+    return round_doubles(back.select(KEY, "acctbal", "nationkey", "mktsegment",
+                                     F.col(CORRUPT_COL).isNotNull().alias("corrupt")))
+
+
 _queries_5 = queries
 
 
 def queries() -> dict[str, Query]:  # noqa: F811
     out = _queries_5()
     out["f_all_features"] = f_all_features
+    out["s2_csv_scan"] = s2_csv_scan
     return out

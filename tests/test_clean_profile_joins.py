@@ -92,3 +92,20 @@ def test_dummy_time_and_last_k(spark):
     seq = C.last_k_sequence(df.withColumnRenamed("event_id", "time"), 1).orderBy("Patient_ID").collect()
     assert [[s["value"] for s in r["sequence"]] for r in seq] == [[1.0], [3.0]]
     assert not math.isnan(1.0)
+
+
+def test_csv_with_schema_keeps_corrupt_rows(spark, tmp_path):
+    """A value that does not parse is kept as raw text, not silently NULL."""
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    from medfuse.sources.loaders import corrupt_rows, load_table
+    p = tmp_path / "ehr.csv"
+    p.write_text("Patient_ID,acctbal\n1,10.5\n2,not-a-number\n3,\n")
+    schema = StructType([StructField("Patient_ID", LongType()), StructField("acctbal", DoubleType())])
+    df = load_table(spark, str(p), schema, keep_corrupt=True)
+    rows = {r["Patient_ID"]: r for r in df.collect()}
+    assert rows[1]["acctbal"] == 10.5 and rows[1]["_corrupt_record"] is None
+    assert rows[3]["acctbal"] is None and rows[3]["_corrupt_record"] is None      # empty = missing
+    assert rows[2]["_corrupt_record"] == "2,not-a-number"
+    assert [r["Patient_ID"] for r in corrupt_rows(df).collect()] == [2]
+    assert "_corrupt_record" not in load_table(spark, str(p), schema).columns
