@@ -76,7 +76,8 @@ class FeatureSettings:
     fft_coeffs: tuple = tuple(range(10))
     fft_attrs: tuple = ("real", "imag", "abs", "angle")
     groups: tuple = ALL_GROUPS
-    exact_quantiles: bool = True        # False -> percentile_approx (bounded memory)
+    exact_quantiles: bool = True        # False -> percentile_approx only (one pass fewer)
+    quantile_buckets: int = 128         # value buckets per series for the exact quantile scan
     chunk_width: float | None = None    # time chunk for ranking (seconds, or sort units)
     block_rows: int = S.DEFAULT_BLOCK_ROWS
 
@@ -163,17 +164,53 @@ def series_stats(long: DataFrame, keys: list[str], st: FeatureSettings) -> DataF
 
     Quantiles leave as scalar columns ``_q0..`` so every later aggregate that
     carries them keeps fixed-width buffers (hash aggregation, whole-stage codegen).
+    Exact quantiles never gather a series in one buffer (see ``exact_quantiles``).
     """
     x = _c(S.X)
     qs = _quantile_list(st)
-    qv = (F.percentile(x, qs) if st.exact_quantiles
-          else F.percentile_approx(x, qs, 100_000))
+    b = st.quantile_buckets
+    extra = ([F.percentile_approx(x, [i / b for i in range(1, b)], 10 * b).alias("_bounds")] if st.exact_quantiles
+             else [F.percentile_approx(x, qs, 100_000).alias("_qa")])
     agg = long.groupBy(*keys).agg(
         F.count(x).alias(S.N), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
         F.var_pop(x).alias("var"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.min(S.T).alias("t0"), F.sum(F.abs(x)).alias("abs_sum"), qv.alias("_qv"))
-    return agg.select(*keys, *stat_cols(st)[:-len(qs)],
-                      *[F.element_at("_qv", i + 1).alias(f"_q{i}") for i in range(len(qs))])
+        F.min(S.T).alias("t0"), F.sum(F.abs(x)).alias("abs_sum"), *extra)
+    base = stat_cols(st)[:-len(qs)]
+    if not st.exact_quantiles:
+        return agg.select(*keys, *base, *[F.element_at("_qa", i + 1).alias(f"_q{i}") for i in range(len(qs))])
+    exact = exact_quantiles(long, keys, agg.select(*keys, S.N, "_bounds"), qs)
+    return agg.select(*keys, *base).join(exact, keys, "inner")
+
+
+def exact_quantiles(long: DataFrame, keys: list[str], bounds: DataFrame, qs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles ``_q0..`` per series, skew-safe.
+
+    (series, value) counts (duplicates collapse map-side) -> bucket by the
+    series' approximate quantile bounds -> running count per (series, bucket)
+    plus the bucket offsets -> the order statistics at floor/ceil of (n-1)q.
+    Work per task is bounded by a bucket, never a whole series.
+    Interpolation follows Spark's ``percentile``.
+    """
+    vc = (long.groupBy(*keys, S.X).agg(F.count(F.lit(1)).alias("_c"))
+              .join(bounds, keys, "inner")
+              .withColumn("_b", F.size(F.filter("_bounds", lambda v: v < _c(S.X)))))
+    run = Window.partitionBy(*keys, "_b").orderBy(S.X).rowsBetween(Window.unboundedPreceding, 0)
+    local = vc.select(*keys, "_b", S.X, "_c", S.N, F.sum("_c").over(run).alias("_cl"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (vc.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bt"))
+              .select(*keys, "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_bo")))
+    cum = (local.join(offs, [*keys, "_b"], "inner")
+                .select(*keys, S.X, S.N, (_c("_bo") + _c("_cl") - _c("_c")).alias("_below"),
+                        (_c("_bo") + _c("_cl")).alias("_upto")))
+
+    aggs, fin = [], []
+    for i, q in enumerate(qs):   # SQL text: one JVM call per expression
+        pos = f"(CAST({S.N} - 1 AS DOUBLE) * {q!r}D)"
+        for tag, k in (("lo", f"floor({pos})"), ("hi", f"ceil({pos})")):
+            aggs.append(F.expr(f"max(CASE WHEN _below <= {k} AND {k} < _upto THEN {S.X} END)").alias(f"_{tag}{i}"))
+        fin.append(f"CASE WHEN floor({pos}) = ceil({pos}) OR _lo{i} = _hi{i} THEN _lo{i} "
+                   f"ELSE (ceil({pos}) - {pos}) * _lo{i} + ({pos} - floor({pos})) * _hi{i} END AS _q{i}")
+    return cum.groupBy(*keys).agg(F.max(S.N).alias(S.N), *aggs).selectExpr(*keys, *fin)
 
 
 def stat_cols(st: FeatureSettings) -> list[str]:

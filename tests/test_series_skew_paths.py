@@ -47,3 +47,23 @@ def test_features_independent_of_chunk_and_block(spark, sf_small):
     rel = diff / default.abs().clip(lower=1.0)
     assert (rel.fillna(0) < 1e-9).all().all(), rel.max().sort_values().tail(5)
     assert (default.isna() == tiny.isna()).all().all()
+
+
+def test_exact_quantiles_bucketed_scan_matches_numpy(spark):
+    """Heavy duplicates and very few value buckets: still numpy's linear quantiles."""
+    import numpy as np
+    import pytest
+
+    from medfuse.functions.tsfeatures import FeatureSettings, extract_features, fname
+    rng = np.random.default_rng(7)
+    vals = {1: np.concatenate([np.full(300, 2.5), rng.normal(0, 3, 200).round(2)]),   # one hot value
+            2: rng.exponential(5, 257).round(3), 3: np.array([4.0])}
+    rows = [(int(k), float(i), float(v)) for k, xs in vals.items() for i, v in enumerate(xs)]
+    df = spark.createDataFrame(rows, "Patient_ID long, time double, value double")
+    for buckets in (2, 128):
+        st = FeatureSettings(quantile_buckets=buckets).only("F1", "F4")
+        got = extract_features(df, "Patient_ID", "time", settings=st).toPandas().set_index("Patient_ID")
+        for k, xs in vals.items():
+            assert got.loc[k, "value__median"] == pytest.approx(np.median(xs), abs=1e-12)
+            for q in st.quantiles:
+                assert got.loc[k, "value__" + fname("quantile", q=q)] == pytest.approx(np.quantile(xs, q), abs=1e-9)
