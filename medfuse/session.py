@@ -19,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # no Python call-site capture per Column call (plans here have thousands of expressions)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
