@@ -302,3 +302,20 @@ def oracle_sql() -> dict[str, str]:  # noqa: F811
     out = _oracle_5()
     out["s2_csv_scan"] = S2_SQL
     return out
+
+
+# ----------------------------------------------------------------------------- all feature groups in one extraction
+def _all_features_sql() -> str:
+    from medfuse.functions.tsfeatures import ALL_GROUPS
+    parts = [f"(SELECT * FROM ({O.feature_sql(g, prefix='value__')})) g{i}" for i, g in enumerate(ALL_GROUPS)]
+    return "SELECT * FROM " + " FULL JOIN ".join(
+        p if i == 0 else f"{p} USING (Patient_ID)" for i, p in enumerate(parts))
+
+
+_oracle_6 = oracle_sql
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811
+    out = _oracle_6()
+    out["f_all_features"] = _all_features_sql()
+    return out
