@@ -178,11 +178,12 @@ def series_stats(long: DataFrame, keys: list[str], st: FeatureSettings) -> DataF
     base = stat_cols(st)[:-len(qs)]
     if not st.exact_quantiles:
         return agg.select(*keys, *base, *[F.element_at("_qa", i + 1).alias(f"_q{i}") for i in range(len(qs))])
-    exact = exact_quantiles(long, keys, agg.select(*keys, S.N, "_bounds"), qs)
+    exact = exact_quantiles(long, keys, agg.select(*keys, S.N, "_bounds"), qs, b - 1)
     return agg.select(*keys, *base).join(exact, keys, "inner")
 
 
-def exact_quantiles(long: DataFrame, keys: list[str], bounds: DataFrame, qs: list[float]) -> DataFrame:
+def exact_quantiles(long: DataFrame, keys: list[str], bounds: DataFrame, qs: list[float],
+                    n_bounds: int) -> DataFrame:
     """Exact linear-interpolation quantiles ``_q0..`` per series, skew-safe.
 
     (series, value) counts (duplicates collapse map-side) -> bucket by the
@@ -192,8 +193,14 @@ def exact_quantiles(long: DataFrame, keys: list[str], bounds: DataFrame, qs: lis
     Interpolation follows Spark's ``percentile``.
     """
     vc = (long.groupBy(*keys, S.X).agg(F.count(F.lit(1)).alias("_c"))
-              .join(bounds, keys, "inner")
-              .withColumn("_b", F.size(F.filter("_bounds", lambda v: v < _c(S.X)))))
+              .join(bounds, keys, "inner").withColumn("_b", F.lit(0)))
+    # bucket = number of bounds below the value, by binary search over the sorted
+    # bounds (log2 steps of compiled comparisons, no per-element lambda)
+    step = 1 << max(0, max(1, n_bounds).bit_length() - 1)
+    while step >= 1:
+        nxt = _c("_b") + step
+        vc = vc.withColumn("_b", F.when(F.try_element_at("_bounds", nxt) < _c(S.X), nxt).otherwise(_c("_b")))
+        step //= 2
     run = Window.partitionBy(*keys, "_b").orderBy(S.X).rowsBetween(Window.unboundedPreceding, 0)
     local = vc.select(*keys, "_b", S.X, "_c", S.N, F.sum("_c").over(run).alias("_cl"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -243,14 +250,15 @@ def needed_neighbors(st: FeatureSettings) -> tuple[list[int], list[int]]:
 
 # ----------------------------------------------------------------------------- groups on the main pass
 
-def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[Column]]:
-    """(aggregates over rows, final expressions over aggregates) for single-pass groups."""
+def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[Column], list[Column]]:
+    """(aggregates over rows, per-series intermediates, final expressions) for single-pass groups."""
     g = set(st.groups)
     x, rn, n, mean, std, var = _c(S.X), _c(S.RN), _c(S.N), _c("mean"), _c("std"), _c("var")
     mn, mx = _c("min"), _c("max")
     qlist = _quantile_list(st)
     aggs: list[Column] = [F.max(c).alias(c) for c in stat_cols(st)]
     fin: list[Column] = []
+    pre: list[Column] = []
     i = (rn - 1).cast("double")
 
     def at(k):  # value at row number k (Column)
@@ -343,15 +351,19 @@ def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[C
                           _div(F.coalesce(_c(f"_acs{l}"), F.lit(0.0)), (n - l) * var))
     if "F10" in g:
         fin += [acf(l).alias(fname("autocorrelation", lag=l)) for l in st.acf_lags]
-        arr = F.filter(F.array(*[F.when(n > l, acf(l)) for l in range(1, st.agg_acf_maxlag + 1)]),
-                       lambda v: v.isNotNull())
+        # the acf array is materialised once per series (``pre``); the lambdas below
+        # reference nothing but their own arguments, so no outer expression is
+        # re-evaluated per element (higher-order functions are interpreted)
+        pre.append(F.filter(F.array(*[F.when(n > l, acf(l)) for l in range(1, st.agg_acf_maxlag + 1)]),
+                            lambda v: v.isNotNull()).alias("_aarr"))
+        arr = _c("_aarr")
         degenerate = (F.abs(var) < 1e-10) | (n == 1)
-        m = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / F.size(arr)
-        srt = F.array_sort(arr)
         k = F.size(arr)
+        m = F.aggregate(arr, F.lit(0.0), lambda a, v: a + v) / k
+        srt = F.array_sort(arr)
         med = F.when(k % 2 == 1, F.element_at(srt, ((k + 1) / 2).cast("int"))).otherwise(
             (F.element_at(srt, (k / 2).cast("int")) + F.element_at(srt, (k / 2).cast("int") + 1)) / 2.0)
-        vv = F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(arr)
+        vv = F.greatest(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v * v) / k - m * m, F.lit(0.0))
         for fn_name, val in (("mean", m), ("median", med), ("var", vv)):
             if fn_name in st.agg_acf_funcs:
                 fin.append(F.when(degenerate, F.lit(0.0)).otherwise(F.when(k > 0, val))
@@ -438,7 +450,7 @@ def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[C
             vals = {"real": re, "imag": im, "abs": F.sqrt(re * re + im * im),
                     "angle": F.degrees(F.atan2(F.round(im, 9), F.round(re, 9)))}
             fin += [F.when(valid, vals[a]).alias(fname("fft_coefficient", attr=a, coeff=k)) for a in st.fft_attrs]
-    return aggs, fin
+    return aggs, pre, fin
 
 
 def _hist_bin(x: Column, mn: Column, mx: Column, bins: int) -> Column:
@@ -677,9 +689,9 @@ def series_features(long: DataFrame, keys: list[str], st: FeatureSettings, is_ti
     need_nb = bool(lags or leads) or bool(g & {"F14", "F16", "F18"})
     nb = S.with_neighbors(base, keys, S.X, lags, leads, st.block_rows) if need_nb else base
     parts = []
-    aggs, fin = _main_aggs(st, is_time)
+    aggs, pre, fin = _main_aggs(st, is_time)
     if fin:
-        parts.append(nb.groupBy(*keys).agg(*aggs).select(*keys, *fin))
+        parts.append(nb.groupBy(*keys).agg(*aggs).select("*", *pre).select(*keys, *fin))
     if "F7" in g:
         parts.append(_value_counts(base, keys))
     if "F13" in g and st.trend_chunks:
