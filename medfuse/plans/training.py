@@ -97,7 +97,7 @@ def ablation_study(prep: Prepared, classifier: str = "logistic", regressor: str
 
     scopes = [("All", None)] + [(f"No {m.capitalize()}", m) for m in prep.columns]
 
-    @inheritable_thread_target
+    @inheritable_thread_target(prep.train.sparkSession)
     def one(scope):
         name, drop = scope
         cols = {m: cs for m, cs in prep.columns.items() if m != drop}
