@@ -65,6 +65,3 @@ def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int, columns: list[str]):
-    """At most ``rows`` rows in the order of ``key``, as a pandas frame (a documented bound for training data)."""
-    return df.orderBy(key, *[F.col(c) for c in columns]).limit(rows).select(*columns).toPandas()

@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medfuse.llm import simhash
+from medfuse.llm import crf_langid, fm_decontam, line_dedup, mixing, simhash
 from medfuse.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), slim_rows=True)
+
+
 QUERIES = {f.__name__: f for f in (
-    op4_simhash_near_dedup,
+    op1_line_dedup, op4_simhash_near_dedup, op8_language_id, op9_benchmark_decontamination, op10_mix_sources,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_mix_sources": mixing.oracle_sql()}

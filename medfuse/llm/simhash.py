@@ -13,11 +13,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medfuse.llm import textbytes as tb
-from medfuse.llm.common import cut, discard
+from medfuse.llm.common import cut, discard, fresh
 from medfuse.llm.components import components
 
 WORDS_PER_SHINGLE = 4
@@ -182,3 +182,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     discard(linked)
     return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id, unchanged.
+
+    Rows that share an id are one document, of which the row with the smallest hash of its text stays.  Rows with a NULL
+    id cannot be named by a group and stay.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
+    key, (gone_id,) = F.col(f"`{id_col}`"), fresh(docs, "gone_id")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, key.cast("bigint") == F.col(gone_id), "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        (place,) = fresh(docs, "place")
+        order = Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`")), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        kept = kept.withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | key.isNull()).drop(place)
+    return kept
