@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medfuse.llm import crf_langid, fm_decontam, line_dedup, mixing, simhash
+from medfuse.llm import chat_format, crf_langid, fm_decontam, line_dedup, mixing, quality, simhash, url_filter
 from medfuse.llm.common import table
 
 
@@ -12,10 +12,22 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.with_conflict(table(spark, sf_dir, "conversations")))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.identify(table(spark, sf_dir, "documents"))
 
@@ -29,7 +41,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op4_simhash_near_dedup, op8_language_id, op9_benchmark_decontamination, op10_mix_sources,
+    op1_line_dedup, op2_chat_formatting, op3_quality_classifier, op4_simhash_near_dedup, op7_url_filter, op8_language_id,
+    op9_benchmark_decontamination, op10_mix_sources,
 )}
 
-ORACLES: dict[str, str] = {"op10_mix_sources": mixing.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat_format.oracle_sql(),
+    "op10_mix_sources": mixing.oracle_sql(),
+}
