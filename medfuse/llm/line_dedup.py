@@ -15,6 +15,8 @@ Only hashes are shuffled until the very end: the texts move once, to meet the nu
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +30,30 @@ MIN_DOCS = 2
 LAST = (1 << 63) - 1
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line; any token with a digit becomes the variable field."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\s]*[0-9][^\s]*", VARIABLE)).otherwise(line)
-    return F.split(F.trim(F.regexp_replace(masked, r"\s+", " ")), " ")
+def _masked(text: Column) -> Column:
+    """The text with one blank between tokens of a line, and any token with a digit as the variable field.
+
+    Both rewrites run only over texts that need them: a search is far cheaper than a copy.
+    """
+    ragged = reduce(lambda a, b: a | b, [text.contains(x) for x in ("  ", "\t", "\r", "\f", "\x0b", " \n", "\n ")])
+    even = F.when(ragged, F.regexp_replace(F.regexp_replace(text, r"[\t\r\f\x0B ]+", " "), r" ?\n ?", "\n")).otherwise(text)
+    digits = reduce(lambda a, b: a | b, [text.contains(str(d)) for d in range(10)])
+    return F.when(digits, F.regexp_replace(even, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE)).otherwise(even)
 
 
 def tree_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, fields: int) -> DataFrame:
     """One row per line that reaches a leaf: document, line number, leaf, wording, fields, neighbourhood."""
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"),
-                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), _tokens(line).alias("t")))
+                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _masked(F.col(text_col)).alias("text"))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), F.split(F.trim(line), " ").alias("t")))
     long = F.filter(lines, lambda x: F.size(x["t"]) >= depth)
     # the beginning of each line, as one hash; the two lowest of a document name the neighbourhoods of all its lines
     begun = F.transform(long, lambda x: F.struct(
         x["no"].alias("no"), F.size(x["t"]).alias("n"), x["t"].alias("t"), F.xxhash64(F.slice(x["t"], 1, depth)).alias("lead")))
     heads = base.select("doc", "rid", begun.alias("lines"))
     lows = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["lead"]))), 1, 2)
-    rows = (heads.where(F.size("lines") > 0).select("doc", "rid", lows.alias("lows"), F.explode("lines").alias("line"))
+    # the outer form: Spark would test the lines of a plain explode for emptiness by parsing the text once more
+    rows = (heads.select("doc", "rid", lows.alias("lows"), F.explode_outer("lines").alias("line")).where("line IS NOT NULL")
             .select("doc", "rid", "lows", "line.*"))
     step = f"CAST(ceil((n - {depth}) / {fields}) AS INT)"
     parts = [F.expr(f"IF(n > {depth + i}, IF(n <= {depth + fields}, xxhash64(t[{depth + i}]), "
@@ -121,7 +129,8 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     masks = dropped_lines(docs, id_col, text_col, **settings).select(
         F.col("rid").alias(key), F.col("gone").alias(gone), F.col("n_gone").alias(n_gone))
     rows = docs.withColumn(rid, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    both = rows.join(masks, rows[rid] == masks[key], "left")
+    # always by sort-merge: the masks grow with the corpus, and the plan is then the same at every size
+    both = rows.join(masks.hint("merge"), rows[rid] == masks[key], "left")
     # a binary slice is taken in one step, so a long text costs no more for each line than a short one
     kept = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"),
                                  lambda _, i: F.substring(F.col(gone), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
