@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medfuse.llm import chat_format, crf_langid, fm_decontam, line_dedup, mixing, quality, simhash, url_filter, vamana
+from medfuse.llm import chat_format, crf_langid, fm_decontam, line_dedup, mixing, quality, simhash, surrogates, url_filter, vamana
 from medfuse.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vamana.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_mentions(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_chat_formatting, op3_quality_classifier, op4_simhash_near_dedup, op5_embedding_near_dedup,
-    op7_url_filter, op8_language_id, op9_benchmark_decontamination, op10_mix_sources,
+    op6_pii_surrogates, op7_url_filter, op8_language_id, op9_benchmark_decontamination, op10_mix_sources,
 )}
 
 ORACLES: dict[str, str] = {
