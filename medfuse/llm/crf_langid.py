@@ -23,12 +23,22 @@ BITS = 17                   # size of the feature table, as a power of two
 SAMPLE_ROWS = 300           # training documents of one language at most, in the order of a hash of their id
 SAMPLE_BYTES = 20_000       # longer documents do not train
 MAX_LANGUAGES = 200
+CHUNK = 1 << 14             # distinct words whose features are made at once
 UNKNOWN = "und"
 SEQUENCE = 64               # words of a training sequence
 EPOCHS = 3
 
 
 def word_features(words: tb.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_some_features`` of any number of words, a few thousand at a time."""
+    parts = [_some_features(words, which[a:a + CHUNK]) for a in range(0, len(which), CHUNK)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    sizes = np.concatenate([np.diff(first) for _, first in parts])
+    return np.concatenate([buckets for buckets, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _some_features(words: tb.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, first): feature buckets of the words numbered ``which``, one run of buckets per word.
 
     Lexicon feature: the whole word.  N-gram features: its runs of one to four bytes, with a blank on either side.  Affix
@@ -57,7 +67,7 @@ def word_features(words: tb.Words, which: np.ndarray) -> tuple[np.ndarray, np.nd
     owner.append(np.arange(len(which)))
     buckets, owners = np.concatenate(found), np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
-    return buckets[order], np.searchsorted(owners[order], np.arange(len(which) + 1))
+    return buckets[order].astype(np.int32), np.searchsorted(owners[order], np.arange(len(which) + 1))
 
 
 @dataclass
@@ -70,8 +80,10 @@ class Model:
     def emissions(self, words: tb.Words) -> np.ndarray:
         """Word x language scores; each distinct word is scored once."""
         _, sample, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        buckets, first = word_features(words, sample)
-        scores = tb.group_sums(self.weights[buckets], first) / np.sqrt(np.maximum(1, np.diff(first)))[:, None]
+        scores = np.empty((len(sample), len(self.languages)))
+        for a in range(0, len(sample), CHUNK):
+            buckets, first = _some_features(words, sample[a:a + CHUNK])
+            scores[a:a + CHUNK] = np.add.reduceat(self.weights[buckets], first[:-1], axis=0, dtype=np.float64) / np.sqrt(np.diff(first))[:, None]
         return scores[back.ravel()]
 
 
@@ -195,7 +207,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str, out_cols: tuple
             names = batch.schema.names
             at = names.index(lang_col)
             langs, scores = [], []
-            for first, end, data, offsets in tb.blocks(batch.column(at), 2 * tb.BLOCK_BYTES):
+            for first, end, data, offsets in tb.blocks(batch.column(at)):
                 lang, score = label_block(m, data, offsets)
                 langs += lang
                 scores.append(score)
