@@ -6,9 +6,9 @@ its template keeps, field by field, the wording that most of them share, and a l
 fields joins that template; every other line is a template of its own.
 
 A template recurs if it stands in two or more documents that are not copies of each other.  A document's neighbourhood
-of a line is the lowest hash of the line beginnings in the rest of the document; copies and near copies of a document
-agree on it, unrelated documents do not.  A template recurs when no neighbourhood accounts for more than half of its
-documents.  Copies are thus left whole for the near-duplicate operators, which keep one of each group.
+of a line is the three lowest hashes of the line beginnings in the rest of the document; copies and near copies of a
+document agree on them, documents that share some recurring lines do not.  A template recurs when no neighbourhood accounts for
+more than half of its documents.  Copies are thus left whole for the near-duplicate operators, which keep one of each group.
 
 Only hashes are shuffled until the very end: the texts move once, to meet the numbers of their dropped lines.
 """
@@ -27,6 +27,7 @@ FIELDS = 8
 SIMILARITY = 0.7
 VARIABLE = "<*>"
 MIN_DOCS = 2
+AROUND = 3              # line beginnings that make a neighbourhood
 LAST = (1 << 63) - 1
 
 
@@ -47,20 +48,22 @@ def tree_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, fields:
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _masked(F.col(text_col)).alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), F.split(F.trim(line), " ").alias("t")))
     long = F.filter(lines, lambda x: F.size(x["t"]) >= depth)
-    # the beginning of each line, as one hash; the two lowest of a document name the neighbourhoods of all its lines
+    # the beginning of each line, as one hash; the lowest of a document name the neighbourhoods of all its lines
     begun = F.transform(long, lambda x: F.struct(
         x["no"].alias("no"), F.size(x["t"]).alias("n"), x["t"].alias("t"), F.xxhash64(F.slice(x["t"], 1, depth)).alias("lead")))
     heads = base.select("doc", "rid", begun.alias("lines"))
-    lows = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["lead"]))), 1, 2)
+    lows = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["lead"]))), 1, AROUND + 1)
     # the outer form: Spark would test the lines of a plain explode for emptiness by parsing the text once more
-    rows = (heads.select("doc", "rid", lows.alias("lows"), F.explode_outer("lines").alias("line")).where("line IS NOT NULL")
+    # and ``lows`` in a step of its own, or every line would carry all lines of its document through the explode
+    named = heads.select("doc", "rid", "lines", lows.alias("lows"))
+    rows = (named.select("doc", "rid", "lows", F.explode_outer("lines").alias("line")).where("line IS NOT NULL")
             .select("doc", "rid", "lows", "line.*"))
     step = f"CAST(ceil((n - {depth}) / {fields}) AS INT)"
     parts = [F.expr(f"IF(n > {depth + i}, IF(n <= {depth + fields}, xxhash64(t[{depth + i}]), "
                     f"xxhash64(slice(t, {depth + 1} + {i} * {step}, {step}))), 0)").alias(f"f{i}") for i in range(fields)]
     return rows.select(
         "doc", "rid", "no", "n", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("t").alias("wording"),
-        F.expr("IF(lead <> lows[0], lows[0], IF(size(lows) > 1, lows[1], NULL))").alias("around"), *parts)
+        F.xxhash64(F.expr(f"slice(filter(lows, x -> x <> lead), 1, {AROUND})")).alias("around"), *parts)
 
 
 def _used(i: int, depth: int, fields: int) -> str:
