@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from medfuse.functions import series as S
+from medfuse.session import materialize
 
 SIG = "signal"
 ALL_GROUPS = ("F1", "F2", "F3", "F4", "F5", "F6", "F7", "F8", "F9", "F10", "F11",
@@ -76,7 +77,6 @@ class FeatureSettings:
     fft_coeffs: tuple = tuple(range(10))
     fft_attrs: tuple = ("real", "imag", "abs", "angle")
     groups: tuple = ALL_GROUPS
-    exact_quantiles: bool = True        # False -> percentile_approx only (one pass fewer)
     quantile_buckets: int = 128         # value buckets per series for the exact quantile scan
     chunk_width: float | None = None    # time chunk for ranking (seconds, or sort units)
     block_rows: int = S.DEFAULT_BLOCK_ROWS
@@ -115,7 +115,14 @@ def _bool(c: Column) -> Column:
     return c.cast("double")
 
 
+#: Groups with a feature made from quantiles, and groups that need no order of the readings.
+QUANTILE_GROUPS = {"F1", "F4", "F6", "F17"}
+UNORDERED_GROUPS = {"F1", "F2", "F3", "F4", "F5", "F6"}
+
+
 def _quantile_list(st: FeatureSettings) -> list[float]:
+    if not set(st.groups) & QUANTILE_GROUPS:
+        return []
     qs = {0.5, *st.quantiles}
     if "F17" in st.groups:
         for lo, hi in st.change_q:
@@ -146,7 +153,11 @@ def _lr(sxx, syy, sxy, avg_x, avg_y, n) -> dict[str, Column]:
 
 def prepare_long(df: DataFrame, column_id: str, column_sort: str | None,
                  signals: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Wide readings -> long (id, t, signal, x) with NULL/NaN readings dropped."""
+    """Wide readings -> long (id, t, signal, x).
+
+    One rule for bad readings, for every feature: a reading without a time, and a
+    value that is NULL, NaN or infinite, does not count.
+    """
     if column_sort is None or column_sort not in df.columns:
         raise ValueError("a sort column is required; use operators.clean.dummy_time first")
     signals = signals or [c for c in df.columns if c not in (column_id, column_sort)
@@ -156,7 +167,8 @@ def prepare_long(df: DataFrame, column_id: str, column_sort: str | None,
     wide = df.select(_c(column_id), _c(column_sort).alias(S.T),
                      *[_c(s).cast("double").alias(s) for s in signals])
     long = wide.unpivot([column_id, S.T], signals, SIG, S.X)
-    return long.where(_c(S.X).isNotNull() & ~F.isnan(_c(S.X))), signals
+    finite = _c(S.X).isNotNull() & ~F.isnan(_c(S.X)) & (F.abs(_c(S.X)) < float("inf"))
+    return long.where(finite & _c(S.T).isNotNull()), signals
 
 
 def series_stats(long: DataFrame, keys: list[str], st: FeatureSettings) -> DataFrame:
@@ -164,20 +176,20 @@ def series_stats(long: DataFrame, keys: list[str], st: FeatureSettings) -> DataF
 
     Quantiles leave as scalar columns ``_q0..`` so every later aggregate that
     carries them keeps fixed-width buffers (hash aggregation, whole-stage codegen).
-    Exact quantiles never gather a series in one buffer (see ``exact_quantiles``).
+    Exact quantiles never gather a series in one buffer (see ``exact_quantiles``);
+    they are left out when no group of ``st`` uses one.
     """
     x = _c(S.X)
     qs = _quantile_list(st)
     b = st.quantile_buckets
-    extra = ([F.percentile_approx(x, [i / b for i in range(1, b)], 10 * b).alias("_bounds")] if st.exact_quantiles
-             else [F.percentile_approx(x, qs, 100_000).alias("_qa")])
+    extra = [F.percentile_approx(x, [i / b for i in range(1, b)], 10 * b).alias("_bounds")] if qs else []
     agg = long.groupBy(*keys).agg(
         F.count(x).alias(S.N), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
         F.var_pop(x).alias("var"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.min(S.T).alias("t0"), F.sum(F.abs(x)).alias("abs_sum"), *extra)
-    base = stat_cols(st)[:-len(qs)]
-    if not st.exact_quantiles:
-        return agg.select(*keys, *base, *[F.element_at("_qa", i + 1).alias(f"_q{i}") for i in range(len(qs))])
+    base = stat_cols(st)[:len(stat_cols(st)) - len(qs)]
+    if not qs:
+        return agg.select(*keys, *base)
     exact = exact_quantiles(long, keys, agg.select(*keys, S.N, "_bounds"), qs, b - 1)
     return agg.select(*keys, *base).join(exact, keys, "inner")
 
@@ -683,11 +695,23 @@ def _entropies(nb: DataFrame, keys: list[str], st: FeatureSettings) -> DataFrame
 def series_features(long: DataFrame, keys: list[str], st: FeatureSettings, is_time: bool) -> DataFrame:
     """Per-series feature table (one row per ``keys``) for the long frame (t, x)."""
     g = set(st.groups)
+    if g <= UNORDERED_GROUPS:
+        # no order, no neighbours: the statistics meet the readings once
+        aggs, pre, fin = _main_aggs(st, is_time)
+        joined = long.join(series_stats(long, keys, st), keys)
+        return joined.groupBy(*keys).agg(*aggs).select("*", *pre).select(*keys, *fin)
+    branches = len(g & {"F7", "F13", "F14", "F16", "F18", "F20", "F21"})
     stats = series_stats(long, keys, st)
+    if branches:
+        stats = materialize(stats)
     base = S.rank_series(long, keys, [S.T, S.X], st.chunk_width, stats)
+    if branches > 1:
+        base = materialize(base)
     lags, leads = needed_neighbors(st)
     need_nb = bool(lags or leads) or bool(g & {"F14", "F16", "F18"})
     nb = S.with_neighbors(base, keys, S.X, lags, leads, st.block_rows) if need_nb else base
+    if branches > 1 and need_nb:
+        nb = materialize(nb)
     parts = []
     aggs, pre, fin = _main_aggs(st, is_time)
     if fin:
@@ -706,7 +730,10 @@ def series_features(long: DataFrame, keys: list[str], st: FeatureSettings, is_ti
         parts.append(_entropies(nb, keys, st))
     if not parts:
         raise ValueError("no feature group selected")
-    return reduce(lambda a, b: a.join(b, keys, "full"), parts)
+    if len(parts) == 1:
+        return parts[0]
+    # every part has one row per series at most, and the statistics have them all
+    return reduce(lambda a, b: a.join(b, keys, "left"), parts, stats.select(*keys))
 
 
 def extract_features(df: DataFrame, column_id: str = "Patient_ID", column_sort: str = "time",

@@ -46,7 +46,7 @@ EHR_CTE = f"""ehr AS (
   FROM customer c LEFT JOIN lab ON lab.Patient_ID = c.c_custkey)"""
 
 IMAGING_CTE = "imaging AS (SELECT vec_id AS Patient_ID, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(fx.IMAGING_DIMS)) + " FROM embeddings)"
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(fx.ORACLE_IMAGING_DIMS)) + " FROM embeddings)"
 
 WEARABLES_CTE = f"""wearables AS (
   SELECT user_id AS Patient_ID, ts AS time,

@@ -21,7 +21,7 @@ from medfuse.sources import fixtures as fx  # noqa: E402
 MOD_COLS = {
     "ehr": [("Patient_ID", False), ("acctbal", True), ("nationkey", False), ("mktsegment", False),
             ("CVD_Presence", False), ("Time_To_Event", True)],
-    "imaging": [("Patient_ID", False)] + [(f"e{i}", True) for i in range(fx.IMAGING_DIMS)],
+    "imaging": [("Patient_ID", False)] + [(f"e{i}", True) for i in range(fx.ORACLE_IMAGING_DIMS)],
     "wearables": [("Patient_ID", False), ("time", False), ("value", True)],
     "genomic": [("Patient_ID", False)] + [(f"g{i + 1}", False) for i in range(len(fx.PRIORITIES))],
 }
@@ -139,16 +139,17 @@ def _j5() -> str:
 
 
 def _j2_matrix() -> str:
-    """Slice 1: imputed modalities, F1+F2+F8 wearables features, patient-grain joins."""
+    """Slice 1: imputed modalities, all wearables feature groups, patient-grain joins."""
     wi = ("wi AS (SELECT Patient_ID, time, coalesce(value, (SELECT avg(value) FROM wearables)) AS value "
           "FROM wearables)")
-    feats = [feature_sql(g, source="wi", prefix="value__", pre_ctes=(wi,)) for g in ("F1", "F2", "F8")]
+    from medfuse.functions.tsfeatures import ALL_GROUPS
+    feats = " ".join(f"JOIN ({feature_sql(g, source='wi', prefix='value__', pre_ctes=(wi,))}) f{i} USING (Patient_ID)"
+                     for i, g in enumerate(ALL_GROUPS))
     ehr = _impute_select("ehr")
     img = _impute_select("imaging", prefix="imaging_")
     gen = _impute_select("genomic", prefix="genomic_")
     return _w(f"""SELECT * FROM ({ehr}) e JOIN ({img}) i USING (Patient_ID)
-        JOIN ({feats[0]}) f1 USING (Patient_ID) JOIN ({feats[1]}) f2 USING (Patient_ID)
-        JOIN ({feats[2]}) f8 USING (Patient_ID) JOIN ({gen}) g USING (Patient_ID)""")
+        {feats} JOIN ({gen}) g USING (Patient_ID)""")
 
 
 _base_oracle = oracle_sql

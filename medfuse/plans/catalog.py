@@ -218,7 +218,7 @@ from medfuse.session import scratch_path  # noqa: E402
 from medfuse.sources import model_store as MS  # noqa: E402
 
 PRED_COLS = [KEY, "p_class1", "pred_class", "pred_time"]
-FIXED_WEIGHTS = [(-1) ** i / (i + 1) for i in range(fx.IMAGING_DIMS)]   # declared attribution weights
+FIXED_WEIGHTS = [(-1) ** i / (i + 1) for i in range(fx.ORACLE_IMAGING_DIMS)]   # declared attribution weights
 FIXED_INTERCEPT = 0.1
 
 

@@ -18,7 +18,7 @@ from medfuse.operators.split import is_test
 from medfuse.sources import fixtures as fx
 from medfuse.sources.fixtures import KEY
 
-BASIC_FEATURES = FeatureSettings().only("F1", "F2", "F8")
+ALL_FEATURES = FeatureSettings()       # every group; pass ``settings`` for fewer
 
 
 def impute_modalities(mods: dict[str, DataFrame], fit_filter: Column | None = None) -> dict[str, DataFrame]:
@@ -27,7 +27,7 @@ def impute_modalities(mods: dict[str, DataFrame], fit_filter: Column | None = No
             for name, df in mods.items()}
 
 
-def build_feature_matrix(mods: dict[str, DataFrame], settings: FeatureSettings = BASIC_FEATURES,
+def build_feature_matrix(mods: dict[str, DataFrame], settings: FeatureSettings = ALL_FEATURES,
                          fit_filter: Column | None = None, time_col: str = "time") -> DataFrame:
     imp = impute_modalities(mods, fit_filter)
     ts = extract_features(imp["wearables"], KEY, time_col, settings=settings)
@@ -38,7 +38,7 @@ def build_feature_matrix(mods: dict[str, DataFrame], settings: FeatureSettings =
     return ensure_column(patient, "Time_To_Event", 0.0)
 
 
-def patient_feature_matrix(spark: SparkSession, sf_dir: str, settings: FeatureSettings = BASIC_FEATURES,
+def patient_feature_matrix(spark: SparkSession, sf_dir: str, settings: FeatureSettings = ALL_FEATURES,
                            fit_scope: str = "all", test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """``fit_scope='train'`` learns imputation means on train patients only (Q6)."""
     mods = fx.modalities(spark, sf_dir)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from medfuse.functions.tsfeatures import FeatureSettings, extract_features
 from medfuse.operators.models import predict
-from medfuse.plans.features import BASIC_FEATURES
+from medfuse.plans.features import ALL_FEATURES
 from medfuse.sources import records as R
 from medfuse.sources.fixtures import KEY
 
@@ -43,7 +43,7 @@ def flatten(valid: DataFrame, columns: dict[str, list[str]], signals: list[str])
 
 
 def score_records(raw: DataFrame, model: PipelineModel, columns: dict[str, list[str]],
-                  settings: FeatureSettings = BASIC_FEATURES, signals: tuple[str, ...] = ("value",)
+                  settings: FeatureSettings = ALL_FEATURES, signals: tuple[str, ...] = ("value",)
                   ) -> tuple[DataFrame, DataFrame]:
     """M8: (results, quarantine) for a DataFrame of JSON text in ``value``."""
     valid, quarantine = R.validate(R.parse_records(raw))

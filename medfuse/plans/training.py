@@ -20,7 +20,7 @@ from medfuse.operators import metrics as Mx
 from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, modality_columns,
                                       predict, usable_columns)
 from medfuse.operators.split import assign_split, is_test
-from medfuse.plans.features import BASIC_FEATURES, build_feature_matrix
+from medfuse.plans.features import ALL_FEATURES, build_feature_matrix
 from medfuse.session import ensure_checkpoint_dir
 from medfuse.sources import fixtures as fx
 from medfuse.sources.fixtures import KEY
@@ -42,7 +42,7 @@ class Trained:
     columns: dict[str, list[str]]
 
 
-def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSettings = BASIC_FEATURES,
+def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSettings = ALL_FEATURES,
             test_size: float = 0.2, validation_size: float = 0.0, seed: int = 42,
             fit_scope: str = "train") -> Prepared:
     fit_filter = ~is_test(KEY, test_size, seed) if fit_scope == "train" else None
@@ -114,7 +114,7 @@ def training_report(*metric_tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, metric_tables)
 
 
-def run_training(spark: SparkSession, sf_dir: str, settings: FeatureSettings = BASIC_FEATURES,
+def run_training(spark: SparkSession, sf_dir: str, settings: FeatureSettings = ALL_FEATURES,
                  classifier: str = "logistic", regressor: str = "linear", ablation: bool = True):
     """The reference's ``train`` flow on the testdata modality views."""
     prep = prepare(spark, fx.modalities(spark, sf_dir), settings)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package relies on.  AQE re-plans joins at run time
 # (broadcast only when the measured side is under the threshold; split skewed
@@ -27,7 +29,7 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark_session(app_name: str = "MultimodalDataPipeline", master: str | None = None,
+def get_spark_session(app_name: str = "medfuse", master: str | None = None,
                       conf: dict[str, str] | None = None) -> SparkSession:
     """Get or create the named session.
 
@@ -48,8 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, registering it with the context.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    always wins.  Only when it is unset (local runs, tests) a scratch folder is
-    created and recorded in the session conf so later calls reuse it.
+    always wins.  Only where it is unset and the master is local (tests) a scratch
+    folder is created; on a cluster executors could not see it, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current is not None:
         return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="medfuse-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -71,3 +75,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     base = base[len("file:"):] if base.startswith("file:") and not base.startswith("file://") else base
     return os.path.join(base, "tables", name) if "://" not in base else f"{base.rstrip('/')}/tables/{name}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as parquet into the shared folder and read it back (S3).
+
+    Several consumers then scan pruned columns of a written table instead of
+    recomputing the plan, and a lost executor costs a re-read only.
+    """
+    path = scratch_path(df.sparkSession, f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

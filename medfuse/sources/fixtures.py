@@ -4,7 +4,7 @@ The testdata has no patient tables, so each modality is a view over one of
 them, keyed ``Patient_ID`` (= c_custkey = events.user_id = vec_id = o_custkey):
 
 - ``ehr``        customer, with labels derived from events
-- ``imaging``    embeddings, first eight vector elements
+- ``imaging``    embeddings, every vector element (width from the data)
 - ``wearables``  events as a long (Patient_ID, time, value) series
 - ``genomic``    orders counted per priority
 
@@ -23,7 +23,7 @@ VALUE_NULL_EVERY = 11         # wearables.value is NULL when event_id % 11 = 0
 CVD_THRESHOLD = 49.5          # CVD_Presence = avg(value) > 49.5
 EVENT_THRESHOLD = 100.0       # Time_To_Event: first reading above 100 ...
 EVENT_ORIGIN = "2024-01-01 00:00:00"  # ... in days since this instant
-IMAGING_DIMS = 8
+ORACLE_IMAGING_DIMS = 64      # width of the test embeddings, for the oracle's SQL text only
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 MODALITIES = ["ehr", "imaging", "wearables", "genomic"]
 LABEL_COLS = ["CVD_Presence", "Time_To_Event"]
@@ -61,8 +61,9 @@ def ehr(spark: SparkSession, sf_dir: str, inject_nulls: bool = True) -> DataFram
 
 def imaging(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
+    width = e.agg(F.max(F.size("embedding")).alias("w")).first()["w"] or 0
     return e.select(F.col("vec_id").alias(KEY),
-                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(IMAGING_DIMS)])
+                    *[F.try_element_at("embedding", F.lit(i + 1)).cast("double").alias(f"e{i}") for i in range(width)])
 
 
 def wearables(spark: SparkSession, sf_dir: str, inject_nulls: bool = True) -> DataFrame:

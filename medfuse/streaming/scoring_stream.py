@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medfuse.functions.tsfeatures import FeatureSettings
-from medfuse.plans.features import BASIC_FEATURES
+from medfuse.plans.features import ALL_FEATURES
 from medfuse.plans.scoring import score_records
 from medfuse.sources import records as R
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                          model: PipelineModel, columns: dict[str, list[str]],
-                         settings: FeatureSettings = BASIC_FEATURES, available_now: bool = True,
+                         settings: FeatureSettings = ALL_FEATURES, available_now: bool = True,
                          max_files_per_trigger: int | None = None):
     stream = R.read_record_stream(spark, source_dir, max_files_per_trigger)
 
