@@ -115,8 +115,8 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] | None = None, exclude: It
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Missing numeric values (NULL and NaN) -> 0."""
-    cols = cols or numeric_columns(df)
+    """Missing numeric values (NULL and NaN) -> 0; by default not in the key and the labels."""
+    cols = cols or numeric_columns(df, (KEY, *LABEL_COLS))
     return df.withColumns({c: F.coalesce(nan_to_null(F.col(f"`{c}`")) if isinstance(
         df.schema[c].dataType, (DoubleType, FloatType)) else F.col(f"`{c}`"), F.lit(0)) for c in cols})
 
@@ -169,14 +169,6 @@ def last_k_sequence(df: DataFrame, k: int, key: str = KEY, time: str = "time", v
                     lambda s: F.struct(s["time"].alias("time"), s["value"].alias("value"))).alias("sequence"))
 
 
-def lag_columns(df: DataFrame, k: int, key: str = KEY, time: str = "time", value: str = "value",
-                chunk_width: float | None = None) -> DataFrame:
-    """R14 alternative: ``value_lag_1..k`` columns on every reading (halo blocks, skew-safe)."""
-    ranked = S.rank_series(df.where(F.col(value).isNotNull()), [key], [time, value], chunk_width)
-    nb = S.with_neighbors(ranked, [key], value, list(range(1, k + 1)), [])
-    return nb.select(key, time, value, *[F.col(f"lag_{i}").alias(f"{value}_lag_{i}") for i in range(1, k + 1)])
-
-
 # R16 ----------------------------------------------------------------------------------------------
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
     """Mean and population standard deviation per column, one aggregate."""

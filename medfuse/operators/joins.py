@@ -40,11 +40,6 @@ def merge_modalities(tables: dict[str, DataFrame], key: str = KEY, key_type: str
     return joined.select(*cols)
 
 
-def join_features(df: DataFrame, features: DataFrame, key: str = KEY) -> DataFrame:
-    """Inner join of per-patient features on the key."""
-    return df.join(features, key, "inner")
-
-
 def wide_concat(tables: Sequence[DataFrame], key: str = KEY) -> DataFrame:
     """Column-wise union aligned on the key (full outer join, key coalesced)."""
     return reduce(lambda a, b: a.join(b, key, "full"), tables)

@@ -123,13 +123,10 @@ def evaluate(df: DataFrame, label: str = "label", p: str | None = "p", probs: st
         scored = df.select(_c(label).alias("label"), _c(p).alias("p"),
                            F.when(_c(p) > 0.5, 1).otherwise(0).alias("pred_class"),
                            *([_c(y).alias("y"), _c(y_hat).alias("y_hat")] if y and y_hat else []))
-    parts = [classification_metrics(scored), roc_auc(scored)]
+    parts = [(classification_metrics(scored), ["accuracy", "precision", "recall", "f1"]), (roc_auc(scored), ["roc_auc"])]
     if y and y_hat:
-        parts.append(regression_metrics(scored))
-    names = ["accuracy", "precision", "recall", "f1", "roc_auc"] + (["mae", "mse", "rmse", "r2", "mape"] if y and y_hat else [])
-    longs = []
-    for part in parts:
-        for c in part.columns:
-            if c in names:
-                longs.append(part.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")))
+        parts.append((regression_metrics(scored), ["mae", "mse", "rmse", "r2", "mape"]))
+    # one aggregate row per part, turned into long rows: a part's input is read once for all of its metrics
+    longs = [part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                             for c in names])).alias("m")).select("m.*") for part, names in parts]
     return reduce(DataFrame.unionByName, longs)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, Interaction, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -24,22 +24,24 @@ from medfuse.operators.clean import numeric_columns
 from medfuse.sources.fixtures import KEY, LABEL_COLS
 
 CLASS_LABEL, REG_LABEL = LABEL_COLS
-MODALITY_PREFIX = {"imaging": "imaging_", "wearables": "value__", "genomic": "genomic_"}
-
-
-def modality_columns(df: DataFrame, key: str = KEY, labels: Sequence[str] = LABEL_COLS,
-                     extra_exclude: Sequence[str] = ()) -> dict[str, list[str]]:
-    """Numeric feature columns grouped by modality (EHR = the unprefixed ones)."""
-    cols = numeric_columns(df, [key, *labels, *extra_exclude])
-    out: dict[str, list[str]] = {"ehr": [], "imaging": [], "wearables": [], "genomic": []}
-    for c in cols:
-        for m, p in MODALITY_PREFIX.items():
-            if c.startswith(p) or c.startswith(f"{m}_"):
-                out[m].append(c)
-                break
+FUSED_COMPONENTS = 3      # leading components of a modality that the fusion multiplies with the next one's
+
+
+def modality_layout(mods: dict[str, DataFrame], matrix: DataFrame, key: str = KEY, labels: Sequence[str] = LABEL_COLS,
+                    time: str = "time") -> dict[str, list[str]]:
+    """Which matrix columns each modality gave, in the order of its own columns.
+
+    Taken from the modality frames themselves, never guessed from names: a prefixed column per numeric
+    column, and for the wearables every ``<signal>__`` feature of each of their signals.
+    """
+    out = {}
+    for name, df in mods.items():
+        own = numeric_columns(df, [key, time, *labels])
+        if name == "wearables":
+            out[name] = [c for c in matrix.columns if any(c.startswith(f"{s}__") for s in own)]
         else:
-            out["ehr"].append(c)
-    return {m: c for m, c in out.items() if c}
+            out[name] = [c if name == "ehr" else f"{name}_{c}" for c in own]
+    return out
 
 
 def usable_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -82,6 +84,8 @@ def build_pipeline(columns: dict[str, list[str]], fusion: bool = True, classifie
 
     Stages: Imputer (train means, NULL and NaN) -> per-modality assemble + scale
     (fusion) or one assemble + scale (flat) -> class head [-> regression head].
+    The fusion also multiplies the leading components of each modality with those
+    of the next one, so that it can learn what modalities say together.
     """
     all_cols = [c for cols in columns.values() for c in cols]
     imputed = {c: f"{c}__imp" for c in all_cols}
@@ -92,21 +96,32 @@ def build_pipeline(columns: dict[str, list[str]], fusion: bool = True, classifie
             stages.append(VectorAssembler(inputCols=[imputed[c] for c in cols], outputCol=f"{m}_vec",
                                           handleInvalid="keep"))
             stages.append(StandardScaler(inputCol=f"{m}_vec", outputCol=f"{m}_scaled", withMean=True, withStd=True))
+            stages.append(PCA(k=min(FUSED_COMPONENTS, len(cols)), inputCol=f"{m}_scaled", outputCol=f"{m}_pca"))
+            stages.append(VectorAssembler(inputCols=[f"{m}_pca"], outputCol=f"{m}_lead"))     # names what Interaction multiplies
             scaled.append(f"{m}_scaled")
-        stages.append(VectorAssembler(inputCols=scaled, outputCol="features"))
+        crossed = []
+        for a, b in zip(columns, list(columns)[1:]):
+            stages.append(Interaction(inputCols=[f"{a}_lead", f"{b}_lead"], outputCol=f"{a}_x_{b}"))
+            crossed.append(f"{a}_x_{b}")
+        stages.append(VectorAssembler(inputCols=scaled + crossed, outputCol="features"))
     else:
         stages.append(VectorAssembler(inputCols=[imputed[c] for c in all_cols], outputCol="raw_features",
                                       handleInvalid="keep"))
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-    stages.append(_class_head(classifier, len(all_cols), validation_col, seed))
+    stages.append(_class_head(classifier, len(feature_names(columns, fusion)), validation_col, seed))
     if regressor:
         stages.append(_reg_head(regressor, validation_col, seed))
     return Pipeline(stages=stages)
 
 
-def feature_names(columns: dict[str, list[str]]) -> list[str]:
-    """Order of the entries of the fused ``features`` vector."""
-    return [c for cols in columns.values() for c in cols]
+def feature_names(columns: dict[str, list[str]], fusion: bool = False) -> list[str]:
+    """Order of the entries of the ``features`` vector."""
+    names = [c for cols in columns.values() for c in cols]
+    if fusion:
+        for a, b in zip(columns, list(columns)[1:]):
+            names += [f"{a}_pc{i}_x_{b}_pc{j}" for i in range(min(FUSED_COMPONENTS, len(columns[a])))
+                      for j in range(min(FUSED_COMPONENTS, len(columns[b])))]
+    return names
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:

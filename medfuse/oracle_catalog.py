@@ -6,13 +6,6 @@ from medfuse import oracle as O
 from medfuse.plans.catalog import FEATURE_QUERIES
 
 
-def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for g, name in FEATURE_QUERIES.items():
-        out[name] = O.feature_sql(g)
-    return out
-
-
 # ----------------------------------------------------------------------------- P, R, J, slice 1
 from medfuse.oracle import MODALITY_CTES, SCORE_CTE, feature_sql, rnd, rnd_expr  # noqa: E402
 from medfuse.sources import fixtures as fx  # noqa: E402
@@ -74,8 +67,8 @@ def _impute_select(m: str, src: str | None = None, prefix: str = "") -> str:
 
 
 def _r8_r9() -> str:
-    cols = ["coalesce(Patient_ID, 0) AS Patient_ID"] + [
-        rnd(f'coalesce(TRY_CAST("{c}" AS DOUBLE), 0)', c) for c, _ in MOD_COLS["ehr"] if c != "Patient_ID"]
+    cols = ["Patient_ID"] + [rnd(f'TRY_CAST("{c}" AS DOUBLE)' if c in fx.LABEL_COLS else f'coalesce(TRY_CAST("{c}" AS DOUBLE), 0)', c)
+                             for c, _ in MOD_COLS["ehr"] if c != "Patient_ID"]
     return _w("SELECT " + ", ".join(cols) + " FROM ehr")
 
 
@@ -91,11 +84,10 @@ R12_SQL = _w("""SELECT Patient_ID, CVD_Presence, CAST(list_transform(range(0, (S
 R13_SQL = f"""SELECT user_id AS Patient_ID, event_id, {rnd('value', 'value')},
     row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS time FROM events"""
 
-R14_SQL = _w("""SELECT Patient_ID, list(time ORDER BY time, value) FILTER (WHERE rn > n - 5) AS seq_time,
-    list(CAST(value AS DOUBLE) ORDER BY time, value) FILTER (WHERE rn > n - 5) AS seq_value
+R14_SQL = _w(f"""SELECT Patient_ID, CAST(rn - greatest(n - 5, 0) - 1 AS INTEGER) AS position, epoch_us(time) AS time_micros, {rnd('value', 'value')}
     FROM (SELECT *, row_number() OVER (PARTITION BY Patient_ID ORDER BY time, value) AS rn,
                 count(*) OVER (PARTITION BY Patient_ID) AS n FROM wearables_raw WHERE value IS NOT NULL)
-    GROUP BY Patient_ID""")
+    WHERE rn > n - 5""")
 
 
 def _r16() -> str:
@@ -152,30 +144,6 @@ def _j2_matrix() -> str:
         {feats} JOIN ({gen}) g USING (Patient_ID)""")
 
 
-_base_oracle = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _base_oracle()
-    out.update({
-        "p1_missingness": _p1(),
-        "p2_missingness_patterns": _p2(),
-        "r2_impute_ehr": _w(_impute_select("ehr")),
-        "r2_impute_wearables": _w(_impute_select("wearables")),
-        "r8_r9_coerce_fill": _r8_r9(),
-        "r10_nan_to_num": R10_SQL,
-        "r12_one_hot": R12_SQL,
-        "r13_dummy_time": R13_SQL,
-        "r14_last_k_sequence": R14_SQL,
-        "r16_standardize": _r16(),
-        "r17_r19_decisions": R17_SQL,
-        "j1_merge_modalities": J1_SQL,
-        "j2_patient_feature_matrix": _j2_matrix(),
-        "j3_wide_concat": J3_SQL,
-        "j5_unmatched_keys": _j5(),
-    })
-    return out
-
 
 # ----------------------------------------------------------------------------- M1-M2, E1-E14
 from medfuse.functions.exprs import DOUBLE_EPS  # noqa: E402
@@ -230,16 +198,6 @@ UNION ALL SELECT 'rmse', rmse FROM r UNION ALL SELECT 'r2', r2 FROM r UNION ALL
 
 E14_SQL = _SC + "SELECT label, pred_class, count(*) AS n FROM sc GROUP BY label, pred_class"
 
-_oracle_2 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _oracle_2()
-    out.update({"m1_m2_split_assignment": M1_SQL, "e1_e4_classification_metrics": E1_SQL, "e5_roc_auc": E5_SQL,
-                "e6_macro_auc": E6_SQL, "e7_e11_regression_metrics": E7_SQL, "e12_losses": E12_SQL,
-                "e13_evaluate": E13_SQL, "e14_confusion_counts": E14_SQL})
-    return out
-
 
 # ----------------------------------------------------------------------------- X1 / X3 with declared weights
 from medfuse.plans.catalog import FIXED_INTERCEPT, FIXED_WEIGHTS  # noqa: E402
@@ -260,14 +218,6 @@ X3_FIXED_SQL = _w(f"""SELECT Patient_ID, feature, {rnd('contribution', 'contribu
   row_number() OVER w AS rank, {rnd(_BASE + ' + sum(contribution) OVER (w ROWS UNBOUNDED PRECEDING)', 'cumulative')}
   FROM ({_fixed_contrib_sql()}) WINDOW w AS (PARTITION BY Patient_ID ORDER BY abs(contribution) DESC, position)""")
 
-_oracle_3 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _oracle_3()
-    out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
-    return out
-
 
 # ----------------------------------------------------------------------------- S7, M10
 S7_SQL = _w("""SELECT CAST(e.Patient_ID AS VARCHAR) AS Patient_ID,
@@ -284,26 +234,10 @@ g AS (SELECT Patient_ID, date_trunc('day', time) AS window_start, date_trunc('da
       FROM r GROUP BY Patient_ID, date_trunc('day', time))
 SELECT * FROM g WHERE window_end <= (SELECT max(time) FROM r) - INTERVAL 1 HOUR"""
 
-_oracle_4 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _oracle_4()
-    out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL})
-    return out
-
 
 # ----------------------------------------------------------------------------- S2
 S2_SQL = _w(f"""SELECT Patient_ID, {rnd('acctbal', 'acctbal')}, nationkey, mktsegment, false AS corrupt FROM ehr""")
 
-_oracle_5 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _oracle_5()
-    out["s2_csv_scan"] = S2_SQL
-    return out
-
 
 # ----------------------------------------------------------------------------- all feature groups in one extraction
 def _all_features_sql() -> str:
@@ -313,10 +247,31 @@ def _all_features_sql() -> str:
         p if i == 0 else f"{p} USING (Patient_ID)" for i, p in enumerate(parts))
 
 
-_oracle_6 = oracle_sql
-
-
-def oracle_sql() -> dict[str, str]:  # noqa: F811
-    out = _oracle_6()
+def oracle_sql() -> dict[str, str]:
+    out = {name: O.feature_sql(g) for g, name in FEATURE_QUERIES.items()}
+    out.update({
+        "p1_missingness": _p1(),
+        "p2_missingness_patterns": _p2(),
+        "r2_impute_ehr": _w(_impute_select("ehr")),
+        "r2_impute_wearables": _w(_impute_select("wearables")),
+        "r8_r9_coerce_fill": _r8_r9(),
+        "r10_nan_to_num": R10_SQL,
+        "r12_one_hot": R12_SQL,
+        "r13_dummy_time": R13_SQL,
+        "r14_last_k_sequence": R14_SQL,
+        "r16_standardize": _r16(),
+        "r17_r19_decisions": R17_SQL,
+        "j1_merge_modalities": J1_SQL,
+        "j2_patient_feature_matrix": _j2_matrix(),
+        "j3_wide_concat": J3_SQL,
+        "j5_unmatched_keys": _j5(),
+    })
+    out.update({"m1_m2_split_assignment": M1_SQL, "e1_e4_classification_metrics": E1_SQL, "e5_roc_auc": E5_SQL,
+                "e6_macro_auc": E6_SQL, "e7_e11_regression_metrics": E7_SQL, "e12_losses": E12_SQL,
+                "e13_evaluate": E13_SQL, "e14_confusion_counts": E14_SQL})
+    out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
+    out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL})
+    out["s2_csv_scan"] = S2_SQL
+    out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]
     out["f_all_features"] = _all_features_sql()
     return out

@@ -39,14 +39,8 @@ def _feature_query(group: str) -> Query:
     return q
 
 
-def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {}
-    for g, name in FEATURE_QUERIES.items():
-        out[name] = _feature_query(g)
-    return out
-
-
 # ----------------------------------------------------------------------------- P, R, J, slice 1
+import uuid  # noqa: E402
 from functools import reduce  # noqa: E402
 
 from medfuse.functions.exprs import nan_to_num  # noqa: E402
@@ -106,7 +100,9 @@ def r13_dummy_time(spark, sf_dir):
 
 def r14_last_k_sequence(spark, sf_dir):
     seq = C.last_k_sequence(fx.wearables(spark, sf_dir, inject_nulls=False), 5)
-    return seq.select(KEY, F.col("sequence.time").alias("seq_time"), F.col("sequence.value").alias("seq_value"))
+    rows = seq.select(KEY, F.posexplode("sequence").alias("position", "r"))
+    return round_doubles(rows.select(KEY, "position", F.unix_micros(F.col("r.time").cast("timestamp")).alias("time_micros"),
+                                     F.col("r.value").alias("value")))
 
 
 def r16_standardize(spark, sf_dir):
@@ -145,14 +141,6 @@ TABLE_QUERIES = [p1_missingness, p2_missingness_patterns, r2_impute_ehr, r2_impu
                  r17_r19_decisions, j1_merge_modalities, j2_patient_feature_matrix, j3_wide_concat,
                  j5_unmatched_keys]
 
-_base_queries = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _base_queries()
-    out.update({f.__name__: f for f in TABLE_QUERIES})
-    return out
-
 
 # ----------------------------------------------------------------------------- M1-M2, E1-E14
 from medfuse.operators import metrics as Mx  # noqa: E402
@@ -201,14 +189,6 @@ def e14_confusion_counts(spark, sf_dir):
 METRIC_QUERIES = [m1_m2_split_assignment, e1_e4_classification_metrics, e5_roc_auc, e6_macro_auc,
                   e7_e11_regression_metrics, e12_losses, e13_evaluate, e14_confusion_counts]
 
-_queries_2 = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _queries_2()
-    out.update({f.__name__: f for f in METRIC_QUERIES})
-    return out
-
 
 # ----------------------------------------------------------------------------- M3-M7, AB1, X1-X3, S5, S10
 from medfuse.operators import explain as X  # noqa: E402
@@ -230,12 +210,16 @@ def m3_baseline_metrics(spark, sf_dir):
     return round_doubles(TR.train_baseline(_prep(spark, sf_dir)).metrics)
 
 
+def m3_mlp_baseline_metrics(spark, sf_dir):
+    return round_doubles(TR.train_baseline(_prep(spark, sf_dir), classifier="mlp").metrics)
+
+
 def m4_m7_multimodal_metrics(spark, sf_dir):
-    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir)).metrics)
+    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir), fusion=False).metrics)
 
 
-def m5_flat_model_metrics(spark, sf_dir):
-    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir), fusion=False, scope="flat").metrics)
+def m5_fusion_metrics(spark, sf_dir):
+    return round_doubles(TR.train_multimodal(_prep(spark, sf_dir), scope="fusion").metrics)
 
 
 def m6_gbt_early_stopping_metrics(spark, sf_dir):
@@ -253,7 +237,7 @@ def ab1_ablation_metrics(spark, sf_dir):
 
 def _attribution(spark, sf_dir):
     prep = _prep(spark, sf_dir)
-    tr = TR.train_multimodal(prep)
+    tr = TR.train_multimodal(prep, fusion=False)
     contrib, base = X.model_attribution(tr.model, tr.predictions, tr.model.transform(prep.train),
                                         feature_names(tr.columns))
     return contrib, base
@@ -293,34 +277,24 @@ def x3_breakdown_fixed(spark, sf_dir):
 def s5_model_roundtrip(spark, sf_dir):
     prep = _prep(spark, sf_dir)
     tr = TR.train_multimodal(prep)
-    path = MS.save_model(tr.model, scratch_path(spark, f"model-{abs(hash(sf_dir))}"))
+    path = MS.save_model(tr.model, scratch_path(spark, f"model-{uuid.uuid4().hex}"))
     return round_doubles(predict(MS.load_model(path), prep.test).select(*PRED_COLS))
 
 
 def s10_training_report(spark, sf_dir):
     prep = _prep(spark, sf_dir)
     report = TR.training_report(TR.train_multimodal(prep).metrics, TR.train_baseline(prep).metrics)
-    path = MS.write_report(report, scratch_path(spark, f"report-{abs(hash(sf_dir))}"))
+    path = MS.write_report(report, scratch_path(spark, f"report-{uuid.uuid4().hex}"))
     return round_doubles(spark.read.parquet(path))
 
 
-MODEL_QUERIES = [m3_baseline_metrics, m4_m7_multimodal_metrics, m5_flat_model_metrics, m6_gbt_early_stopping_metrics,
+MODEL_QUERIES = [m3_baseline_metrics, m3_mlp_baseline_metrics, m4_m7_multimodal_metrics, m5_fusion_metrics, m6_gbt_early_stopping_metrics,
                  m7_test_predictions, ab1_ablation_metrics, x1_model_attribution, x2_global_importance,
                  x3_model_breakdown, x1_linear_attribution_fixed, x3_breakdown_fixed, s5_model_roundtrip,
                  s10_training_report]
 
-_queries_3 = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _queries_3()
-    out.update({f.__name__: f for f in MODEL_QUERIES})
-    return out
-
 
 # ----------------------------------------------------------------------------- S6-S8, M8-M10
-import uuid  # noqa: E402
-
 from medfuse.plans import scoring as SC  # noqa: E402
 from medfuse.sources import records as RC  # noqa: E402
 from medfuse.streaming import scoring_stream as SS  # noqa: E402
@@ -330,13 +304,12 @@ from medfuse.streaming import window_features as WF  # noqa: E402
 def _scoring_setup(spark, sf_dir):
     prep = _prep(spark, sf_dir)
     tr = TR.train_multimodal(prep)
-    recs = SC.records_from_modalities(fx.modalities(spark, sf_dir), keys=prep.test.select(KEY))
-    return tr, recs
+    return prep, tr, SC.records_from_modalities(fx.modalities(spark, sf_dir))
 
 
 def s6_s8_m8_batch_scoring(spark, sf_dir):
-    tr, recs = _scoring_setup(spark, sf_dir)
-    results, _ = SC.score_records(recs, tr.model, tr.columns)
+    prep, tr, recs = _scoring_setup(spark, sf_dir)
+    results, _ = SC.score_records(recs, tr.model, tr.columns, prep.layout, prep.stored, prep.fills)
     return round_doubles(results)
 
 
@@ -347,10 +320,11 @@ def s7_quarantine(spark, sf_dir):
 
 
 def m9_stream_scoring(spark, sf_dir):
-    tr, recs = _scoring_setup(spark, sf_dir)
+    prep, tr, recs = _scoring_setup(spark, sf_dir)
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     recs.write.mode("overwrite").text(f"{base}/source")
-    q = SS.start_scoring_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", tr.model, tr.columns)
+    q = SS.start_scoring_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", tr.model, tr.columns,
+                                prep.layout, prep.stored, prep.fills)
     q.awaitTermination()
     return round_doubles(spark.read.parquet(f"{base}/sink/results").drop("batch_id"))
 
@@ -367,14 +341,6 @@ def m10_windowed_stream_features(spark, sf_dir):
 
 SCORING_QUERIES = [s6_s8_m8_batch_scoring, s7_quarantine, m9_stream_scoring, m10_windowed_stream_features]
 
-_queries_4 = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _queries_4()
-    out.update({f.__name__: f for f in SCORING_QUERIES})
-    return out
-
 
 def f_all_features(spark, sf_dir):
     """Every feature group in one extraction (the reference's single feature call)."""
@@ -397,11 +363,21 @@ def s2_csv_scan(spark, sf_dir):
                                      F.col(CORRUPT_COL).isNotNull().alias("corrupt")))
 
 
-_queries_5 = queries
+def s4_matrix_from_csv(spark, sf_dir):
+    """The four modalities as CSV files with schemas, loaded and joined into the same matrix as J2."""
+    from medfuse.plans.features import build_feature_matrix
+    from medfuse.sources.loaders import load_modalities
+    base = scratch_path(spark, f"s4_csv_{uuid.uuid4().hex}")
+    mods = fx.modalities(spark, sf_dir)
+    for name, df in mods.items():
+        if name == "wearables":
+            df = df.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        df.write.option("header", True).csv(f"{base}/{name}.csv")
+    loaded = load_modalities(spark, {n: f"{base}/{n}.csv" for n in mods}, {n: df.schema for n, df in mods.items()})
+    return round_doubles(build_feature_matrix(loaded))
 
 
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _queries_5()
-    out["f_all_features"] = f_all_features
-    out["s2_csv_scan"] = s2_csv_scan
+def queries() -> dict[str, Query]:
+    out = {name: _feature_query(g) for g, name in FEATURE_QUERIES.items()}
+    out |= {f.__name__: f for f in [*TABLE_QUERIES, *METRIC_QUERIES, *MODEL_QUERIES, *SCORING_QUERIES, f_all_features, s2_csv_scan, s4_matrix_from_csv]}
     return out

@@ -1,8 +1,8 @@
 """Training job: feature matrix -> split -> fit -> evaluate -> baseline -> ablation.
 
-Actions happen only at: imputation means, the matrix checkpoint, model fits,
-and metric rows.  The matrix is checkpointed once to the reliable checkpoint
-folder, so the iterative fits (and the five ablation fits) re-read a written
+Actions happen only at: imputation means, the written matrix, model fits, and
+metric rows.  The matrix is written once as parquet to the shared folder, so the
+iterative fits (and the five ablation fits) read only their own columns of a
 table instead of recomputing the feature plan, and survive executor loss.
 """
 
@@ -17,21 +17,29 @@ from pyspark.sql import functions as F
 
 from medfuse.functions.tsfeatures import FeatureSettings
 from medfuse.operators import metrics as Mx
-from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, modality_columns,
+from medfuse.operators.clean import fit_means, numeric_columns
+from medfuse.operators.joins import leave_one_out
+from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, modality_layout,
                                       predict, usable_columns)
 from medfuse.operators.split import assign_split, is_test
 from medfuse.plans.features import ALL_FEATURES, build_feature_matrix
-from medfuse.session import ensure_checkpoint_dir
-from medfuse.sources import fixtures as fx
-from medfuse.sources.fixtures import KEY
+from medfuse.session import materialize
+from medfuse.sources.fixtures import KEY, LABEL_COLS
 
 
 @dataclass
 class Prepared:
-    matrix: DataFrame          # checkpointed, with ``split``
+    matrix: DataFrame          # written to the shared folder, with ``split``
     train: DataFrame
     test: DataFrame
-    columns: dict[str, list[str]]
+    columns: dict[str, list[str]]      # feature columns of the models, by modality
+    layout: dict[str, list[str]]       # all matrix columns of each modality, in its own order
+    fills: dict[str, float | None]     # imputation means of the EHR, imaging and genomic columns
+
+    @property
+    def stored(self) -> DataFrame:
+        """Wearables features of every known patient."""
+        return self.matrix.select(KEY, *self.layout["wearables"])
 
 
 @dataclass
@@ -48,13 +56,17 @@ def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSe
     fit_filter = ~is_test(KEY, test_size, seed) if fit_scope == "train" else None
     matrix = build_feature_matrix(mods, settings, fit_filter).where(F.col(CLASS_LABEL).isNotNull())
     matrix = assign_split(matrix, KEY, test_size, validation_size, seed)
-    ensure_checkpoint_dir(spark)
-    matrix = matrix.checkpoint(eager=True)
+    matrix = materialize(matrix)
     train, test = matrix.where(F.col("split") != "test"), matrix.where(F.col("split") == "test")
-    cols = modality_columns(matrix, extra_exclude=["split"])
+    layout = cols = modality_layout(mods, matrix)
     keep = set(usable_columns(train, [c for cs in cols.values() for c in cs]))
     cols = {m: [c for c in cs if c in keep] for m, cs in cols.items()}
-    return Prepared(matrix, train, test, {m: cs for m, cs in cols.items() if cs})
+    fills = {}
+    for m in set(mods) - {"wearables"}:
+        own = numeric_columns(mods[m], (KEY, *LABEL_COLS))
+        means = fit_means(mods[m].where(fit_filter) if fit_filter is not None else mods[m], own)
+        fills |= {c if m == "ehr" else f"{m}_{c}": v for c, v in means.items()}
+    return Prepared(matrix, train, test, {m: cs for m, cs in cols.items() if cs}, layout, fills)
 
 
 def evaluate_predictions(pred: DataFrame, scope: str, with_regression: bool = True) -> DataFrame:
@@ -100,7 +112,8 @@ def ablation_study(prep: Prepared, classifier: str = "logistic", regressor: str
     @inheritable_thread_target(prep.train.sparkSession)
     def one(scope):
         name, drop = scope
-        cols = {m: cs for m, cs in prep.columns.items() if m != drop}
+        left = set(leave_one_out(prep.columns, drop))
+        cols = {m: cs for m, cs in prep.columns.items() if left.issuperset(cs)}
         model = build_pipeline(cols, True, classifier, regressor).fit(prep.train)
         return evaluate_predictions(predict(model, prep.test), name, regressor is not None)
 
@@ -114,10 +127,10 @@ def training_report(*metric_tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, metric_tables)
 
 
-def run_training(spark: SparkSession, sf_dir: str, settings: FeatureSettings = ALL_FEATURES,
+def run_training(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSettings = ALL_FEATURES,
                  classifier: str = "logistic", regressor: str = "linear", ablation: bool = True):
-    """The reference's ``train`` flow on the testdata modality views."""
-    prep = prepare(spark, fx.modalities(spark, sf_dir), settings)
+    """The reference's ``train`` flow on four modality frames (``sources.loaders.load_modalities`` reads a user's own)."""
+    prep = prepare(spark, mods, settings)
     main = train_multimodal(prep, classifier=classifier, regressor=regressor)
     base = train_baseline(prep)
     tables = [main.metrics, base.metrics]

@@ -8,7 +8,6 @@ are inferred (one extra pass, avoid at scale).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
@@ -51,11 +50,6 @@ def load_table(spark: SparkSession, path: str, schema: StructType | None = None,
     return reader.format(kind).load(path)
 
 
-def persist_reused(df: DataFrame) -> DataFrame:
-    """S3: persist a frame that several actions read (spills to disk, never OOMs)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def load_modalities(spark: SparkSession, paths: dict[str, str],
                     schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
     """Load each named modality table; every table must carry ``Patient_ID``."""

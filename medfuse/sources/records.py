@@ -30,7 +30,7 @@ RECORD_SCHEMA = StructType([
     StructField("genomic_features", ArrayType(IntegerType())),
 ])
 REQUIRED = [f.name for f in RECORD_SCHEMA.fields]
-RESULT_COLS = ["Patient_ID", "CVD_Presence", "CVD_Presence_probability", "Time_To_Event"]
+RESULT_COLS = ["Patient_ID", "CVD_Presence", "CVD_Presence_probability", "Time_To_Event", "features_from", "error"]
 
 # The reference's sample request (fixed values).
 SAMPLE_RECORD = {
@@ -44,11 +44,6 @@ SAMPLE_RECORD = {
 }
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """S6 batch source: one JSON record per line (``value`` column)."""
-    return spark.read.text(path)
-
-
 def read_record_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """S6 stream source: new JSON-lines files arriving in ``path``."""
     r = spark.readStream.format("text")
@@ -58,9 +53,9 @@ def read_record_stream(spark: SparkSession, path: str, max_files_per_trigger: in
 
 
 def parse_records(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Parse JSON text into ``r`` (struct) keeping the raw text and a stable record id."""
+    """Parse JSON text into ``r`` (struct) keeping the raw text and a digest of it."""
     return raw.select(F.col(value_col).alias("raw"),
-                      F.xxhash64(F.col(value_col)).alias("record_id"),
+                      F.sha2(F.col(value_col), 256).alias("record_id"),
                       F.from_json(F.col(value_col), RECORD_SCHEMA).alias("r"))
 
 
@@ -88,14 +83,11 @@ def validate(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def result_records(scored: DataFrame) -> DataFrame:
-    """The response fields (text label R19, probability, time)."""
+    """The response fields (text label R19, probability, time); no prediction beside an ``error``."""
+    good = F.size("_errors") == 0
     return scored.select(
         F.col(KEY).cast("string").alias("Patient_ID"),
-        F.when(F.col("p_class1") > 0.5, F.lit("Positive")).otherwise(F.lit("Negative")).alias("CVD_Presence"),
-        F.col("p_class1").alias("CVD_Presence_probability"),
-        F.col("pred_time").alias("Time_To_Event"))
-
-
-def to_json_lines(df: DataFrame) -> DataFrame:
-    """S8 sink helper: one JSON object per row in ``value``."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+        F.when(good, F.when(F.col("p_class1") > 0.5, F.lit("Positive")).otherwise(F.lit("Negative"))).alias("CVD_Presence"),
+        F.when(good, F.col("p_class1")).alias("CVD_Presence_probability"),
+        F.when(good, F.col("pred_time")).alias("Time_To_Event"),
+        F.col("features_from"), F.when(~good, F.array_join("_errors", "; ")).alias("error"))

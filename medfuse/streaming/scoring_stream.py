@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from medfuse.functions.tsfeatures import FeatureSettings
 from medfuse.plans.features import ALL_FEATURES
@@ -21,20 +20,19 @@ from medfuse.sources import records as R
 
 
 def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                         model: PipelineModel, columns: dict[str, list[str]],
+                         model: PipelineModel, columns: dict[str, list[str]], layout: dict[str, list[str]], stored: DataFrame,
+                         fills: dict[str, float | None] | None = None,
                          settings: FeatureSettings = ALL_FEATURES, available_now: bool = True,
                          max_files_per_trigger: int | None = None):
     stream = R.read_record_stream(spark, source_dir, max_files_per_trigger)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        results, quarantine = score_records(batch, model, columns, settings)
+        batch.persist()                     # read by the results and the quarantine
+        results, quarantine = score_records(batch, model, columns, layout, stored, fills, settings)
         results.write.mode("overwrite").parquet(f"{sink_dir}/results/batch_id={batch_id}")
         quarantine.write.mode("overwrite").parquet(f"{sink_dir}/quarantine/batch_id={batch_id}")
+        batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
-
-
-def read_results(spark: SparkSession, sink_dir: str, which: str = "results") -> DataFrame:
-    return spark.read.parquet(f"{sink_dir}/{which}").drop("batch_id") if which else F.lit(None)

@@ -14,7 +14,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_model_based():
     q, sql = E.queries(), E.oracle_sql()
-    rows_only = {n for n in q if n not in sql}
+    rows_only = {n for n in q if n not in sql and n != "pipeline" and not n.startswith("op")}    # those have tests of their own
     assert rows_only <= {n for n in q if n.split("_")[0] in ("m3", "m4", "m5", "m6", "m7", "ab1", "x1", "x2", "x3",
                                                               "s5", "s10", "s6", "m9")}
 
@@ -35,3 +35,25 @@ def test_scan_prunes_columns(spark, sf_small):
     w = fx.wearables(spark, sf_small, inject_nulls=False)
     p = _plan(extract_features(w, "Patient_ID", "time", settings=FeatureSettings().only("F1")))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in p
+
+
+def _count(plan, what):
+    return sum(what in line for line in plan.split("== Initial Plan ==")[0].splitlines())
+
+
+def test_one_aggregate_features_do_not_rank_or_build_quantiles(spark, sf_small):
+    w = fx.wearables(spark, sf_small, inject_nulls=False)
+    for group in ("F2", "F3", "F5"):
+        p = _plan(extract_features(w, "Patient_ID", "time", settings=FeatureSettings().only(group)))
+        assert "Window" not in p and "percentile" not in p and _count(p, "Exchange") <= 3, group
+
+
+def test_evaluate_reads_its_input_once_per_part(spark, sf_small):
+    assert _count(_plan(E.queries()["e13_evaluate"](spark, sf_small)), "FileScan") <= 4
+
+
+def test_all_imaging_elements_and_feature_groups_reach_the_matrix(spark, sf_small):
+    columns = E.entry(spark).columns
+    width = len(spark.read.parquet(f"{sf_small}/embeddings.parquet").first()["embedding"])
+    assert [c for c in columns if c.startswith("imaging_")] == [f"imaging_e{i}" for i in range(width)]
+    assert len([c for c in columns if c.startswith("value__")]) > 250

@@ -32,7 +32,7 @@ def test_validation_quarantines_bad_records(spark):
 @pytest.fixture(scope="module")
 def trained(spark, sf_mid):
     prep = TR.prepare(spark, fx.modalities(spark, sf_mid))
-    return prep, TR.train_multimodal(prep)
+    return prep, TR.train_multimodal(prep, fusion=False)
 
 
 def test_model_outputs_and_roundtrip(spark, trained):
@@ -51,27 +51,87 @@ def test_model_outputs_and_roundtrip(spark, trained):
 def test_stream_scoring_equals_batch_and_restarts_cleanly(spark, sf_mid, trained):
     prep, tr = trained
     recs = SC.records_from_modalities(fx.modalities(spark, sf_mid), keys=prep.test.select("Patient_ID"))
-    batch, _ = SC.score_records(recs, tr.model, tr.columns)
+    recs = recs.unionAll(recs)                    # copies fall into different micro-batches
+    batch, _ = SC.score_records(recs, tr.model, tr.columns, prep.layout, prep.stored, prep.fills)
     base = tempfile.mkdtemp()
     recs.repartition(3).write.text(f"{base}/src")
-    q = SS.start_scoring_stream(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", tr.model, tr.columns,
-                                max_files_per_trigger=1)
+    args = (tr.model, tr.columns, prep.layout, prep.stored, prep.fills)
+    q = SS.start_scoring_stream(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", *args, max_files_per_trigger=1)
     q.awaitTermination()
-    q2 = SS.start_scoring_stream(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", tr.model, tr.columns)
+    q2 = SS.start_scoring_stream(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", *args)
     q2.awaitTermination()                         # restart: nothing new, nothing duplicated
     stream = spark.read.parquet(f"{base}/sink/results").drop("batch_id")
     key = ["Patient_ID", "CVD_Presence", "CVD_Presence_probability", "Time_To_Event"]
     a = sorted(tuple(r[k] for k in key) for r in batch.collect())
     b = sorted(tuple(r[k] for k in key) for r in stream.collect())
     assert len(a) == len(b) and all(x[:2] == y[:2] and x[2] == pytest.approx(y[2]) for x, y in zip(a, b))
+    told = {str(r["Patient_ID"]): r["p_class1"] for r in tr.predictions.collect()}
+    assert all(x[2] == pytest.approx(told[x[0]]) for x in a)      # M8 of a known patient is M7
+
+
+def _record(trained, patient, **changes):
+    prep, _ = trained
+    full = {"Patient_ID": patient, "ehr_features": {c: 1.0 for c in prep.layout["ehr"]}, "imaging_features": [0.1] * len(prep.layout["imaging"]),
+            "wearables_data": {"time": "2024-03-01 10:00:00", "value": 42.5}, "genomic_features": [1] * len(prep.layout["genomic"])}
+    return json.dumps({**full, **changes})
+
+
+def test_scoring_of_unknown_patients_copies_and_deficient_records(spark, trained):
+    prep, tr = trained
+    rows = {"new": _record(trained, "999001"), "other": _record(trained, "999002", wearables_data={"time": "2024-03-01 10:00:00", "value": -50}),
+            "untimed": _record(trained, "999003", wearables_data={"value": 42.5}), "empty": _record(trained, "999004", ehr_features={}, imaging_features=[], genomic_features=[]),
+            "short": _record(trained, "999005", imaging_features=[0.1, 0.2]), "named": _record(trained, "999006", ehr_features={"else": 1.0}),
+            "unread": _record(trained, "999007", wearables_data={"steps": 3}), "text": _record(trained, "patient-x")}
+    raw = spark.createDataFrame([(r,) for r in [*rows.values(), rows["new"], rows["new"]]], "value string")
+    results, quarantine = SC.score_records(raw, tr.model, tr.columns, prep.layout, prep.stored)
+    out = {}
+    for r in results.collect():
+        out.setdefault(r["Patient_ID"], []).append(r)
+    assert quarantine.count() == 0
+    assert len(out["999001"]) == 3 and len({r["CVD_Presence_probability"] for r in out["999001"]}) == 1
+    assert all(r["features_from"] == "record" for rs in out.values() for r in rs)
+    assert out["999001"][0]["error"] is None and out["999003"][0]["CVD_Presence_probability"] == pytest.approx(out["999001"][0]["CVD_Presence_probability"])
+    assert out["patient-x"][0]["error"] is None
+    for patient, told in (("999004", "ehr_features: no"), ("999005", "imaging_features: 2 elements"), ("999006", "ehr_features: no"), ("999007", "no reading")):
+        r = out[patient][0]
+        assert told in r["error"] and r["CVD_Presence"] is None and r["CVD_Presence_probability"] is None and r["Time_To_Event"] is None
+
+
+def test_fusion_differs_from_the_flat_model(spark, trained):
+    prep, tr = trained
+    fused = TR.train_multimodal(prep)
+    a = {r["Patient_ID"]: r["p_class1"] for r in tr.predictions.collect()}
+    b = {r["Patient_ID"]: r["p_class1"] for r in fused.predictions.collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) > 1e-6
+
+
+def test_layout_comes_from_the_modalities_not_from_names(spark):
+    from medfuse.operators.models import modality_layout
+    mods = {"ehr": spark.createDataFrame([(1, 2.0, 1)], "Patient_ID long, age double, CVD_Presence int"),
+            "imaging": spark.createDataFrame([(1, 0.5)], "Patient_ID long, left_lobe double"),
+            "wearables": spark.createDataFrame([(1, 5.0, 3.0, 1)], "Patient_ID long, steps_per_day double, sleep_hours double, time int"),
+            "genomic": spark.createDataFrame([(1, 2)], "Patient_ID long, snp int")}
+    matrix = TR.build_feature_matrix(mods, TR.FeatureSettings().only("F1"))
+    layout = modality_layout(mods, matrix)
+    assert layout["ehr"] == ["age"] and layout["imaging"] == ["imaging_left_lobe"] and layout["genomic"] == ["genomic_snp"]
+    assert {c.split("__")[0] for c in layout["wearables"]} == {"steps_per_day", "sleep_hours"}
+
+
+def test_session_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from medfuse.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
 
 
 def test_windowed_stream_drops_late_rows(spark):
     base = tempfile.mkdtemp()
     schema = "Patient_ID long, time timestamp, value double"
     d = datetime.datetime
-    spark.createDataFrame([(1, d(2024, 1, 1, 1), 1.0), (1, d(2024, 1, 3, 5), 2.0)], schema).write.parquet(f"{base}/in/a")
-    spark.createDataFrame([(1, d(2024, 1, 1, 2), 5.0), (1, d(2024, 1, 5, 5), 3.0)], schema).write.parquet(f"{base}/in/b")
+    spark.createDataFrame([(1, d(2024, 1, 1, 1), 1.0), (1, d(2024, 1, 3, 5), 2.0)], schema).coalesce(1).write.parquet(f"{base}/in/a")
+    spark.createDataFrame([(1, d(2024, 1, 1, 2), 5.0), (1, d(2024, 1, 5, 5), 3.0)], schema).coalesce(1).write.parquet(f"{base}/in/b")
     src = (spark.readStream.schema(spark.read.parquet(f"{base}/in/a").schema).option("maxFilesPerTrigger", 1)
            .parquet(f"{base}/in/*"))
     q = WF.run_to_sink(WF.windowed_features(src), f"{base}/out", f"{base}/ck")

@@ -155,3 +155,15 @@ def test_entropies_edge_series(spark):
             assert got.loc[pid, "value__" + fname("approximate_entropy", m=2, r=r)] == pytest.approx(
                 _approximate_entropy(x, 2, r), abs=1e-12)
     assert got.loc[3, "value__" + fname("approximate_entropy", m=2, r=0.5)] == 0.0
+
+
+def test_bad_readings_do_not_count_in_any_group(spark):
+    """NULL times, NULL, NaN and infinite values: every feature equals that of the clean readings."""
+    clean = [(1, float(t), float((t * 7919) % 101) / 10) for t in range(1, 41)]
+    dirty = clean + [(1, None, 90.0), (1, 5.5, None), (1, 6.5, float("nan")), (1, 7.5, float("inf")), (1, 8.5, float("-inf"))]
+    schema = "Patient_ID long, time double, value double"
+    a = extract_features(spark.createDataFrame(clean, schema), "Patient_ID", "time").first().asDict()
+    b = extract_features(spark.createDataFrame(dirty, schema).repartition(3), "Patient_ID", "time").first().asDict()
+    assert a["value__length"] == 40 and a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], nan_ok=True), k
