@@ -63,10 +63,13 @@ def rank_series(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
 
 
 def with_neighbors(df: DataFrame, keys: Sequence[str], value: str, lags: Sequence[int],
-                   leads: Sequence[int], block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Add ``lag_k`` / ``lead_k`` of ``value`` for the given k (needs ``rn``)."""
+                   leads: Sequence[int], block_rows: int = DEFAULT_BLOCK_ROWS, spans: Sequence[int] = ()) -> DataFrame:
+    """Add ``lag_k`` / ``lead_k`` of ``value`` for the given k (needs ``rn``).
+
+    For each k of ``spans``, also ``back_k`` / ``ahead_k``: the largest of the k values before / after.
+    """
     keys = list(keys)
-    h = max([0, *lags, *leads])
+    h = max([0, *lags, *leads, *spans])
     b = int(block_rows)
     if h > b:
         raise ValueError(f"neighbour distance {h} exceeds block size {b}")
@@ -78,6 +81,8 @@ def with_neighbors(df: DataFrame, keys: Sequence[str], value: str, lags: Sequenc
     w = Window.partitionBy(*keys, BLK).orderBy(RN)
     cols = [F.lag(value, k).over(w).alias(f"lag_{k}") for k in sorted(set(lags))]
     cols += [F.lead(value, k).over(w).alias(f"lead_{k}") for k in sorted(set(leads))]
+    for k in sorted(set(spans)):
+        cols += [F.max(value).over(w.rowsBetween(-k, -1)).alias(f"back_{k}"), F.max(value).over(w.rowsBetween(1, k)).alias(f"ahead_{k}")]
     return (halo.select("*", *cols)
                 .where(F.col(BLK) == F.col("_own"))
                 .drop("_own"))

@@ -249,10 +249,6 @@ def needed_neighbors(st: FeatureSettings) -> tuple[list[int], list[int]]:
         leads.update(l for l in st.acf_lags if l > 0)
         leads.update(range(1, st.agg_acf_maxlag + 1))
         leads.update(range(1, max(st.pacf_lags, default=0) + 1))
-    if "F15" in g:
-        for k in st.peaks_n:
-            lags.update(range(1, k + 1))
-            leads.update(range(1, k + 1))
     if "F20" in g:
         leads.update(range(1, max(st.perm_dims) if st.perm_dims else 1))
     if "F21" in g:
@@ -413,8 +409,7 @@ def _main_aggs(st: FeatureSettings, is_time: bool) -> tuple[list[Column], list[C
             fin.append(_c("_" + a).cast("double").alias(a))
         for k in st.peaks_n:
             a = fname("number_peaks", n=k)
-            cond = reduce(lambda acc, j: acc & (x > _c(f"lag_{j}")) & (x > _c(f"lead_{j}")),
-                          range(1, k + 1), _c(f"lag_{k}").isNotNull() & _c(f"lead_{k}").isNotNull())
+            cond = (rn > k) & (rn <= n - k) & (x > _c(f"back_{k}")) & (x > _c(f"ahead_{k}"))
             aggs.append(F.count_if(cond).alias("_" + a))
             fin.append(_c("_" + a).cast("double").alias(a))
     if "F16" in g:
@@ -708,8 +703,9 @@ def series_features(long: DataFrame, keys: list[str], st: FeatureSettings, is_ti
     if branches > 1:
         base = materialize(base)
     lags, leads = needed_neighbors(st)
-    need_nb = bool(lags or leads) or bool(g & {"F14", "F16", "F18"})
-    nb = S.with_neighbors(base, keys, S.X, lags, leads, st.block_rows) if need_nb else base
+    spans = st.peaks_n if "F15" in g else ()
+    need_nb = bool(lags or leads or spans) or bool(g & {"F14", "F16", "F18"})
+    nb = S.with_neighbors(base, keys, S.X, lags, leads, st.block_rows, spans) if need_nb else base
     if branches > 1 and need_nb:
         nb = materialize(nb)
     parts = []
