@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medfuse.functions.exprs import DOUBLE_EPS
+from medfuse.session import materialize
 
 KERAS_EPS = 1e-7      # fixed value: probability clip for cross-entropy
-AUC_BUCKETS = 256     # buckets of distinct scores for the AUC prefix sums
+BUCKET_SCORES = 4096  # distinct scores in a bucket of the AUC prefix sums, on average
 
 
 def _c(c) -> Column:
@@ -51,22 +52,26 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
 def _score_buckets(grouped: DataFrame, score: str, n_buckets: int) -> DataFrame:
     cuts = grouped.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.001) if n_buckets > 1 else []
     splits = [float("-inf")] + sorted({c for c in cuts if c is not None}) + [float("inf")]
+    if len(splits) < 3:
+        return grouped.withColumn("_bucket", F.lit(0.0))
     return Bucketizer(splits=splits, inputCol=score, outputCol="_bucket", handleInvalid="keep").transform(grouped)
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "p", n_buckets: int = AUC_BUCKETS) -> DataFrame:
-    """E5: area under ROC from scores, ties count half; NULL when one class is absent."""
-    g = (df.where(_c(score).isNotNull())
-           .groupBy(_c(score).cast("double").alias("_s"))
-           .agg(F.count_if(_c(label) == 1).alias("_pos"), F.count_if(_c(label) == 0).alias("_neg")))
-    b = _score_buckets(g, "_s", n_buckets)
+def roc_auc(df: DataFrame, label: str = "label", score: str = "p", n_buckets: int | None = None) -> DataFrame:
+    """E5: area under ROC from scores, ties count half; NULL when one class is absent.
+
+    The table of distinct scores is written once; the number of buckets follows
+    its size (``n_buckets`` sets it), so a bucket stays small at any scale.
+    """
+    g = materialize(df.where(_c(score).isNotNull()).groupBy(_c(score).cast("double").alias("_s"))
+                    .agg(F.count_if(_c(label) == 1).alias("_pos"), F.count_if(_c(label) == 0).alias("_neg")))
+    b = _score_buckets(g, "_s", n_buckets or 1 + g.count() // BUCKET_SCORES)
     local = b.withColumn("_below", F.coalesce(F.sum("_neg").over(
         Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = b.groupBy("_bucket").agg(F.sum("_neg").alias("_bneg"))
     offs = totals.select("_bucket", F.coalesce(F.sum("_bneg").over(
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    # offs has at most n_buckets + 1 rows: a proven bound, so broadcasting it is safe.
-    j = local.join(F.broadcast(offs), "_bucket")
+    j = local.join(offs, "_bucket")       # one row per bucket; AQE broadcasts it while it is small
     credit = F.col("_pos") * ((F.col("_below") + F.col("_off")).cast("double") + F.col("_neg") / 2.0)
     agg = j.agg(F.sum(credit).alias("_num"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     return agg.select(F.try_divide(F.col("_num"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("roc_auc"),
