@@ -5,7 +5,7 @@ child takes no more than all leaves below it hold in ``max_epochs`` passes, and
 weight before anything returns to their ancestors' siblings.  All shares are integers.  A leaf's tokens are taken as whole
 passes over its documents, and one last pass in the order of a seeded hash, as far as its budget reaches.
 
-The tree is aggregated rows only.  The place where a last pass ends is found by summing hash ranges of a few thousand
+The tree is aggregated rows only.  The place where a last pass ends is found by summing hash ranges of a few hundred
 documents each, and by ordering the one range in which it falls; no leaf is ever sorted or gathered whole.  Documents then
 meet one row per leaf, so texts do not move when that table is small enough for Spark to broadcast it.
 """
@@ -19,7 +19,7 @@ from medfuse.llm.common import cut, discard, fresh
 
 MAX_EPOCHS = 4
 SEED = 17
-RANGE_DOCS = 4096       # documents in a hash range, on average
+RANGE_DOCS = 256        # documents in a hash range, on average
 LEVELS = ("domain", "lang", "source")
 NONE = "none"
 #: Production weights: by domain, and by language under every domain; everything else weighs 1.
