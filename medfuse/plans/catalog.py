@@ -43,7 +43,6 @@ def _feature_query(group: str) -> Query:
 import uuid  # noqa: E402
 from functools import reduce  # noqa: E402
 
-from medfuse.functions.exprs import nan_to_num  # noqa: E402
 from medfuse.operators import clean as C  # noqa: E402
 from medfuse.operators import joins as J  # noqa: E402
 from medfuse.operators import profile as P  # noqa: E402
