@@ -284,3 +284,23 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
 def items_digest(items: list[str]) -> str:
     """The digest that ``report`` gives for these items."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL of ``report`` over ``documents`` and ``benchmark`` (without spans), by joining word lists."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+ b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+ windows AS (SELECT DISTINCT item, w[i:i + least(len(w), {window}) - 1] AS win
+             FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {window} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+ sizes AS (SELECT DISTINCT len(win) AS size FROM windows),
+ places AS (SELECT doc_id, size, w[i:i + size - 1] AS win, i
+            FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+ found AS (SELECT doc_id, i, size, item FROM places JOIN windows USING (win)),
+ hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS told FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(told, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""

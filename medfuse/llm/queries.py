@@ -41,7 +41,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fm_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return fm_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,7 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat_format.oracle_sql(),
+    "op5_embedding_near_dedup": vamana.oracle_sql(),
+    "op9_benchmark_decontamination": fm_decontam.oracle_sql(),
     "op10_mix_sources": mixing.oracle_sql(),
 }
