@@ -24,6 +24,7 @@ EPOCHS = 8
 RATE = 4.0
 SAMPLE_ROWS = 2000          # labelled documents that train, at most, in the order of a hash of their id
 SAMPLE_BYTES = 50_000       # longer documents do not train
+SCORE_BYTES = 1 << 20       # text scored at once
 THRESHOLD = 0.3
 FOLDS = 5
 REPEATED = np.uint64(0xA5A5A5A5)        # the pair of a word with itself, whatever the word
@@ -122,7 +123,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         m = shared.value
         for batch in batches:
-            for first, end, data, offsets in tb.blocks(batch.column(1)):
+            for first, end, data, offsets in tb.blocks(batch.column(1), SCORE_BYTES):
                 scores = m.score(data, offsets) if m else np.full(end - first, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(scores)], ["doc_id", "score"])
 

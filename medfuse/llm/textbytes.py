@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1_900_000          # under 2^21, the size of the table of powers
 BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 MASK64 = (1 << 64) - 1
 SPACE = 0x20
