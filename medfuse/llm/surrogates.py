@@ -1,7 +1,8 @@
 """Surrogates for personal data, with DataFrame operations only.
 
 Mentions (e-mail addresses, phone numbers, card numbers, IPv4 addresses, secrets, titled names) are found by one pattern;
-a secret holds a digit, so texts without digits, ``@`` and titles are told apart by byte searches alone.
+texts that cannot hold one are told apart by byte searches for digits, ``@``, titles and the beginnings of keys, and by a short
+pattern for hexadecimal secrets without a digit.
 A mention's canonical form names its entity, so that mentions of one entity meet however they are written.  An entity
 gets one surrogate everywhere: drawn from a keyed digest, of the same type, and character by character of the same class and
 script; a card number that passes its check digit keeps passing, a name keeps the gender of its title.  Surrogates that
@@ -39,7 +40,9 @@ PHONE = (r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,
          r"|(?<![\p{L}0-9])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){3,4}(?![0-9])"
          r"|(?<![\p{L}0-9\-])[0-9]{3}[.\-][0-9]{2,3}[.\-][0-9]{4}(?![0-9\-])")
 CARD = r"(?<![\p{L}0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7})(?![\p{L}0-9])"
-SECRET = (r"(?<![\p{L}0-9])(?=[\p{L}_\-]*+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}0-9])")
+SECRET = (r"(?<![\p{L}0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}0-9])")
+#: How secrets other than hexadecimal ones begin; those may be letters alone.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 NAME = r"(?<!\p{L})(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}"
 #: In this order; the first that fits at a place wins.
 KINDS = (("email", EMAIL), ("ip", IP), ("phone", PHONE), ("secret", SECRET), ("card", CARD), ("name", NAME))
@@ -52,7 +55,8 @@ def _q(s: str) -> str:
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with a mention passes."""
-    return reduce(lambda a, b: a | b, [text.contains(s) for s in (*(str(d) for d in range(10)), "@", *MALE, *FEMALE)])
+    found = [text.contains(s) for s in (*(str(d) for d in range(10)), "@", *MALE, *FEMALE, *PREFIXES)]
+    return reduce(lambda a, b: a | b, found) | text.rlike("[a-f]{32}|[A-F]{32}")
 
 
 def kind_of(mention: Column) -> Column:

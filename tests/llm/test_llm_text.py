@@ -262,6 +262,18 @@ def test_surrogates_are_distinct_after_collisions(spark):
     assert len({r["surrogate"] for r in got}) == 26 and not {r["surrogate"] for r in got} & {r["entity"] for r in got}
 
 
+LETTERS_ONLY = ["sk-" + "QwErTyUiOpAsDfGhJkLz", "ghp_" + "AbCdEfGhIjKl" * 3, "gho_" + "zYxWvUtSrQpO" * 3, "ghu_" + "abcdefghijkl" * 3, "ghs_" + "MNOPQRSTUVWX" * 3,
+                "ghr_" + "mNoPqRsTuVwX" * 3, "AKIA" + "QWERTYUIOPASDFGH", "ASIA" + "ZXCVBNMLKJHGFDSA", "abcdef" * 6, "FEDCBA" * 6]
+
+
+@pytest.mark.parametrize("around", ["key = %s.", "7 keys: %s, a@b.org"])
+def test_surrogates_find_secrets_without_digits(spark, around):
+    df = spark.createDataFrame([(i, around % s) for i, s in enumerate(LETTERS_ONLY)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_mentions"]) for r in surrogates.replace_mentions(df).collect()}
+    assert not [s for i, s in enumerate(LETTERS_ONLY) if s in got[i][0]]
+    assert {n for _, n in got.values()} == {1 + around.count("@")}
+
+
 def test_surrogates_leave_no_mention(spark, sf_mid):
     docs = table(spark, sf_mid, "documents")
     old = {r["mention"] for r in surrogates.mentions_of(docs, "doc_id", "text").collect()}
