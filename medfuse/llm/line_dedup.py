@@ -5,10 +5,11 @@ fields from the start.  The rest of the line falls into ``FIELDS`` runs of token
 its template keeps, field by field, the wording that most of them share, and a line at ``SIMILARITY`` or more of its
 fields joins that template; every other line is a template of its own.
 
-A template recurs if it stands in two or more documents that are not copies of each other.  A document's neighbourhood
-of a line is the three lowest hashes of the line beginnings in the rest of the document; copies and near copies of a
-document agree on them, documents that share some recurring lines do not.  A template recurs when no neighbourhood accounts for
-more than half of its documents.  Copies are thus left whole for the near-duplicate operators, which keep one of each group.
+A template recurs if it stands in documents of two or more copy groups, however many copies a group has.  Copies are told
+by whole documents: by the share of word pairs that two texts have in common, over a sketch of the ``SKETCH`` lowest hashes of
+each text's pairs.  Sketches that agree on all pairs of one of ``CLASSES`` hash classes meet, and those with ``COPY`` or more of their
+pairs in common are linked; the groups are the connected components.  Copies without a recurring line are thus left whole
+for the near-duplicate operators, which keep one of each group.
 
 Only hashes are shuffled until the very end: the texts move once, to meet the numbers of their dropped lines.
 """
@@ -21,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medfuse.llm.common import cut, discard, fresh
+from medfuse.llm.components import components
 
 DEPTH = 3
 FIELDS = 8
 SIMILARITY = 0.7
 VARIABLE = "<*>"
 MIN_DOCS = 2
-AROUND = 3              # line beginnings that make a neighbourhood
+SKETCH = 64             # lowest word-pair hashes that stand for a text
+CLASSES = 6             # hash classes of a sketch; one of them must agree for two texts to be compared
+COPY = 0.8              # share of word pairs in common from which two texts are copies
 LAST = (1 << 63) - 1
 
 
@@ -42,28 +46,47 @@ def _masked(text: Column) -> Column:
     return F.when(digits, F.regexp_replace(even, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE)).otherwise(even)
 
 
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc")
+
+
+def copy_groups(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(node, label): the copy group (its smallest document) of each document that is a copy or near copy of another one."""
+    words = F.split(F.translate(F.col(text_col), "\n\t\r\f\x0b", "     "), " ")
+    pairs = F.zip_with("t", F.expr("slice(t, 2, size(t))"), lambda a, b: F.hash(a, b))
+    prints = cut(docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), words.alias("t")).where(F.size("t") >= depth)
+                 .select("doc", "rid", F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch")))
+    classes = [F.expr(f"filter(sketch, x -> pmod(x, {CLASSES}) = {k})") for k in range(CLASSES)]
+    keys = prints.select("doc", "rid", F.explode(F.array(*[
+        F.when(F.size(c) > 0, F.xxhash64(F.lit(k), c)) for k, c in enumerate(classes)])).alias("key")).where("key IS NOT NULL")
+    # every text of a class is compared with the first one alone, so a large group costs no more than its rows
+    firsts = cut(keys.groupBy("key").agg(F.min(F.struct("doc", "rid")).alias("head"), F.max("doc").alias("hi"))
+                 .where("head.doc <> hi").selectExpr("key", "head.doc AS first", "head.rid AS first_rid"))
+    met = cut(keys.join(firsts, "key").where("doc <> first").select("rid", "first", "first_rid").distinct())
+    heads = cut(prints.join(firsts.select(F.col("first_rid").alias("rid")).distinct(), "rid", "left_semi")
+                .groupBy(F.col("rid").alias("first_rid")).agg(F.first("sketch").alias("other")))
+    links = cut(prints.join(met, "rid").join(heads, "first_rid").where(
+        F.size(F.array_intersect("sketch", "other")) >= COPY * F.size(F.array_union("sketch", "other"))).select("doc", "first").distinct())
+    out = components(links, "doc", "first")
+    for old in (prints, firsts, met, heads, links):
+        discard(old)
+    return out
+
+
 def tree_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, fields: int) -> DataFrame:
-    """One row per line that reaches a leaf: document, line number, leaf, wording, fields, neighbourhood."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"),
-                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _masked(F.col(text_col)).alias("text"))
+    """One row per line that reaches a leaf: document, line number, leaf, wording, fields."""
+    base = docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _masked(F.col(text_col)).alias("text"))
     lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), F.split(F.trim(line), " ").alias("t")))
     long = F.filter(lines, lambda x: F.size(x["t"]) >= depth)
-    # the beginning of each line, as one hash; the lowest of a document name the neighbourhoods of all its lines
     begun = F.transform(long, lambda x: F.struct(
         x["no"].alias("no"), F.size(x["t"]).alias("n"), x["t"].alias("t"), F.xxhash64(F.slice(x["t"], 1, depth)).alias("lead")))
-    heads = base.select("doc", "rid", begun.alias("lines"))
-    lows = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["lead"]))), 1, AROUND + 1)
     # the outer form: Spark would test the lines of a plain explode for emptiness by parsing the text once more
-    # and ``lows`` in a step of its own, or every line would carry all lines of its document through the explode
-    named = heads.select("doc", "rid", "lines", lows.alias("lows"))
-    rows = (named.select("doc", "rid", "lows", F.explode_outer("lines").alias("line")).where("line IS NOT NULL")
-            .select("doc", "rid", "lows", "line.*"))
+    rows = (base.select("doc", "rid", F.explode_outer(begun).alias("line")).where("line IS NOT NULL")
+            .select("doc", "rid", "line.*"))
     step = f"CAST(ceil((n - {depth}) / {fields}) AS INT)"
     parts = [F.expr(f"IF(n > {depth + i}, IF(n <= {depth + fields}, xxhash64(t[{depth + i}]), "
                     f"xxhash64(slice(t, {depth + 1} + {i} * {step}, {step}))), 0)").alias(f"f{i}") for i in range(fields)]
-    return rows.select(
-        "doc", "rid", "no", "n", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("t").alias("wording"),
-        F.xxhash64(F.expr(f"slice(filter(lows, x -> x <> lead), 1, {AROUND})")).alias("around"), *parts)
+    return rows.select("doc", "rid", "no", "n", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("t").alias("wording"), *parts)
 
 
 def _used(i: int, depth: int, fields: int) -> str:
@@ -100,21 +123,24 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = cut(tree_lines(docs, id_col, text_col, depth, fields))
     joined = generalised(lines, depth, fields, similarity).withColumn("general", F.lit(True))
     marked = cut(lines.join(joined, ["leaf", "wording"], "left").select(
-        "doc", "rid", "no", "around", F.expr("IF(general, leaf, wording)").alias("template")))
+        "doc", "rid", "no", F.expr("IF(general, leaf, wording)").alias("template")))
     discard(lines)
-    # a document counts once for a template: its repeats share the neighbourhood, and meet before they are counted
-    per_doc = marked.groupBy("template", "around", "doc").agg(F.count(F.lit(1)).alias("repeats"))
-    circles = per_doc.groupBy("template", "around").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-    recurring = cut(circles.groupBy("template").agg(F.sum("docs").alias("docs"), F.max("docs").alias("most"), F.min("first").alias("first"))
-                    .where((F.col("docs") >= min_docs) & (2 * F.col("most") <= F.col("docs"))).select("template", "first"))
+    several = marked.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("hi")).where("first <> hi")
+    shared = cut(marked.select("template", "doc").join(several.select("template", "first"), "template").distinct())
+    group = copy_groups(docs, id_col, text_col, depth)
+    # a copy group counts once for a template
+    groups = (shared.join(group, shared["doc"] == group["node"], "left")
+              .groupBy("template", F.coalesce("label", "doc").alias("group")).agg(F.min("first").alias("first")))
+    recurring = cut(groups.groupBy("template").agg(F.count(F.lit(1)).alias("groups"), F.min("first").alias("first"))
+                    .where(F.col("groups") >= min_docs).select("template", "first"))
     out = cut(marked.join(recurring, "template").where(F.col("doc") != F.col("first"))
               .groupBy("rid", "no").agg(F.lit(1).alias("one"))
               .groupBy("rid").agg(F.sort_array(F.collect_list("no")).alias("nos"))
               .select("rid", F.size("nos").alias("n_gone"), F.expr(
                   "encode(array_join(zip_with(nos, array_insert(nos, 1, -1), (a, b) -> IF(a IS NULL, '', concat(repeat('0', a - b - 1), '1'))), ''), 'UTF-8')")
                       .alias("gone")))
-    discard(marked)
-    discard(recurring)
+    for old in (marked, shared, recurring):
+        discard(old)
     return out
 
 

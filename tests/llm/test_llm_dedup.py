@@ -135,6 +135,31 @@ def test_line_dedup_leaves_copies_whole(spark):
     assert {r["text"] for r in line_dedup.drop_recurring(df).collect()} == {text}
 
 
+def own_lines(rng, n):
+    return [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(n)]
+
+
+def test_line_dedup_counts_a_copy_group_once(spark):
+    rng, line = random.Random(4), "this one line stands in every text of them"
+    copied = "\n".join([*own_lines(rng, 6), line])
+    rows = [(i, copied) for i in range(40)] + [(100 + i, "\n".join([*own_lines(rng, 3), line])) for i in range(9)]     # 40 of 49 are copies
+    pair = "a line that two texts share and one is copied"
+    twice = "\n".join([*own_lines(rng, 5), pair])
+    rows += [(200, twice), (201, twice.replace("a", "z", 1)), (202, "\n".join([pair, *own_lines(rng, 5)]))]               # a near copy
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [i for i in got if line in got[i]] == [0] and [i for i in got if pair in got[i]] == [200]
+    lost = "\n" + line
+    assert all(got[i] == copied.replace(lost, "") for i in range(1, 40)) and got[201] + "\n" + pair == rows[-2][1]
+
+
+def test_line_dedup_a_shared_block_makes_no_copies(spark):
+    rng = random.Random(6)
+    block = own_lines(rng, 10)
+    rows = [(i, "\n".join([*block, *own_lines(rng, 2)])) for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: rows[0][1], **{i: "\n".join(rows[i][1].split("\n")[10:]) for i in (1, 2)}}
+
+
 def test_line_dedup_awkward_columns_and_long_text(spark):
     assert line_dedup.drop_recurring(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     long = "\n".join(f"line {w} of this very long text" for w in "abcdefghij" * 3000)
