@@ -1,9 +1,10 @@
 """Line deduplication by a log-template tree, with DataFrame operations only.
 
 A line's way through the tree is its number of tokens and its first ``DEPTH`` tokens; tokens with a digit are variable
-fields from the start.  The rest of the line falls into ``FIELDS`` runs of tokens.  Where a leaf holds several wordings,
-its template keeps, field by field, the wording that most of them share, and a line at ``SIMILARITY`` or more of its
-fields joins that template; every other line is a template of its own.
+fields from the start.  The rest of the line falls into ``FIELDS`` runs of tokens.  Wordings of a leaf that agree on
+``SIMILARITY`` or more of their fields are linked, and the connected components are the leaf's templates: a leaf may hold any number
+of them.  Two wordings agree on enough fields exactly if they agree on all fields of some subset of that size, so that
+equal subsets meet and no pairs are made.
 
 A template recurs if it stands in documents of two or more copy groups, however many copies a group has.  Copies are told
 by whole documents: by the share of word pairs that two texts have in common, over a sketch of the ``SKETCH`` lowest hashes of
@@ -16,7 +17,9 @@ Only hashes are shuffled until the very end: the texts move once, to meet the nu
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,29 +92,29 @@ def tree_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, fields:
     return rows.select("doc", "rid", "no", "n", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("t").alias("wording"), *parts)
 
 
-def _used(i: int, depth: int, fields: int) -> str:
-    """SQL: whether field ``i`` of a line of ``n`` tokens has tokens."""
-    return f"IF(n <= {depth + fields}, n > {depth + i}, n > {depth} + {i} * CAST(ceil((n - {depth}) / {fields}) AS INT))"
-
-
 def generalised(lines: DataFrame, depth: int, fields: int, similarity: float) -> DataFrame:
-    """(leaf, wording): the wordings that join their leaf's template, of leaves with several wordings."""
+    """(node, label): the template of every wording that is similar to another wording of its leaf.
+
+    A node is the hash of a leaf and a wording, and the label of a template the smallest of its nodes.
+    """
     names = [f"f{i}" for i in range(fields)]
     several = cut(lines.groupBy("leaf").agg(F.min("wording").alias("lo"), F.max("wording").alias("hi"))
                   .where("lo <> hi").select("leaf"))
+    # the fields in use come first, and their number follows from the leaf's token count
+    used = (f"IF(n <= {depth + fields}, n - {depth}, CAST(ceil((n - {depth}) / ceil((n - {depth}) / {fields})) AS INT))")
     wordings = cut(lines.join(several, "leaf").groupBy("leaf", "wording")
-                   .agg(F.max("n").alias("n"), *[F.max(c).alias(c) for c in names]))
-    by_field = wordings.selectExpr("leaf", "wording", "n", "stack(%d, %s) AS (field, part)" % (
-        fields, ", ".join(f"{i}, IF({_used(i, depth, fields)}, f{i}, NULL)" for i in range(fields)))).where("part IS NOT NULL")
-    votes = by_field.groupBy("leaf", "field", "part").agg(F.count(F.lit(1)).alias("votes"))
-    best = cut(votes.groupBy("leaf", "field").agg(F.max(F.struct("votes", "part")).alias("best"), F.sum("votes").alias("cast"))
-               .where("2 * best.votes > cast").selectExpr("leaf", "field", "best.part AS part"))
-    # sum over the leaf's fields: one narrow row per leaf, joined back to its wordings
-    templates = cut(best.groupBy("leaf").agg(*[F.max(F.when(F.col("field") == i, F.col("part"))).alias(f"b{i}") for i in range(fields)]))
-    same = " + ".join(f"IF(f{i} = b{i} AND {_used(i, depth, fields)}, 1, 0)" for i in range(fields))
-    used = " + ".join(f"IF({_used(i, depth, fields)}, 1, 0)" for i in range(fields))
-    out = cut(wordings.join(templates, "leaf").where(f"({used}) > 0 AND ({same}) >= {similarity} * ({used})").select("leaf", "wording"))
-    for old in (several, wordings, best, templates):
+                   .agg(F.max("n").alias("n"), *[F.max(c).alias(c) for c in names])
+                   .select("leaf", F.xxhash64("leaf", "wording").alias("node"), F.expr(used).alias("used"), *names))
+    subsets = "CASE used "
+    for u in range(1, fields + 1):
+        least = max(1, math.ceil(similarity * u - 1e-9))
+        keys = ", ".join(f"xxhash64(leaf, {k}, {', '.join(f'f{i}' for i in c)})" for k, c in enumerate(combinations(range(u), least)))
+        subsets += f"WHEN {u} THEN array({keys}) "
+    keyed = wordings.select("node", F.explode(F.expr(subsets + "END")).alias("key"))
+    firsts = cut(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("hi")).where("first <> hi").select("key", "first"))
+    links = cut(keyed.join(firsts, "key").where("node <> first").select("node", "first").distinct())
+    out = components(links, "node", "first")
+    for old in (several, wordings, firsts, links):
         discard(old)
     return out
 
@@ -121,9 +124,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(rid, n_gone, gone): for each row with lines to drop, its identity (``xxhash64(id, text)``), their number, and a
     binary mask with a ``1`` at the place of each of them (places beyond its end stay)."""
     lines = cut(tree_lines(docs, id_col, text_col, depth, fields))
-    joined = generalised(lines, depth, fields, similarity).withColumn("general", F.lit(True))
-    marked = cut(lines.join(joined, ["leaf", "wording"], "left").select(
-        "doc", "rid", "no", F.expr("IF(general, leaf, wording)").alias("template")))
+    templates = generalised(lines, depth, fields, similarity)
+    node = F.xxhash64("leaf", "wording")
+    marked = cut(lines.select("doc", "rid", "no", node.alias("own")).join(templates, F.col("own") == templates["node"], "left").select(
+        "doc", "rid", "no", F.coalesce("label", "own").alias("template")))
     discard(lines)
     several = marked.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("hi")).where("first <> hi")
     shared = cut(marked.select("template", "doc").join(several.select("template", "first"), "template").distinct())

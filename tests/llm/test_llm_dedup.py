@@ -139,6 +139,17 @@ def own_lines(rng, n):
     return [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(n)]
 
 
+def test_line_dedup_finds_every_template_of_a_leaf(spark):
+    rng, cities = random.Random(9), "oslo rome bern riga kiev lima doha".split()
+    forms = ["please contact our %s office for more details", "please contact our team in %s by phone", "please contact our shop near %s before next"]
+    lines = [f % c for f, n in zip(forms, (3, 4, 3)) for c in cities[:n]]
+    assert {len(x.split()) for x in lines} == {8}
+    prose = ["please contact our " + " ".join(x.split()[:5]) for x in own_lines(rng, 30)]
+    rows = [(i, "\n".join([*own_lines(rng, 3), x])) for i, x in enumerate(lines + prose)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: int(i < 10 and i not in (0, 3, 7)) for i, _ in rows}
+
+
 def test_line_dedup_counts_a_copy_group_once(spark):
     rng, line = random.Random(4), "this one line stands in every text of them"
     copied = "\n".join([*own_lines(rng, 6), line])
