@@ -1,7 +1,7 @@
 """Line deduplication by a log-template tree, with DataFrame operations only.
 
 A line's way through the tree is its number of tokens and its first ``DEPTH`` tokens; tokens with a digit are variable
-fields from the start.  The rest of the line falls into ``FIELDS`` runs of tokens.  Wordings of a leaf that agree on
+fields from the start, but a line of fewer than ``DEPTH`` tokens is a template by its exact wording.  The rest of the line falls into ``FIELDS`` runs of tokens.  Wordings of a leaf that agree on
 ``SIMILARITY`` or more of their fields are linked, and the connected components are the leaf's templates: a leaf may hold any number
 of them.  Two wordings agree on enough fields exactly if they agree on all fields of some subset of that size, so that
 equal subsets meet and no pairs are made.
@@ -38,14 +38,15 @@ COPY = 0.8              # share of word pairs in common from which two texts are
 LAST = (1 << 63) - 1
 
 
-def _masked(text: Column) -> Column:
-    """The text with one blank between tokens of a line, and any token with a digit as the variable field.
-
-    Both rewrites run only over texts that need them: a search is far cheaper than a copy.
-    """
+def _even(text: Column) -> Column:
+    """The text with one blank between tokens of a line.  The rewrite runs only over texts that need it: a search is far cheaper than a copy."""
     ragged = reduce(lambda a, b: a | b, [text.contains(x) for x in ("  ", "\t", "\r", "\f", "\x0b", " \n", "\n ")])
-    even = F.when(ragged, F.regexp_replace(F.regexp_replace(text, r"[\t\r\f\x0B ]+", " "), r" ?\n ?", "\n")).otherwise(text)
-    digits = reduce(lambda a, b: a | b, [text.contains(str(d)) for d in range(10)])
+    return F.when(ragged, F.regexp_replace(F.regexp_replace(text, r"[\t\r\f\x0B ]+", " "), r" ?\n ?", "\n")).otherwise(text)
+
+
+def _masked(even: Column) -> Column:
+    """An even text with any token with a digit as the variable field."""
+    digits = reduce(lambda a, b: a | b, [even.contains(str(d)) for d in range(10)])
     return F.when(digits, F.regexp_replace(even, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE)).otherwise(even)
 
 
@@ -53,11 +54,11 @@ def _doc(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc")
 
 
-def copy_groups(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, label): the copy group (its smallest document) of each document that is a copy or near copy of another one."""
     words = F.split(F.translate(F.col(text_col), "\n\t\r\f\x0b", "     "), " ")
     pairs = F.zip_with("t", F.expr("slice(t, 2, size(t))"), lambda a, b: F.hash(a, b))
-    prints = cut(docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), words.alias("t")).where(F.size("t") >= depth)
+    prints = cut(docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), words.alias("t")).where(F.array_join("t", "") != "")
                  .select("doc", "rid", F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch")))
     classes = [F.expr(f"filter(sketch, x -> pmod(x, {CLASSES}) = {k})") for k in range(CLASSES)]
     keys = prints.select("doc", "rid", F.explode(F.array(*[
@@ -78,10 +79,14 @@ def copy_groups(docs: DataFrame, id_col: str, text_col: str, depth: int) -> Data
 
 def tree_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, fields: int) -> DataFrame:
     """One row per line that reaches a leaf: document, line number, leaf, wording, fields."""
-    base = docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _masked(F.col(text_col)).alias("text"))
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("no"), F.split(F.trim(line), " ").alias("t")))
-    long = F.filter(lines, lambda x: F.size(x["t"]) >= depth)
-    begun = F.transform(long, lambda x: F.struct(
+    base = docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _even(F.col(text_col)).alias("even"))
+    pairs = F.zip_with(F.split(_masked(F.col("even")), "\n"), F.split("even", "\n"),
+                       lambda m, e: F.struct(F.split(F.trim(m), " ").alias("t"), e.alias("e")))
+    lines = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("no"), x["t"].alias("t"), x["e"].alias("e"))), lambda x: F.get(x["t"], 0) != "")
+    # a line of fewer tokens than the tree is deep stands for itself, digits and all: numbers alone make no template
+    exact = F.transform(lines, lambda x: F.struct(
+        x["no"].alias("no"), F.when(F.size(x["t"]) < depth, F.split(F.trim(x["e"]), " ")).otherwise(x["t"]).alias("t")))
+    begun = F.transform(exact, lambda x: F.struct(
         x["no"].alias("no"), F.size(x["t"]).alias("n"), x["t"].alias("t"), F.xxhash64(F.slice(x["t"], 1, depth)).alias("lead")))
     # the outer form: Spark would test the lines of a plain explode for emptiness by parsing the text once more
     rows = (base.select("doc", "rid", F.explode_outer(begun).alias("line")).where("line IS NOT NULL")
@@ -131,7 +136,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(lines)
     several = marked.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("hi")).where("first <> hi")
     shared = cut(marked.select("template", "doc").join(several.select("template", "first"), "template").distinct())
-    group = copy_groups(docs, id_col, text_col, depth)
+    group = copy_groups(docs, id_col, text_col)
     # a copy group counts once for a template
     groups = (shared.join(group, shared["doc"] == group["node"], "left")
               .groupBy("template", F.coalesce("label", "doc").alias("group")).agg(F.min("first").alias("first")))
@@ -152,7 +157,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without the lines whose template recurs, except in the document with the smallest id; more columns: how many
     lines the text had, and how many were dropped (named ``n_lines`` and ``n_dropped``, with underscores where taken).
 
-    Lines end with a line feed and keep their order and bytes.  Lines of fewer than ``depth`` tokens have no leaf and
+    Lines end with a line feed and keep their order and bytes.  Blank lines have no leaf and
     stay.  A NULL text stays NULL (0 lines), an empty text is one empty line and stays.  Rows that share an id count as one
     document, and rows with a NULL id as one that comes last.  Equal rows get equal results and all stay.  A
     text of which every line is dropped becomes empty.  Other columns pass through, whatever their names; an empty table

@@ -150,6 +150,15 @@ def test_line_dedup_finds_every_template_of_a_leaf(spark):
     assert got == {i: int(i < 10 and i not in (0, 3, 7)) for i, _ in rows}
 
 
+def test_line_dedup_drops_short_lines_by_their_exact_wording(spark):
+    rng, unbroken = random.Random(2), "漢字仮名交じり文は空白なしで書かれる" * 5
+    rows = [(i, "\n".join([*own_lines(rng, 3), "And ornd.", "", unbroken, str(40 + i), "in 2024", *own_lines(rng, 1)])) for i in range(4)]
+    rows += [(10 + i, "Tiny") for i in range(3)]                                                                       # copies
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    gone = {"And ornd.", unbroken, "in 2024"}
+    assert got == {i: [x for x in t.split("\n") if not 0 < i < 4 or x not in gone] for i, t in rows}
+
+
 def test_line_dedup_counts_a_copy_group_once(spark):
     rng, line = random.Random(4), "this one line stands in every text of them"
     copied = "\n".join([*own_lines(rng, 6), line])
