@@ -31,6 +31,14 @@ def nan_to_num(c) -> Column:
              .otherwise(x))
 
 
+def finite_or_null(df: DataFrame, cols) -> DataFrame:
+    """``cols`` as doubles in which NaN and +-inf are NULL; the other columns as they are."""
+    wanted = set(cols)
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in df.columns}
+    return df.selectExpr(*[f"CASE WHEN abs(CAST({q} AS DOUBLE)) < double('Infinity') THEN CAST({q} AS DOUBLE) END AS {q}"
+                           if c in wanted else q for c, q in quoted.items()])
+
+
 def argmax_index(arr) -> Column:
     """0-based index of the first maximum of an array (ties -> lowest index)."""
     a = col_of(arr)

@@ -678,8 +678,8 @@ def _entropies(nb: DataFrame, keys: list[str], st: FeatureSettings) -> DataFrame
     aggs += [pick(r, m, phi).alias(f"_pm{i}") for i, r in enumerate(st.apen_r)]
     aggs += [pick(r, m + 1, phi).alias(f"_pm1{i}") for i, r in enumerate(st.apen_r)]
     a, b = F.coalesce(_c("_A"), F.lit(0)), _c("_B")
-    fin = [F.when(b.isNull() | (b == 0), F.lit(None).cast("double"))
-            .when(a == 0, F.lit(float("inf"))).otherwise(-F.ln(a / b)).alias("sample_entropy")]
+    # without a pair of either length the logarithm has no finite value: undefined, as any feature of too short a series
+    fin = [F.when((a > 0) & (b > 0), -F.ln(a / b)).alias("sample_entropy")]
     fin += [F.when(_c(S.N) <= m + 1, F.lit(0.0)).otherwise(F.abs(_c(f"_pm{i}") - _c(f"_pm1{i}")))
             .alias(fname("approximate_entropy", m=m, r=r)) for i, r in enumerate(st.apen_r)]
     return per_l.groupBy(*keys).agg(*aggs).select(*keys, *fin)

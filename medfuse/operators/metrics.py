@@ -2,18 +2,15 @@
 
 Everything except AUC is one global aggregate (partial aggregation per task,
 one row to the driver side of the plan).  AUC needs the negatives ranked below
-each score: scores are grouped first (one row per distinct score), cut into
-equal-count buckets with an approximate-quantile sketch, prefix-summed inside
-each bucket by a window, and offset by the bucket totals (a table with one row
-per bucket, broadcast under its proven size bound).  No single task ever sees
-more than one bucket of distinct scores.
+each score: scores are grouped first (one row per distinct score), written in
+range partitions, prefix-summed inside each partition by a window, and offset by
+the totals of the partitions before it.  No task sees more than one partition.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +18,6 @@ from medfuse.functions.exprs import DOUBLE_EPS
 from medfuse.session import materialize
 
 KERAS_EPS = 1e-7      # fixed value: probability clip for cross-entropy
-BUCKET_SCORES = 4096  # distinct scores in a bucket of the AUC prefix sums, on average
 
 
 def _c(c) -> Column:
@@ -49,42 +45,44 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
         "tp", "fp", "fn", "tn")
 
 
-def _score_buckets(grouped: DataFrame, score: str, n_buckets: int) -> DataFrame:
-    cuts = grouped.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.001) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted({c for c in cuts if c is not None}) + [float("inf")]
-    if len(splits) < 3:
-        return grouped.withColumn("_bucket", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=score, outputCol="_bucket", handleInvalid="keep").transform(grouped)
+def rank_areas(scores: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """(k, num, n_pos, n_neg) per class ``k`` from rows (k, label 0/1, s): ``num`` counts the negatives below each positive.
 
+    Ties count half.  The table of distinct scores is written once in range partitions (sampled cuts, so they stay of one
+    size whatever the scores look like), summed inside each, and offset by the totals of the partitions before: one scan
+    for all classes, and no sketch, driver loop or global sort.  ``n_buckets`` sets the number of range partitions, which
+    else follows ``spark.sql.shuffle.partitions``.
+    """
+    g = (scores.groupBy("k", "s").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+         .repartitionByRange(*([n_buckets] if n_buckets else []), "k", "s"))
+    g = materialize(g.withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part", "k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    local = g.select("part", "k", "pos", "neg", F.coalesce(F.sum("neg").over(inside), F.lit(0)).alias("below"))
+    before = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (g.groupBy("k", "part").agg(F.sum("neg").alias("neg"))
+               .select("k", "part", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("off")))     # a row per partition
+    credit = F.col("pos") * ((F.col("below") + F.col("off")).cast("double") + F.col("neg") / 2.0)
+    return local.join(offsets, ["k", "part"]).groupBy("k").agg(
+        F.sum(credit).alias("num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "p", n_buckets: int | None = None) -> DataFrame:
-    """E5: area under ROC from scores, ties count half; NULL when one class is absent.
 
-    The table of distinct scores is written once; the number of buckets follows
-    its size (``n_buckets`` sets it), so a bucket stays small at any scale.
-    """
-    g = materialize(df.where(_c(score).isNotNull()).groupBy(_c(score).cast("double").alias("_s"))
-                    .agg(F.count_if(_c(label) == 1).alias("_pos"), F.count_if(_c(label) == 0).alias("_neg")))
-    b = _score_buckets(g, "_s", n_buckets or 1 + g.count() // BUCKET_SCORES)
-    local = b.withColumn("_below", F.coalesce(F.sum("_neg").over(
-        Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    totals = b.groupBy("_bucket").agg(F.sum("_neg").alias("_bneg"))
-    offs = totals.select("_bucket", F.coalesce(F.sum("_bneg").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    j = local.join(offs, "_bucket")       # one row per bucket; AQE broadcasts it while it is small
-    credit = F.col("_pos") * ((F.col("_below") + F.col("_off")).cast("double") + F.col("_neg") / 2.0)
-    agg = j.agg(F.sum(credit).alias("_num"), F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
-    return agg.select(F.try_divide(F.col("_num"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("roc_auc"),
-                      F.coalesce(F.col("n_pos"), F.lit(0)).cast("long").alias("n_pos"),
-                      F.coalesce(F.col("n_neg"), F.lit(0)).cast("long").alias("n_neg"))
+def _area() -> Column:
+    return F.try_divide(F.col("num"), F.col("n_pos").cast("double") * F.col("n_neg"))
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "p", n_buckets: int | None = None) -> DataFrame:
+    """E5: area under ROC from scores, ties count half; NULL when one class is absent.  One row, also without scores."""
+    rows = df.where(_c(score).isNotNull()).select(F.lit(0).alias("k"), _c(label).alias("label"), _c(score).cast("double").alias("s"))
+    total = rank_areas(rows, n_buckets).agg(F.max("num").alias("num"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+    return total.select(_area().alias("roc_auc"), F.coalesce("n_pos", F.lit(0)).cast("long").alias("n_pos"),
+                        F.coalesce("n_neg", F.lit(0)).cast("long").alias("n_neg"))
 
 
 def macro_auc(df: DataFrame, label: str, probs: str, n_classes: int) -> DataFrame:
-    """One-vs-rest AUC per class from a probability array, averaged."""
-    per = [roc_auc(df.select((_c(label) == k).cast("int").alias("label"),
-                             F.element_at(_c(probs), k + 1).alias("p")), "label", "p")
-           .select(F.lit(k).alias("k"), "roc_auc") for k in range(n_classes)]
-    return reduce(DataFrame.unionByName, per).agg(F.avg("roc_auc").alias("roc_auc_macro"))
+    """One-vs-rest AUC per class from a probability array, averaged over the classes; one scan for all of them."""
+    each = df.select(_c(label).alias("y"), F.posexplode(_c(probs)).alias("k", "s")).where((F.col("k") < n_classes) & F.col("s").isNotNull())
+    rows = each.select("k", (F.col("y") == F.col("k")).cast("int").alias("label"), F.col("s").cast("double").alias("s"))
+    return rank_areas(rows).select(_area().alias("roc_auc")).agg(F.avg("roc_auc").alias("roc_auc_macro"))
 
 
 def regression_metrics(df: DataFrame, y: str = "y", y_hat: str = "y_hat") -> DataFrame:

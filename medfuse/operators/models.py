@@ -44,13 +44,19 @@ def modality_layout(mods: dict[str, DataFrame], matrix: DataFrame, key: str = KE
     return out
 
 
-def usable_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Drop columns with no observed value on ``df`` (Imputer cannot fit them); one aggregate."""
+def observed(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """(finite values, NaN or infinite values) of each column; one aggregate."""
     if not cols:
-        return []
-    row = df.agg(*[F.count(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))).alias(f"c{i}")
-                   for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[f"c{i}"] > 0]
+        return {}
+    value = [f"CAST(`{c}` AS DOUBLE)" for c in cols]
+    row = df.agg(*[F.expr(f"count_if(abs({v}) < double('Infinity'))").alias(f"f{i}") for i, v in enumerate(value)],
+                 *[F.expr(f"count_if(NOT abs({v}) < double('Infinity'))").alias(f"b{i}") for i, v in enumerate(value)]).first()
+    return {c: (row[f"f{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
+
+
+def usable_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Drop columns with no finite value on ``df`` (Imputer cannot fit them); one aggregate."""
+    return [c for c, (n, _) in observed(df, cols).items() if n > 0]
 
 
 def _class_head(kind: str, n_features: int, validation_col: str | None, seed: int):

@@ -351,7 +351,7 @@ def feature_sql(group: str, st: FeatureSettings | None = None, source: str = "we
         def pick(f, L, c):
             return f"max({c}) FILTER (WHERE f = {f!r}::DOUBLE AND L = {L})"
         b, a = pick(st.sampen_r, 2, "pairs"), f"coalesce({pick(st.sampen_r, 3, 'pairs')}, 0)"
-        sel = [R(f"CASE WHEN {b} IS NULL OR {b} = 0 THEN NULL WHEN {a} = 0 THEN 'inf'::DOUBLE "
+        sel = [R(f"CASE WHEN {b} IS NULL OR {b} = 0 OR {a} = 0 THEN NULL "
                  f"ELSE -ln({a} / {b}) END", "sample_entropy")]
         sel += [R(f"CASE WHEN max(n) <= {m + 1} THEN 0.0 ELSE abs({pick(r, m, 'phi')} - {pick(r, m + 1, 'phi')}) END",
                   fname("approximate_entropy", m=m, r=r)) for r in st.apen_r]

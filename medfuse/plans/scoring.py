@@ -9,7 +9,8 @@ the model was trained on; the record's own reading stands in for an unknown
 patient, as a series of one, and ``features_from`` says which.  One-reading
 features depend on the reading alone, so each distinct reading is computed once
 and repeated records score alike, whatever batch they come in.  A record that
-lacks what the model needs gets an ``error`` and no prediction.
+lacks what the model needs gets an ``error`` and no prediction.  A feature that is
+NaN or infinite counts as missing, as in training.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medfuse.functions.exprs import finite_or_null
 from medfuse.functions.tsfeatures import FeatureSettings, extract_features
 from medfuse.operators.models import predict
 from medfuse.plans.features import ALL_FEATURES
@@ -85,7 +87,7 @@ def score_records(raw: DataFrame, model: PipelineModel, columns: dict[str, list[
             "_errors", F.when(F.coalesce(some, F.lit(False)), F.col("_errors")).otherwise(
                 F.concat("_errors", F.array(F.lit("wearables_data: no reading of " + ", ".join(signals))))))
         known = known.drop("_known").unionByName(alone.drop("_of").withColumn("features_from", F.lit("record")))
-    return R.result_records(predict(model, known)), quarantine
+    return R.result_records(predict(model, finite_or_null(known, [c for cs in columns.values() for c in cs]))), quarantine
 
 
 def records_from_modalities(mods: dict[str, DataFrame], keys: DataFrame | None = None,

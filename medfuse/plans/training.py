@@ -15,12 +15,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medfuse.functions.exprs import finite_or_null
 from medfuse.functions.tsfeatures import FeatureSettings
 from medfuse.operators import metrics as Mx
 from medfuse.operators.clean import fit_means, numeric_columns
 from medfuse.operators.joins import leave_one_out
 from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, modality_layout,
-                                      predict, usable_columns)
+                                      observed, predict)
 from medfuse.operators.split import assign_split, is_test
 from medfuse.plans.features import ALL_FEATURES, build_feature_matrix
 from medfuse.session import materialize
@@ -35,6 +36,7 @@ class Prepared:
     columns: dict[str, list[str]]      # feature columns of the models, by modality
     layout: dict[str, list[str]]       # all matrix columns of each modality, in its own order
     fills: dict[str, float | None]     # imputation means of the EHR, imaging and genomic columns
+    non_finite: dict[str, int]         # NaN and infinite feature values of the training rows, by column (those with any)
 
     @property
     def stored(self) -> DataFrame:
@@ -57,16 +59,20 @@ def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSe
     matrix = build_feature_matrix(mods, settings, fit_filter).where(F.col(CLASS_LABEL).isNotNull())
     matrix = assign_split(matrix, KEY, test_size, validation_size, seed)
     matrix = materialize(matrix)
+    layout = modality_layout(mods, matrix)
+    features = [c for cs in layout.values() for c in cs]
+    seen = observed(matrix.where(F.col("split") != "test"), features)
+    # a value that is not finite is a missing one: it gets the training mean, which is 0 after scaling
+    matrix = finite_or_null(matrix, features)
     train, test = matrix.where(F.col("split") != "test"), matrix.where(F.col("split") == "test")
-    layout = cols = modality_layout(mods, matrix)
-    keep = set(usable_columns(train, [c for cs in cols.values() for c in cs]))
-    cols = {m: [c for c in cs if c in keep] for m, cs in cols.items()}
+    cols = {m: [c for c in cs if seen[c][0] > 0] for m, cs in layout.items()}
     fills = {}
     for m in set(mods) - {"wearables"}:
         own = numeric_columns(mods[m], (KEY, *LABEL_COLS))
         means = fit_means(mods[m].where(fit_filter) if fit_filter is not None else mods[m], own)
         fills |= {c if m == "ehr" else f"{m}_{c}": v for c, v in means.items()}
-    return Prepared(matrix, train, test, {m: cs for m, cs in cols.items() if cs}, layout, fills)
+    return Prepared(matrix, train, test, {m: cs for m, cs in cols.items() if cs}, layout, fills,
+                    {c: bad for c, (_, bad) in seen.items() if bad})
 
 
 def evaluate_predictions(pred: DataFrame, scope: str, with_regression: bool = True) -> DataFrame:

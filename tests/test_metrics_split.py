@@ -81,3 +81,19 @@ def test_evaluate_dispatch(spark):
     assert set(one) == {"accuracy", "precision", "recall", "f1", "roc_auc", "mae", "mse", "rmse", "r2", "mape"}
     cls_only = {r["metric"] for r in Mx.evaluate(df, "label", "p").collect()}
     assert "mae" not in cls_only
+
+
+def test_macro_auc_of_three_classes_in_many_range_partitions(spark):
+    import numpy as np
+    rng = np.random.default_rng(6)
+    y, probs = rng.integers(0, 3, 400), np.round(rng.dirichlet([1, 1, 1], 400), 2)
+    df = spark.createDataFrame([(int(a), [float(v) for v in p]) for a, p in zip(y, probs)], "label int, probs array<double>")
+    expected = []
+    for k in range(3):
+        pos, neg = probs[y == k, k], probs[y != k, k]
+        expected.append(float(((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean()))
+    areas = {r["k"]: r["num"] / (r["n_pos"] * r["n_neg"]) for r in Mx.rank_areas(
+        df.select("label", F.posexplode("probs").alias("k", "s")).select("k", (F.col("label") == F.col("k")).cast("int").alias("label"), "s"), 7).collect()}
+    assert [areas[k] for k in range(3)] == pytest.approx(expected, abs=1e-12)
+    assert Mx.macro_auc(df, "label", "probs", 3).first()["roc_auc_macro"] == pytest.approx(float(np.mean(expected)), abs=1e-12)
+    assert tuple(Mx.roc_auc(df.limit(0).selectExpr("label", "probs[0] AS p")).first()) == (None, 0, 0)
