@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from medfuse import oracle as O
-from medfuse.plans.catalog import FEATURE_QUERIES
+from medfuse.operators.rounds import LOSSES
+from medfuse.operators.split import threshold_hex
+from medfuse.plans.catalog import FEATURE_QUERIES, ROUND_FEATURES, ROUND_SETTINGS
 
 
 # ----------------------------------------------------------------------------- P, R, J, slice 1
@@ -219,6 +221,70 @@ X3_FIXED_SQL = _w(f"""SELECT Patient_ID, feature, {rnd('contribution', 'contribu
   FROM ({_fixed_contrib_sql()}) WINDOW w AS (PARTITION BY Patient_ID ORDER BY abs(contribution) DESC, position)""")
 
 
+# ----------------------------------------------------------------------------- M6: training rounds
+def _rounds_ctes() -> list[str]:
+    """The whole training path by a recursive query: scaled rows, weights of every round, losses, the round it stops at."""
+    cols, d, st = ROUND_FEATURES, len(ROUND_FEATURES), ROUND_SETTINGS
+    def dot(head):
+        return " + ".join(f"w[{2 * i + head + 1}] * x{i}" for i in range(d)) + f" + w[{2 * d + head + 1}]"
+    p, v = f"(1 / (1 + exp(-({dot(0)}))))", f"({dot(1)})"
+    errors = (f"({p} - label)", f"(2 * ({v} - y))")
+    steps = ", ".join(f"w[{2 * i + h + 1}] - {st.step!r} * avg({errors[h]} * {f'x{i}' if i < d else '1'})" for i in range(d + 1) for h in (0, 1))
+    scale = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate([*cols, "Time_To_Event"]))
+    xs = ", ".join(f"coalesce(({c} - m{i}) / CASE WHEN s{i} > 2.3e-16 THEN s{i} ELSE 1 END, 0) AS x{i}" for i, c in enumerate(cols))
+    ce = f"(greatest({dot(0)}, 0) + ln(1 + exp(-abs({dot(0)}))) - label * ({dot(0)}))"
+    part = {"train": "split = 'train'", "valid": "split = 'validation'"}
+    losses = ", ".join(f"avg({ce}) FILTER ({f}) AS {n}_cross_entropy, avg(({v} - y) ** 2) FILTER ({f}) AS {n}_mse" for n, f in part.items())
+    return [f"""stat AS (SELECT Patient_ID, avg(value) AS w_mean, stddev_pop(value) AS w_std, min(value) AS w_min, max(value) AS w_max
+      FROM wearables GROUP BY Patient_ID)""",
+            f"""raw AS (SELECT *, CASE WHEN substr(md5(CAST(Patient_ID AS VARCHAR) || ':42'), 1, 8) < '{threshold_hex(0.2)}' THEN 'test'
+        WHEN substr(md5(CAST(Patient_ID AS VARCHAR) || ':42:val'), 1, 8) < '{threshold_hex(0.2)}' THEN 'validation' ELSE 'train' END AS split
+      FROM ehr JOIN genomic USING (Patient_ID) JOIN imaging USING (Patient_ID) JOIN stat USING (Patient_ID) WHERE CVD_Presence IS NOT NULL AND Time_To_Event IS NOT NULL)""",
+            f"scale AS (SELECT {scale} FROM raw WHERE split = 'train')",
+            f"data AS (SELECT Patient_ID, split, CVD_Presence AS label, Time_To_Event AS y_raw, (Time_To_Event - m{d}) / s{d} AS y, m{d} AS y_mean, s{d} AS y_std, {xs} FROM raw, scale)",
+            f"""weights AS (SELECT 0 AS round, list_transform(range({2 * d + 2}), lambda i: CAST(0 AS DOUBLE)) AS w UNION ALL
+      SELECT round + 1, [{steps}] FROM weights, data WHERE split = 'train' AND round < {st.rounds - 1} GROUP BY round, w)""",
+            f"losses AS (SELECT round, {losses} FROM weights, data GROUP BY round)",
+            "summed AS (SELECT *, valid_cross_entropy + valid_mse AS valid_loss FROM losses)",
+            """gained AS (SELECT *, coalesce(valid_loss < min(valid_loss) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS gain FROM summed)""",
+            "since AS (SELECT *, max(CASE WHEN gain THEN round END) OVER (ORDER BY round) AS best_round FROM gained)",
+            f"last AS (SELECT coalesce(min(round) FILTER (round - best_round >= {st.patience}), max(round)) AS stop FROM since)",
+            "best AS (SELECT best_round FROM since, last WHERE round = stop)",
+            f"""predicted AS (SELECT Patient_ID, label, y_raw, {p} AS p_class1, {v} * y_std + y_mean AS pred_time
+      FROM data, weights, best WHERE split = 'test' AND round = best_round)"""]
+
+
+def _recursive(body: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([MODALITY_CTES, *_rounds_ctes()]) + "\n" + body
+
+
+M6_PATH_SQL = _recursive("SELECT round, " + ", ".join(rnd(c, c) for c in (*LOSSES, "valid_loss")) + """,
+  round = best_round AS best FROM summed, last, best WHERE round <= stop""")
+M6_WEIGHTS_SQL = _recursive(f"""SELECT round, CAST(position AS INTEGER) AS position, {rnd('value', 'value')}
+  FROM (SELECT round, unnest(range(len(w))) AS position, unnest(w) AS value FROM weights, last WHERE round <= stop)""")
+M6_PREDICTIONS_SQL = _recursive(f"""SELECT Patient_ID, {rnd('p_class1', 'p_class1')}, CAST(p_class1 > 0.5 AS INTEGER) AS pred_class,
+  {rnd('pred_time', 'pred_time')} FROM predicted""")
+
+
+def _m6_metrics() -> str:
+    from medfuse.functions.exprs import DOUBLE_EPS
+    e = "(y_raw - pred_time)"
+    values = {"accuracy": "avg(CAST((p_class1 > 0.5) = (label = 1) AS DOUBLE))",
+              "precision": "coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0)", "recall": "coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0)",
+              "f1": "coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0)",
+              "mae": f"avg(abs{e})", "mse": f"avg({e} ** 2)", "rmse": f"sqrt(avg({e} ** 2))",
+              "r2": f"1 - sum({e} ** 2) / (var_pop(y_raw) * count(*))",
+              "mape": f"100 * avg(abs({e} / CASE WHEN y_raw = 0 THEN {DOUBLE_EPS!r} ELSE y_raw END))"}
+    counts = """counts AS (SELECT count(*) FILTER (p_class1 > 0.5 AND label = 1) AS tp, count(*) FILTER (p_class1 > 0.5 AND label = 0) AS fp,
+      count(*) FILTER (p_class1 <= 0.5 AND label = 1) AS fn FROM predicted)"""
+    rows = [f"SELECT 'rounds' AS scope, '{n}' AS metric, {rnd(f'(SELECT {x} FROM predicted)' if n in ('accuracy', 'mae', 'mse', 'rmse', 'r2', 'mape') else f'(SELECT {x} FROM counts)', 'value')}"
+            for n, x in values.items()]
+    auc = """(SELECT sum(CASE WHEN a.p_class1 > b.p_class1 THEN 1.0 WHEN a.p_class1 = b.p_class1 THEN 0.5 ELSE 0 END) / count(*)
+      FROM predicted a, predicted b WHERE a.label = 1 AND b.label = 0)"""
+    rows.append(f"SELECT 'rounds' AS scope, 'roc_auc' AS metric, {rnd(auc, 'value')}")
+    return "WITH RECURSIVE " + ",\n".join([MODALITY_CTES, *_rounds_ctes(), counts]) + "\n" + " UNION ALL ".join(rows)
+
+
 # ----------------------------------------------------------------------------- S7, M10
 S7_SQL = _w("""SELECT CAST(e.Patient_ID AS VARCHAR) AS Patient_ID,
     ['imaging_features: field required or invalid'] AS errors
@@ -270,6 +336,8 @@ def oracle_sql() -> dict[str, str]:
                 "e6_macro_auc": E6_SQL, "e7_e11_regression_metrics": E7_SQL, "e12_losses": E12_SQL,
                 "e13_evaluate": E13_SQL, "e14_confusion_counts": E14_SQL})
     out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
+    out.update({"m6_early_stopping_path": M6_PATH_SQL, "m6_round_coefficients": M6_WEIGHTS_SQL,
+                "m6_restored_predictions": M6_PREDICTIONS_SQL, "m6_restored_metrics": _m6_metrics()})
     out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL})
     out["s2_csv_scan"] = S2_SQL
     out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]

@@ -191,9 +191,10 @@ METRIC_QUERIES = [m1_m2_split_assignment, e1_e4_classification_metrics, e5_roc_a
 
 # ----------------------------------------------------------------------------- M3-M7, AB1, X1-X3, S5, S10
 from medfuse.operators import explain as X  # noqa: E402
+from medfuse.operators import rounds as RD  # noqa: E402
 from medfuse.operators.models import feature_names, predict  # noqa: E402
 from medfuse.plans import training as TR  # noqa: E402
-from medfuse.session import scratch_path  # noqa: E402
+from medfuse.session import materialize, scratch_path  # noqa: E402
 from medfuse.sources import model_store as MS  # noqa: E402
 
 PRED_COLS = [KEY, "p_class1", "pred_class", "pred_time"]
@@ -255,6 +256,43 @@ def x3_model_breakdown(spark, sf_dir):
     return round_doubles(X.breakdown(contrib, base))
 
 
+ROUND_FEATURES = ("acctbal", "nationkey", *[f"g{i + 1}" for i in range(len(fx.PRIORITIES))], "w_mean", "w_std", "w_min", "w_max",
+                  *[f"e{i}" for i in range(3)])
+ROUND_SETTINGS = RD.RoundSettings(rounds=100, patience=10, step=0.05, momentum="none")      # plain steps: the same path in any engine
+
+
+def _round_rows(spark, sf_dir):
+    """EHR, genomic and some imaging columns and order-free wearables statistics of every labelled patient, with the three-way split."""
+    mods = fx.modalities(spark, sf_dir)
+    w = mods["wearables"].groupBy(KEY).agg(F.avg("value").alias("w_mean"), F.stddev_pop("value").alias("w_std"),
+                                           F.min("value").alias("w_min"), F.max("value").alias("w_max"))
+    rows = mods["ehr"].join(mods["genomic"], KEY).join(mods["imaging"].select(KEY, *[f"e{i}" for i in range(3)]), KEY).join(w, KEY).where("CVD_Presence IS NOT NULL AND Time_To_Event IS NOT NULL")
+    return materialize(Sp.assign_split(rows, KEY, 0.2, 0.2))
+
+
+def _rounds(spark, sf_dir):
+    rows = _round_rows(spark, sf_dir)
+    return rows, RD.fit_rounds(rows, ROUND_FEATURES, ROUND_SETTINGS)
+
+
+def m6_early_stopping_path(spark, sf_dir):
+    return round_doubles(RD.loss_path(spark, _rounds(spark, sf_dir)[1]))
+
+
+def m6_round_coefficients(spark, sf_dir):
+    return round_doubles(RD.coefficients(spark, _rounds(spark, sf_dir)[1]))
+
+
+def m6_restored_predictions(spark, sf_dir):
+    rows, model = _rounds(spark, sf_dir)
+    return round_doubles(RD.predict_rounds(model, rows.where("split = 'test'")).select(*PRED_COLS))
+
+
+def m6_restored_metrics(spark, sf_dir):
+    rows, model = _rounds(spark, sf_dir)
+    return round_doubles(TR.evaluate_predictions(RD.predict_rounds(model, rows.where("split = 'test'")), "rounds"))
+
+
 def _fixed_contrib(spark, sf_dir):
     img = fx.imaging(spark, sf_dir)
     cols = [c for c in img.columns if c != KEY]
@@ -288,6 +326,7 @@ def s10_training_report(spark, sf_dir):
 
 
 MODEL_QUERIES = [m3_baseline_metrics, m3_mlp_baseline_metrics, m4_m7_multimodal_metrics, m5_fusion_metrics, m6_gbt_early_stopping_metrics,
+                 m6_early_stopping_path, m6_round_coefficients, m6_restored_predictions, m6_restored_metrics,
                  m7_test_predictions, ab1_ablation_metrics, x1_model_attribution, x2_global_importance,
                  x3_model_breakdown, x1_linear_attribution_fixed, x3_breakdown_fixed, s5_model_roundtrip,
                  s10_training_report]
