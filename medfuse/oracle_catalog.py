@@ -296,9 +296,14 @@ M10_SQL = f"""WITH r AS (SELECT user_id AS Patient_ID, ts AS time, value FROM ev
 g AS (SELECT Patient_ID, date_trunc('day', time) AS window_start, date_trunc('day', time) + INTERVAL 1 DAY AS window_end,
         count(value) AS n, {rnd('sum(value)', 'sum_values')}, {rnd('avg(value)', 'mean')},
         {rnd('stddev_pop(value)', 'standard_deviation')}, {rnd('min(value)', 'minimum')}, {rnd('max(value)', 'maximum')},
-        {rnd('median(value)', 'median')}, count_if(value > 100.0) AS n_above
+        {rnd('quantile_disc(value, 0.5)', 'median_approx')}, {rnd('median(value)', 'median')}, count_if(value > 100.0) AS n_above
       FROM r GROUP BY Patient_ID, date_trunc('day', time))
-SELECT * FROM g WHERE window_end <= (SELECT max(time) FROM r) - INTERVAL 1 HOUR"""
+SELECT * FROM g"""
+
+
+def _m10_series() -> str:
+    parts = [f"(SELECT * FROM ({O.feature_sql(g)})) g{i}" for i, g in enumerate(("F8", "F9", "F12"))]
+    return "SELECT * FROM " + " JOIN ".join(p if i == 0 else f"{p} USING (Patient_ID)" for i, p in enumerate(parts))
 
 
 # ----------------------------------------------------------------------------- S2
@@ -338,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
     out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
     out.update({"m6_early_stopping_path": M6_PATH_SQL, "m6_round_coefficients": M6_WEIGHTS_SQL,
                 "m6_restored_predictions": M6_PREDICTIONS_SQL, "m6_restored_metrics": _m6_metrics()})
-    out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL})
+    out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL, "m10_stream_series_features": _m10_series()})
     out["s2_csv_scan"] = S2_SQL
     out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]
     out["f_all_features"] = _all_features_sql()

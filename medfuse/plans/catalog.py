@@ -336,6 +336,7 @@ MODEL_QUERIES = [m3_baseline_metrics, m3_mlp_baseline_metrics, m4_m7_multimodal_
 from medfuse.plans import scoring as SC  # noqa: E402
 from medfuse.sources import records as RC  # noqa: E402
 from medfuse.streaming import scoring_stream as SS  # noqa: E402
+from medfuse.streaming import series_state as SST  # noqa: E402
 from medfuse.streaming import window_features as WF  # noqa: E402
 
 
@@ -374,10 +375,24 @@ def m10_windowed_stream_features(spark, sf_dir):
     base = scratch_path(spark, f"windows-{uuid.uuid4().hex}")
     q = WF.run_to_sink(WF.windowed_features(readings), f"{base}/sink", f"{base}/checkpoint")
     q.awaitTermination()
-    return round_doubles(spark.read.parquet(f"{base}/sink"))
+    stored = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias(KEY), F.col("ts").alias("time"), "value")
+    return round_doubles(WF.completed(spark, stored, f"{base}/sink"))
 
 
-SCORING_QUERIES = [s6_s8_m8_batch_scoring, s7_quarantine, m9_stream_scoring, m10_windowed_stream_features]
+def m10_stream_series_features(spark, sf_dir):
+    """Readings in six files, one micro-batch each; one reading in seven arrives a file late, so patients are opened again."""
+    ev = fx.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias(KEY), F.col("ts").alias("time"), "value")
+    span = ev.agg(F.min(F.unix_micros(F.col("time").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("time").cast("timestamp"))).alias("z")).first()
+    slot = F.least(F.lit(4), F.floor((F.unix_micros(F.col("time").cast("timestamp")) - span["a"]) * 5 / max(1, span["z"] - span["a"])))
+    base = scratch_path(spark, f"series-{uuid.uuid4().hex}")
+    arrived = ev.withColumn("arrived", slot.cast("int") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    arrived.repartition("arrived").write.partitionBy("arrived").parquet(f"{base}/source")
+    src = WF.reading_stream(spark, f"{base}/source/*", arrived.drop("arrived").schema, max_files_per_trigger=1)
+    SST.start_series_stream(src, f"{base}/tables", f"{base}/checkpoint").awaitTermination()
+    return round_doubles(SST.features(SST.current_state(spark, f"{base}/tables")))
+
+
+SCORING_QUERIES = [s6_s8_m8_batch_scoring, s7_quarantine, m9_stream_scoring, m10_windowed_stream_features, m10_stream_series_features]
 
 
 def f_all_features(spark, sf_dir):
