@@ -5,7 +5,7 @@ from __future__ import annotations
 from medfuse import oracle as O
 from medfuse.operators.rounds import LOSSES
 from medfuse.operators.split import threshold_hex
-from medfuse.plans.catalog import FEATURE_QUERIES, ROUND_FEATURES, ROUND_SETTINGS
+from medfuse.plans.catalog import FEATURE_QUERIES, FIXED_NODES, ROUND_FEATURES, ROUND_SETTINGS
 
 
 # ----------------------------------------------------------------------------- P, R, J, slice 1
@@ -221,6 +221,50 @@ X3_FIXED_SQL = _w(f"""SELECT Patient_ID, feature, {rnd('contribution', 'contribu
   FROM ({_fixed_contrib_sql()}) WINDOW w AS (PARTITION BY Patient_ID ORDER BY abs(contribution) DESC, position)""")
 
 
+def _x1_tree() -> str:
+    """Shapley values by listing every coalition of a tree's features (the brute-force definition)."""
+    import itertools
+    import math
+    nodes = {(t, n): (f, thr, l, r, v, c) for t, _, n, f, thr, l, r, v, c in FIXED_NODES}
+    weights = {t: w for t, w, *_ in FIXED_NODES}
+
+    def said(t, n, known):
+        f, thr, l, r, v, c = nodes[t, n]
+        if f < 0:
+            return f"{v!r}"
+        a, b = said(t, l, known), said(t, r, known)
+        share = nodes[t, l][5] / c
+        return f"CASE WHEN e{f} <= {thr!r} THEN {a} ELSE {b} END" if f in known else f"({share!r} * ({a}) + {1 - share!r} * ({b}))"
+
+    parts, base = {}, []
+    for t, w in weights.items():
+        used = sorted({nodes[k][0] for k in nodes if k[0] == t and nodes[k][0] >= 0})
+        base.append(f"{w!r} * ({said(t, 0, ())})")
+        for i in used:
+            rest = [u for u in used if u != i]
+            for k in range(len(rest) + 1):
+                share = math.factorial(k) * math.factorial(len(rest) - k) / math.factorial(len(used))
+                for s in itertools.combinations(rest, k):
+                    parts.setdefault(i, []).append(f"{w * share!r} * (({said(t, 0, (*s, i))}) - ({said(t, 0, s)}))")
+    return _w(" UNION ALL ".join(
+        f"SELECT Patient_ID, {i} AS position, 'e{i}' AS feature, {rnd(' + '.join(p), 'contribution')}, {rnd(' + '.join(base), 'base_value')} FROM imaging"
+        for i, p in parts.items()))
+
+
+def _x2_permutation() -> str:
+    d = len(FIXED_WEIGHTS)
+    margin = " + ".join(f"({w!r} * e{i})" for i, w in enumerate(FIXED_WEIGHTS)) + f" + {FIXED_INTERCEPT!r}"
+    ranks = ", ".join(f"row_number() OVER (ORDER BY substr(md5(CAST(Patient_ID AS VARCHAR) || ':42:{s}'), 1, 8), Patient_ID) AS r{s or 'own'}"
+                      for s in ["", *map(str, range(d))])
+    clip = f"least(greatest(1 / (1 + exp(-m)), {KERAS_EPS!r}), {1 - KERAS_EPS!r})"
+    loss = f"avg(-(CVD_Presence * ln({clip}) + (1 - CVD_Presence) * ln(1 - {clip})))"
+    each = " UNION ALL ".join(f"SELECT 'e{i}' AS feature, a.CVD_Presence, a.m + {w!r} * (b.e{i} - a.e{i}) AS m FROM r a JOIN r b ON a.rown = b.r{i}"
+                              for i, w in enumerate(FIXED_WEIGHTS))
+    return _w(f"""SELECT feature, {rnd('loss', 'loss')}, {rnd('loss - (SELECT ' + loss + ' FROM r)', 'importance')}
+      FROM (SELECT feature, {loss} AS loss FROM ({each}) GROUP BY feature)""",
+              f"r AS (SELECT *, {margin} AS m, {ranks} FROM imaging JOIN (SELECT Patient_ID, CVD_Presence FROM ehr WHERE CVD_Presence IS NOT NULL) USING (Patient_ID))")
+
+
 # ----------------------------------------------------------------------------- M6: training rounds
 def _rounds_ctes() -> list[str]:
     """The whole training path by a recursive query: scaled rows, weights of every round, losses, the round it stops at."""
@@ -340,7 +384,8 @@ def oracle_sql() -> dict[str, str]:
     out.update({"m1_m2_split_assignment": M1_SQL, "e1_e4_classification_metrics": E1_SQL, "e5_roc_auc": E5_SQL,
                 "e6_macro_auc": E6_SQL, "e7_e11_regression_metrics": E7_SQL, "e12_losses": E12_SQL,
                 "e13_evaluate": E13_SQL, "e14_confusion_counts": E14_SQL})
-    out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL})
+    out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL,
+                "x1_tree_attribution_fixed": _x1_tree(), "x2_permutation_importance_fixed": _x2_permutation()})
     out.update({"m6_early_stopping_path": M6_PATH_SQL, "m6_round_coefficients": M6_WEIGHTS_SQL,
                 "m6_restored_predictions": M6_PREDICTIONS_SQL, "m6_restored_metrics": _m6_metrics()})
     out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL, "m10_stream_series_features": _m10_series()})

@@ -311,6 +311,34 @@ def x3_breakdown_fixed(spark, sf_dir):
     return round_doubles(X.breakdown(contrib, base))
 
 
+def _labelled_imaging(spark, sf_dir):
+    return fx.imaging(spark, sf_dir).join(fx.ehr(spark, sf_dir).where("CVD_Presence IS NOT NULL").select(KEY, "CVD_Presence"), KEY)
+
+
+def x2_permutation_importance_fixed(spark, sf_dir):
+    df = _labelled_imaging(spark, sf_dir)
+    cols = [c for c in df.columns if c not in (KEY, "CVD_Presence")]
+    margin = " + ".join(f"({w!r}D * {c})" for w, c in zip(FIXED_WEIGHTS, cols)) + f" + {FIXED_INTERCEPT!r}D"
+    return round_doubles(X.permutation_importance(df, cols, lambda d: d.withColumn("p_class1", F.expr(f"1 / (1 + exp(-({margin})))"))))
+
+
+# a declared forest over the imaging elements: (tree, weight, node, feature, threshold, left, right, value, rows)
+FIXED_NODES = [
+    (0, 1.0, 0, 0, 0.0, 1, 2, 0.1, 100.0), (0, 1.0, 1, 1, 0.05, 3, 4, -0.4, 40.0), (0, 1.0, 2, 0, 0.1, 5, 6, 0.5, 60.0),
+    (0, 1.0, 3, -1, None, -1, -1, -1.0, 10.0), (0, 1.0, 4, 2, -0.02, 7, 8, 0.2, 30.0), (0, 1.0, 5, -1, None, -1, -1, 0.25, 45.0),
+    (0, 1.0, 6, -1, None, -1, -1, 2.0, 15.0), (0, 1.0, 7, -1, None, -1, -1, 1.5, 12.0), (0, 1.0, 8, -1, None, -1, -1, -0.75, 18.0),
+    (1, 0.1, 0, 3, 0.02, 1, 2, 0.0, 80.0), (1, 0.1, 1, -1, None, -1, -1, 3.0, 20.0), (1, 0.1, 2, 1, -0.03, 3, 4, 0.0, 60.0),
+    (1, 0.1, 3, -1, None, -1, -1, -2.0, 24.0), (1, 0.1, 4, -1, None, -1, -1, 1.0, 36.0), (2, 0.1, 0, -1, None, -1, -1, 0.7, 80.0)]
+
+
+def x1_tree_attribution_fixed(spark, sf_dir):
+    img = fx.imaging(spark, sf_dir)
+    cols = [c for c in img.columns if c != KEY]
+    nodes = spark.createDataFrame([(t, w, n, f, thr, None, l, r, v, c) for t, w, n, f, thr, l, r, v, c in FIXED_NODES], X.NODE_SCHEMA)
+    contrib, base = X.tree_attribution(img, F.array(*[F.col(c) for c in cols]), nodes, cols)
+    return round_doubles(contrib.withColumn("base_value", F.lit(base)))
+
+
 def s5_model_roundtrip(spark, sf_dir):
     prep = _prep(spark, sf_dir)
     tr = TR.train_multimodal(prep)
@@ -328,7 +356,7 @@ def s10_training_report(spark, sf_dir):
 MODEL_QUERIES = [m3_baseline_metrics, m3_mlp_baseline_metrics, m4_m7_multimodal_metrics, m5_fusion_metrics, m6_gbt_early_stopping_metrics,
                  m6_early_stopping_path, m6_round_coefficients, m6_restored_predictions, m6_restored_metrics,
                  m7_test_predictions, ab1_ablation_metrics, x1_model_attribution, x2_global_importance,
-                 x3_model_breakdown, x1_linear_attribution_fixed, x3_breakdown_fixed, s5_model_roundtrip,
+                 x3_model_breakdown, x1_linear_attribution_fixed, x1_tree_attribution_fixed, x2_permutation_importance_fixed, x3_breakdown_fixed, s5_model_roundtrip,
                  s10_training_report]
 
 
