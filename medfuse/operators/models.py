@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, Imputer, Interaction, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, Interaction, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -134,8 +134,23 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     return pipeline.fit(train)
 
 
+def declared_model(class_weights: dict[str, float], class_intercept: float, reg_weights: dict[str, float],
+                   reg_intercept: float) -> PipelineModel:
+    """A two-headed linear model with given coefficients on raw columns; a missing or non-finite value counts as 0.
+
+    It saves, loads and scores like a fitted one.
+    """
+    def linear(weights: dict[str, float], intercept: float) -> str:
+        return " + ".join([f"{w!r}D * IF(abs(CAST(`{c}` AS DOUBLE)) < double('Infinity'), CAST(`{c}` AS DOUBLE), 0D)" for c, w in weights.items()]
+                          + [f"{intercept!r}D"])
+
+    inner = f"SELECT *, 1 / (1 + exp(-({linear(class_weights, class_intercept)}))) AS p_class1, {linear(reg_weights, reg_intercept)} AS pred_time FROM __THIS__"
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST(IF(p_class1 > 0.5, 1, 0) AS DOUBLE) AS pred_class FROM ({inner})")])
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """M7: ``p_class1`` (probability of class 1), ``pred_class`` (int), ``pred_time`` when present."""
     out = model.transform(df)
-    out = out.withColumn("p_class1", vector_to_array("cls_probability").getItem(1))
+    if "p_class1" not in out.columns:
+        out = out.withColumn("p_class1", vector_to_array("cls_probability").getItem(1))
     return out.withColumn("pred_class", F.col("pred_class").cast("int"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from medfuse import oracle as O
 from medfuse.operators.rounds import LOSSES
 from medfuse.operators.split import threshold_hex
-from medfuse.plans.catalog import FEATURE_QUERIES, FIXED_NODES, ROUND_FEATURES, ROUND_SETTINGS
+from medfuse.plans.catalog import (ABLATION_SETTINGS, DECLARED_CLASS, DECLARED_INTERCEPTS, DECLARED_TIME, FEATURE_QUERIES, FIXED_NODES,
+                                   ROUND_FEATURES, ROUND_MODALITIES, ROUND_SETTINGS)
 
 
 # ----------------------------------------------------------------------------- P, R, J, slice 1
@@ -266,9 +267,9 @@ def _x2_permutation() -> str:
 
 
 # ----------------------------------------------------------------------------- M6: training rounds
-def _rounds_ctes() -> list[str]:
+def _rounds_ctes(cols=ROUND_FEATURES, st=ROUND_SETTINGS) -> list[str]:
     """The whole training path by a recursive query: scaled rows, weights of every round, losses, the round it stops at."""
-    cols, d, st = ROUND_FEATURES, len(ROUND_FEATURES), ROUND_SETTINGS
+    d = len(cols)
     def dot(head):
         return " + ".join(f"w[{2 * i + head + 1}] * x{i}" for i in range(d)) + f" + w[{2 * d + head + 1}]"
     p, v = f"(1 / (1 + exp(-({dot(0)}))))", f"({dot(1)})"
@@ -310,7 +311,8 @@ M6_PREDICTIONS_SQL = _recursive(f"""SELECT Patient_ID, {rnd('p_class1', 'p_class
   {rnd('pred_time', 'pred_time')} FROM predicted""")
 
 
-def _m6_metrics() -> str:
+def _prediction_metrics(scope: str, with_regression: bool = True) -> tuple[str, str]:
+    """(a CTE of counts, the long metric rows) over a table ``predicted`` (label, y_raw, p_class1, pred_time)."""
     from medfuse.functions.exprs import DOUBLE_EPS
     e = "(y_raw - pred_time)"
     values = {"accuracy": "avg(CAST((p_class1 > 0.5) = (label = 1) AS DOUBLE))",
@@ -321,12 +323,54 @@ def _m6_metrics() -> str:
               "mape": f"100 * avg(abs({e} / CASE WHEN y_raw = 0 THEN {DOUBLE_EPS!r} ELSE y_raw END))"}
     counts = """counts AS (SELECT count(*) FILTER (p_class1 > 0.5 AND label = 1) AS tp, count(*) FILTER (p_class1 > 0.5 AND label = 0) AS fp,
       count(*) FILTER (p_class1 <= 0.5 AND label = 1) AS fn FROM predicted)"""
-    rows = [f"SELECT 'rounds' AS scope, '{n}' AS metric, {rnd(f'(SELECT {x} FROM predicted)' if n in ('accuracy', 'mae', 'mse', 'rmse', 'r2', 'mape') else f'(SELECT {x} FROM counts)', 'value')}"
+    if not with_regression:
+        values = {n: x for n, x in values.items() if n in ("accuracy", "precision", "recall", "f1")}
+    rows = [f"SELECT '{scope}' AS scope, '{n}' AS metric, {rnd(f'(SELECT {x} FROM predicted)' if n in ('accuracy', 'mae', 'mse', 'rmse', 'r2', 'mape') else f'(SELECT {x} FROM counts)', 'value')}"
             for n, x in values.items()]
     auc = """(SELECT sum(CASE WHEN a.p_class1 > b.p_class1 THEN 1.0 WHEN a.p_class1 = b.p_class1 THEN 0.5 ELSE 0 END) / count(*)
       FROM predicted a, predicted b WHERE a.label = 1 AND b.label = 0)"""
-    rows.append(f"SELECT 'rounds' AS scope, 'roc_auc' AS metric, {rnd(auc, 'value')}")
-    return "WITH RECURSIVE " + ",\n".join([MODALITY_CTES, *_rounds_ctes(), counts]) + "\n" + " UNION ALL ".join(rows)
+    rows.append(f"SELECT '{scope}' AS scope, 'roc_auc' AS metric, {rnd(auc, 'value')}")
+    return counts, " UNION ALL ".join(rows)
+
+
+def _round_metrics(scope: str, cols=ROUND_FEATURES, st=ROUND_SETTINGS) -> str:
+    counts, rows = _prediction_metrics(scope)
+    return "WITH RECURSIVE " + ",\n".join([MODALITY_CTES, *_rounds_ctes(cols, st), counts]) + "\n" + rows
+
+
+def _ab1_rounds() -> str:
+    from medfuse.operators.joins import leave_one_out
+    scopes = [("All", None), *[(f"No {m.capitalize()}", m) for m in ROUND_MODALITIES]]
+    return " UNION ALL ".join(f"SELECT * FROM ({_round_metrics(name, leave_one_out(ROUND_MODALITIES, drop), ABLATION_SETTINGS)})" for name, drop in scopes)
+
+
+# ----------------------------------------------------------------------------- declared coefficients: S5, S6, S8, S10, M7-M9
+def _declared_ctes() -> list[str]:
+    test = f"substr(md5(CAST(Patient_ID AS VARCHAR) || ':42'), 1, 8) < '{threshold_hex(0.2)}'"
+    names = {"value__mean": "w_mean", "value__maximum": "w_max", "value__minimum": "w_min", "acctbal": f"coalesce(acctbal, (SELECT avg(acctbal) FROM ehr WHERE NOT {test}))"}
+
+    def linear(weights, b):
+        return " + ".join(f"{w!r} * ({names.get(c, c.split('_')[-1])})" for c, w in weights.items()) + f" + {b!r}"
+    return [f"""filled AS (SELECT Patient_ID, coalesce(value, (SELECT avg(value) FROM wearables WHERE NOT {test})) AS value FROM wearables)""",
+            "stat AS (SELECT Patient_ID, avg(value) AS w_mean, max(value) AS w_max, min(value) AS w_min FROM filled GROUP BY Patient_ID)",
+            f"""scored AS (SELECT Patient_ID, {test} AS test, CVD_Presence AS label, Time_To_Event AS y_raw,
+        1 / (1 + exp(-({linear(DECLARED_CLASS, DECLARED_INTERCEPTS[0])}))) AS p_class1, {linear(DECLARED_TIME, DECLARED_INTERCEPTS[1])} AS pred_time
+      FROM ehr JOIN imaging USING (Patient_ID) JOIN stat USING (Patient_ID) JOIN genomic USING (Patient_ID) WHERE CVD_Presence IS NOT NULL)"""]
+
+
+DECLARED_SQL = _w(f"""SELECT Patient_ID, {rnd('p_class1', 'p_class1')}, CAST(p_class1 > 0.5 AS INTEGER) AS pred_class, {rnd('pred_time', 'pred_time')}
+  FROM scored WHERE test""", *_declared_ctes())
+DECLARED_SCORING_SQL = _w(f"""SELECT CAST(Patient_ID AS VARCHAR) AS Patient_ID, CASE WHEN p_class1 > 0.5 THEN 'Positive' ELSE 'Negative' END AS CVD_Presence,
+  {rnd('p_class1', 'CVD_Presence_probability')}, {rnd('pred_time', 'Time_To_Event')}, 'history' AS features_from, CAST(NULL AS VARCHAR) AS error
+  FROM scored""", *_declared_ctes())
+
+
+def _declared_report() -> str:
+    parts = []
+    for scope, which, regression in (("declared", "test", True), ("declared_train", "NOT test", False)):
+        counts, rows = _prediction_metrics(scope, regression)
+        parts.append("SELECT * FROM (" + _w(rows, *_declared_ctes(), f"predicted AS (SELECT * FROM scored WHERE {which})", counts) + ")")
+    return " UNION ALL ".join(parts)
 
 
 # ----------------------------------------------------------------------------- S7, M10
@@ -387,7 +431,10 @@ def oracle_sql() -> dict[str, str]:
     out.update({"x1_linear_attribution_fixed": X1_FIXED_SQL, "x3_breakdown_fixed": X3_FIXED_SQL,
                 "x1_tree_attribution_fixed": _x1_tree(), "x2_permutation_importance_fixed": _x2_permutation()})
     out.update({"m6_early_stopping_path": M6_PATH_SQL, "m6_round_coefficients": M6_WEIGHTS_SQL,
-                "m6_restored_predictions": M6_PREDICTIONS_SQL, "m6_restored_metrics": _m6_metrics()})
+                "m6_restored_predictions": M6_PREDICTIONS_SQL, "m6_restored_metrics": _round_metrics("rounds"),
+                "m3_baseline_rounds": _round_metrics("baseline_ehr", ROUND_MODALITIES["ehr"], ABLATION_SETTINGS), "ab1_ablation_rounds": _ab1_rounds(),
+                "s5_m7_declared_predictions": DECLARED_SQL, "s10_declared_report": _declared_report(),
+                "s6_s8_m8_declared_scoring": DECLARED_SCORING_SQL, "m9_declared_stream_scoring": DECLARED_SCORING_SQL})
     out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL, "m10_stream_series_features": _m10_series()})
     out["s2_csv_scan"] = S2_SQL
     out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]

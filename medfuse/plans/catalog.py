@@ -192,7 +192,7 @@ METRIC_QUERIES = [m1_m2_split_assignment, e1_e4_classification_metrics, e5_roc_a
 # ----------------------------------------------------------------------------- M3-M7, AB1, X1-X3, S5, S10
 from medfuse.operators import explain as X  # noqa: E402
 from medfuse.operators import rounds as RD  # noqa: E402
-from medfuse.operators.models import feature_names, predict  # noqa: E402
+from medfuse.operators.models import declared_model, feature_names, predict  # noqa: E402
 from medfuse.plans import training as TR  # noqa: E402
 from medfuse.session import materialize, scratch_path  # noqa: E402
 from medfuse.sources import model_store as MS  # noqa: E402
@@ -293,6 +293,63 @@ def m6_restored_metrics(spark, sf_dir):
     return round_doubles(TR.evaluate_predictions(RD.predict_rounds(model, rows.where("split = 'test'")), "rounds"))
 
 
+ABLATION_SETTINGS = RD.RoundSettings(rounds=20, patience=10, step=0.05, momentum="none")
+ROUND_MODALITIES = {"ehr": ["acctbal", "nationkey"], "imaging": ["e0", "e1", "e2"], "wearables": ["w_mean", "w_std", "w_min", "w_max"],
+                    "genomic": [f"g{i + 1}" for i in range(len(fx.PRIORITIES))]}
+
+
+def m3_baseline_rounds(spark, sf_dir):
+    return round_doubles(TR.ablation_rounds(_round_rows(spark, sf_dir), {"baseline_ehr": ROUND_MODALITIES["ehr"]}, ABLATION_SETTINGS))
+
+
+def ab1_ablation_rounds(spark, sf_dir):
+    scopes = {name: J.leave_one_out(ROUND_MODALITIES, drop) for name, drop in
+              [("All", None), *[(f"No {m.capitalize()}", m) for m in ROUND_MODALITIES]]}
+    return round_doubles(TR.ablation_rounds(_round_rows(spark, sf_dir), scopes, ABLATION_SETTINGS))
+
+
+# declared coefficients of a two-headed model on raw columns, for every path that a fitted model takes
+DECLARED_CLASS = {"acctbal": 5e-5, "nationkey": 0.02, "imaging_e0": 1.5, "imaging_e3": -2.0, "value__mean": 0.4, "value__maximum": 0.002, "genomic_g1": 0.1}
+DECLARED_TIME = {"acctbal": -1e-4, "imaging_e1": 4.0, "value__minimum": 0.3, "genomic_g5": -0.5}
+DECLARED_INTERCEPTS = (-20.5, 12.0)
+DECLARED_COLUMNS = {"ehr": ["acctbal", "nationkey"], "imaging": ["imaging_e0", "imaging_e1", "imaging_e3"],
+                    "wearables": ["value__mean", "value__maximum", "value__minimum"], "genomic": ["genomic_g1", "genomic_g5"]}
+
+
+def _declared(spark, sf_dir):
+    """Prepared data, and the declared model after a way through the model store."""
+    model = declared_model(DECLARED_CLASS, DECLARED_INTERCEPTS[0], DECLARED_TIME, DECLARED_INTERCEPTS[1])
+    path = MS.save_model(model, scratch_path(spark, f"model-{uuid.uuid4().hex}"))
+    return _prep(spark, sf_dir, settings=FeatureSettings().only("F1")), MS.load_model(path)
+
+
+def s5_m7_declared_predictions(spark, sf_dir):
+    prep, model = _declared(spark, sf_dir)
+    return round_doubles(predict(model, prep.test).select(*PRED_COLS))
+
+
+def s10_declared_report(spark, sf_dir):
+    prep, model = _declared(spark, sf_dir)
+    report = TR.training_report(TR.evaluate_predictions(predict(model, prep.test), "declared"),
+                                TR.evaluate_predictions(predict(model, prep.train), "declared_train", False))
+    return round_doubles(spark.read.parquet(MS.write_report(report, scratch_path(spark, f"report-{uuid.uuid4().hex}"))))
+
+
+def s6_s8_m8_declared_scoring(spark, sf_dir):
+    prep, model = _declared(spark, sf_dir)
+    recs = SC.records_from_modalities(fx.modalities(spark, sf_dir))
+    return round_doubles(SC.score_records(recs, model, DECLARED_COLUMNS, prep.layout, prep.stored, prep.fills)[0])
+
+
+def m9_declared_stream_scoring(spark, sf_dir):
+    prep, model = _declared(spark, sf_dir)
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    SC.records_from_modalities(fx.modalities(spark, sf_dir)).repartition(3).write.text(f"{base}/source")
+    SS.start_scoring_stream(spark, f"{base}/source", f"{base}/sink", f"{base}/checkpoint", model, DECLARED_COLUMNS, prep.layout,
+                            prep.stored, prep.fills, max_files_per_trigger=1).awaitTermination()
+    return round_doubles(spark.read.parquet(f"{base}/sink/results").drop("batch_id"))
+
+
 def _fixed_contrib(spark, sf_dir):
     img = fx.imaging(spark, sf_dir)
     cols = [c for c in img.columns if c != KEY]
@@ -355,6 +412,8 @@ def s10_training_report(spark, sf_dir):
 
 MODEL_QUERIES = [m3_baseline_metrics, m3_mlp_baseline_metrics, m4_m7_multimodal_metrics, m5_fusion_metrics, m6_gbt_early_stopping_metrics,
                  m6_early_stopping_path, m6_round_coefficients, m6_restored_predictions, m6_restored_metrics,
+                 m3_baseline_rounds, ab1_ablation_rounds, s5_m7_declared_predictions, s10_declared_report, s6_s8_m8_declared_scoring,
+                 m9_declared_stream_scoring,
                  m7_test_predictions, ab1_ablation_metrics, x1_model_attribution, x2_global_importance,
                  x3_model_breakdown, x1_linear_attribution_fixed, x1_tree_attribution_fixed, x2_permutation_importance_fixed, x3_breakdown_fixed, s5_model_roundtrip,
                  s10_training_report]

@@ -22,6 +22,7 @@ from medfuse.operators.clean import fit_means, numeric_columns
 from medfuse.operators.joins import leave_one_out
 from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, modality_layout,
                                       observed, predict)
+from medfuse.operators.rounds import RoundSettings, fit_rounds, predict_rounds
 from medfuse.operators.split import assign_split, is_test
 from medfuse.plans.features import ALL_FEATURES, build_feature_matrix
 from medfuse.session import materialize
@@ -128,6 +129,15 @@ def ablation_study(prep: Prepared, classifier: str = "logistic", regressor: str
     return reduce(DataFrame.unionByName, parts)
 
 
+def ablation_rounds(rows: DataFrame, scopes: dict[str, list[str]], settings: RoundSettings = RoundSettings()) -> DataFrame:
+    """AB1 (and M3) with heads trained in rounds: one fit on the columns of each scope, test metrics, long table.
+
+    The fits read one written table and run one after another, as each of their rounds already is one small job.
+    """
+    parts = [evaluate_predictions(predict_rounds(fit_rounds(rows, cols, settings), rows.where("split = 'test'")), scope) for scope, cols in scopes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def training_report(*metric_tables: DataFrame) -> DataFrame:
     """One long table (scope, metric, value)."""
     return reduce(DataFrame.unionByName, metric_tables)
