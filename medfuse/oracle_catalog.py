@@ -222,6 +222,17 @@ X3_FIXED_SQL = _w(f"""SELECT Patient_ID, feature, {rnd('contribution', 'contribu
   FROM ({_fixed_contrib_sql()}) WINDOW w AS (PARTITION BY Patient_ID ORDER BY abs(contribution) DESC, position)""")
 
 
+def _exact_split_sql(table: str, key: str, extra: str, size: float, seed: int) -> str:
+    part = "PARTITION BY segment" if extra else ""
+    return f"""SELECT Patient_ID{', segment' if extra else ''}, CASE WHEN place <= ceil(n * {size!r}) THEN 'test' ELSE 'train' END AS split FROM (
+      SELECT *, row_number() OVER ({part} ORDER BY md5(CAST(Patient_ID AS VARCHAR) || ':{seed}')) AS place, count(*) OVER ({part}) AS n
+      FROM (SELECT {key} AS Patient_ID{extra} FROM {table}))"""
+
+
+R4_SQL = _w(f"""SELECT Patient_ID, {rnd('acctbal', 'acctbal')}, nationkey, 1.5 AS severity, CAST(0 AS DOUBLE) AS Time_To_Event, 'mktsegment' AS left_out
+  FROM ehr""")
+
+
 def _x1_tree() -> str:
     """Shapley values by listing every coalition of a tree's features (the brute-force definition)."""
     import itertools
@@ -436,6 +447,8 @@ def oracle_sql() -> dict[str, str]:
                 "s5_m7_declared_predictions": DECLARED_SQL, "s10_declared_report": _declared_report(),
                 "s6_s8_m8_declared_scoring": DECLARED_SCORING_SQL, "m9_declared_stream_scoring": DECLARED_SCORING_SQL})
     out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL, "m10_stream_series_features": _m10_series()})
+    out.update({"m1_exact_stratified_split": _exact_split_sql("customer", "c_custkey", ", c_mktsegment AS segment", 0.2, 42),
+                "m1_exact_split": _exact_split_sql("orders", "o_orderkey", "", 0.15, 7), "r4_r7_r11_columns": R4_SQL})
     out["s2_csv_scan"] = S2_SQL
     out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]
     out["f_all_features"] = _all_features_sql()

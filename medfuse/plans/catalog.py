@@ -151,6 +151,24 @@ def m1_m2_split_assignment(spark, sf_dir):
     return Sp.assign_split(keys, test_size=0.2, validation_size=0.2, seed=42)
 
 
+def m1_exact_stratified_split(spark, sf_dir):
+    keys = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(KEY), F.col("c_mktsegment").alias("segment"))
+    return Sp.exact_split(keys, test_size=0.2, strata=["segment"])
+
+
+def m1_exact_split(spark, sf_dir):
+    return Sp.exact_split(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(KEY)), test_size=0.15, seed=7)
+
+
+def r4_r7_r11_columns(spark, sf_dir):
+    """Key restored from an index column, columns dropped, a default column, numeric feature columns picked."""
+    indexed = fx.ehr(spark, sf_dir).withColumnRenamed(KEY, "index")
+    df = C.drop_strict(C.drop_lenient(C.restore_key(indexed), ["Time_To_Event", "absent"]), ["CVD_Presence"])
+    numeric, others = C.feature_columns(C.ensure_column(C.ensure_column(df, "Time_To_Event"), "severity", 1.5))
+    kept = C.ensure_column(C.ensure_column(df, "Time_To_Event"), "severity", 1.5).select(KEY, *numeric, "Time_To_Event")
+    return round_doubles(kept.withColumn("left_out", F.lit(",".join(others))))
+
+
 def _scored(spark, sf_dir):
     s = fx.score_table(spark, sf_dir)
     return s.withColumn("pred_class", C.class_from_prob("p"))
@@ -185,7 +203,7 @@ def e14_confusion_counts(spark, sf_dir):
     return Mx.confusion_counts(_scored(spark, sf_dir))
 
 
-METRIC_QUERIES = [m1_m2_split_assignment, e1_e4_classification_metrics, e5_roc_auc, e6_macro_auc,
+METRIC_QUERIES = [m1_m2_split_assignment, m1_exact_stratified_split, m1_exact_split, r4_r7_r11_columns, e1_e4_classification_metrics, e5_roc_auc, e6_macro_auc,
                   e7_e11_regression_metrics, e12_losses, e13_evaluate, e14_confusion_counts]
 
 

@@ -97,3 +97,20 @@ def test_macro_auc_of_three_classes_in_many_range_partitions(spark):
     assert [areas[k] for k in range(3)] == pytest.approx(expected, abs=1e-12)
     assert Mx.macro_auc(df, "label", "probs", 3).first()["roc_auc_macro"] == pytest.approx(float(np.mean(expected)), abs=1e-12)
     assert tuple(Mx.roc_auc(df.limit(0).selectExpr("label", "probs[0] AS p")).first()) == (None, 0, 0)
+
+
+def test_exact_split_gives_every_stratum_its_share(spark):
+    rows = [(i, "abc"[min(2, i % 7)] if i % 50 else None) for i in range(900)] + [(7, "a"), (None, "a"), (5000, "alone")]
+    df = spark.createDataFrame(rows, "Patient_ID long, s string").withColumn("_cut", F.lit(1))
+    got = Sp.exact_split(df, test_size=0.3, strata=["s"])
+    assert got.count() == len(rows) and got.columns == ["Patient_ID", "s", "_cut", "split"]
+    import hashlib
+    import math
+    want = set()
+    for s in {s for _, s in rows}:
+        keys = sorted({i for i, t in rows if t == s and i is not None}, key=lambda k: hashlib.md5(f"{k}:42".encode()).hexdigest())
+        want |= {(k, s) for k in keys[:math.ceil(0.3 * len(keys))]}
+    assert {(r["Patient_ID"], r["s"]) for r in got.where("split = 'test'").collect()} == want
+    for size, n in ((0.0, 0), (1.0, 901), (0.001, 1)):
+        assert Sp.exact_split(df, test_size=size).where("split = 'test'").select("Patient_ID").distinct().count() == n
+    assert Sp.exact_split(df.limit(0), test_size=0.5, strata=["s"]).count() == 0
