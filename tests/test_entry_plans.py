@@ -1,6 +1,7 @@
 """Driver contract and plan shape."""
 
 import __spark_entry__ as E
+from medfuse.plans import catalog
 from medfuse.functions.tsfeatures import FeatureSettings, extract_features
 from medfuse.sources import fixtures as fx
 
@@ -14,7 +15,9 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_model_based():
     q, sql = E.queries(), E.oracle_sql()
-    rows_only = {n for n in q if n not in sql and n != "pipeline" and not n.startswith("op")}    # those have tests of their own
+    # trained models and texts rewritten by keys: tested by brute force, round trips and held-out accuracy
+    corpus = {n for n in q if n.split("_")[0] in ("op1", "op3", "op4", "op6", "op7", "op8", "pipeline")}
+    rows_only = {n for n in q if n not in sql} - corpus
     assert rows_only <= {n for n in q if n.split("_")[0] in ("m3", "m4", "m5", "m6", "m7", "ab1", "x1", "x2", "x3",
                                                               "s5", "s10", "s6", "m9")}
 
@@ -24,8 +27,10 @@ def _plan(df):
 
 
 def test_no_python_udf_no_cartesian(spark, sf_small):
-    for name in ["f10_autocorrelation", "f20_permutation_entropy", "j2_patient_feature_matrix", "e5_roc_auc",
-                 "j5_unmatched_keys", "x3_breakdown_fixed"]:
+    names = [f.__name__ for f in (*catalog.TABLE_QUERIES, *catalog.METRIC_QUERIES)]
+    names += ["f7_reoccurrence", "f10_autocorrelation", "f14_strikes", "f20_permutation_entropy", "x1_linear_attribution_fixed",
+              "x1_tree_attribution_fixed", "x2_permutation_importance_fixed", "x3_breakdown_fixed", "s7_quarantine"]
+    for name in names:
         p = _plan(E.queries()[name](spark, sf_small))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
