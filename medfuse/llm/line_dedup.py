@@ -33,7 +33,7 @@ SIMILARITY = 0.7
 VARIABLE = "<*>"
 MIN_DOCS = 2
 SKETCH = 64             # lowest word-pair hashes that stand for a text
-CLASSES = 6             # hash classes of a sketch; one of them must agree for two texts to be compared
+CLASSES = 12            # hash classes of a sketch; one of them must agree for two texts to be compared
 COPY = 0.8              # share of word pairs in common from which two texts are copies
 LAST = (1 << 63) - 1
 
@@ -56,10 +56,16 @@ def _doc(id_col: str) -> Column:
 
 def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, label): the copy group (its smallest document) of each document that is a copy or near copy of another one."""
-    words = F.split(F.translate(F.col(text_col), "\n\t\r\f\x0b", "     "), " ")
-    pairs = F.zip_with("t", F.expr("slice(t, 2, size(t))"), lambda a, b: F.hash(a, b))
-    prints = cut(docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), words.alias("t")).where(F.array_join("t", "") != "")
-                 .select("doc", "rid", F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH).alias("sketch")))
+    blank = reduce(lambda text, c: F.replace(text, F.lit(c), F.lit(" ")), "\n\t\r\f\x0b", F.col(text_col))
+    pairs = F.zip_with("t", F.expr("slice(t, 2, size(t))"), lambda a, b: F.hash(a, b)).alias("pairs")
+    # a long text sorts only hashes below a bound that four times as many as needed are expected under; if there are too
+    # few after all (many repeats), it sorts them all
+    bound = F.expr(f"-2147483648D + 4294967296D * {4 * SKETCH} / greatest(size(pairs), {4 * SKETCH})").alias("bound")
+    low = F.array_distinct(F.filter("pairs", lambda x: x < F.col("bound"))).alias("low")
+    lowest = F.sort_array(F.when(F.size("low") >= SKETCH, F.col("low")).otherwise(F.array_distinct("pairs")))
+    prints = cut(docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.split(blank, " ").alias("t"))
+                 .where(F.array_join("t", "") != "").select("doc", "rid", pairs).select("doc", "rid", "pairs", bound)
+                 .select("doc", "rid", "pairs", low).select("doc", "rid", F.slice(lowest, 1, SKETCH).alias("sketch")))
     classes = [F.expr(f"filter(sketch, x -> pmod(x, {CLASSES}) = {k})") for k in range(CLASSES)]
     keys = prints.select("doc", "rid", F.explode(F.array(*[
         F.when(F.size(c) > 0, F.xxhash64(F.lit(k), c)) for k, c in enumerate(classes)])).alias("key")).where("key IS NOT NULL")

@@ -94,23 +94,41 @@ def cosine_links(rows, least=0.93):
     return {i: (links[i], parts[i]) for i in parts}
 
 
-def tokens_of(line):
-    line = re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", line)
+def plain_tokens(line):
     return [t for t in re.split(r"[\t\r\f\x0b ]+", line) if t]
 
 
-def line_dedup(rows, lead_hash, depth=3, fields=8, similarity=0.7, min_docs=2):
-    """rows: list of (id, text); ``lead_hash``: hash of a tuple of leading tokens.  List of (text, lines, dropped)."""
+def tokens_of(line):
+    """Tokens with every one that holds a digit as the variable field."""
+    return plain_tokens(re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", line))
+
+
+def copy_groups(texts, copy=0.8):
+    """{doc: smallest doc of its copies} from {doc: [texts]}: texts that share enough of their word pairs, all pairs compared."""
+    sets = []
+    for doc, mine in texts.items():
+        for text in mine:
+            words = re.split("[\n\t\r\f\x0b ]", text)
+            if any(words):
+                sets.append((doc, set(zip(words, [*words[1:], None]))))
+    links = [(x, y) for k, (x, a) in enumerate(sets) for y, b in sets[:k] if x != y and len(a & b) >= copy * len(a | b)]
+    return union_find(list(texts), links)
+
+
+def line_dedup(rows, depth=3, fields=8, similarity=0.7, min_docs=2):
+    """rows: list of (id, text).  List of (text, lines, dropped)."""
     last = (1 << 63) - 1
-    lines = []          # (row, doc, no, leaf, tokens, around)
+    lines, texts = [], defaultdict(list)          # (row, doc, no, (leaf, wording))
     for r, (i, text) in enumerate(rows):
-        own = [(no, tokens_of(x)) for no, x in enumerate((text or "").split("\n"))] if text is not None else []
-        own = [(no, t) for no, t in own if len(t) >= depth]
-        lows = sorted({lead_hash(tuple(t[:depth])) for _, t in own})[:4]
-        for no, t in own:
-            h = lead_hash(tuple(t[:depth]))
-            around = tuple([x for x in lows if x != h][:3])
-            lines.append((r, last if i is None else i, no, (len(t), tuple(t[:depth])), tuple(t), around))
+        doc = last if i is None else i
+        if text is None:
+            continue
+        texts[doc].append(text)
+        for no, x in enumerate(text.split("\n")):
+            t = tokens_of(x)
+            if t:
+                t = tuple(t if len(t) >= depth else plain_tokens(x))
+                lines.append((r, doc, no, ((len(t), t[:depth]), t)))
 
     def parts(t):
         n = len(t)
@@ -119,35 +137,19 @@ def line_dedup(rows, lead_hash, depth=3, fields=8, similarity=0.7, min_docs=2):
         step = math.ceil((n - depth) / fields)
         return [t[depth + k * step:depth + (k + 1) * step] for k in range(fields) if depth + k * step < n]
 
-    leaves = defaultdict(set)
-    for _, _, _, leaf, t, _ in lines:
-        leaves[leaf].add(t)
-    general = set()
-    for leaf, wordings in leaves.items():
-        if len(wordings) < 2:
-            continue
-        best = {}
-        for k in range(fields):
-            votes = Counter(parts(t)[k] for t in wordings if k < len(parts(t)))
-            for part, n in votes.items():
-                if 2 * n > sum(votes.values()):
-                    best[k] = part
-        for t in wordings:
-            p = parts(t)
-            if p and sum(best.get(k) == x for k, x in enumerate(p)) >= similarity * len(p):
-                general.add((leaf, t))
-    template = [(leaf,) if (leaf, t) in general else (leaf, t) for _, _, _, leaf, t, _ in lines]
-    circles = defaultdict(lambda: defaultdict(set))
-    for (r, doc, no, leaf, t, around), tpl in zip(lines, template):
-        circles[tpl][around].add(doc)
-    recurring = {}
-    for tpl, by in circles.items():
-        sizes = [len(d) for d in by.values()]
-        if sum(sizes) >= min_docs and 2 * max(sizes) <= sum(sizes):
-            recurring[tpl] = min(min(d) for d in by.values())
+    # wordings of a leaf that agree on enough fields are one template, by any chain of them
+    nodes = sorted({x for *_, x in lines})
+    alike = [(a, b) for a in nodes for b in nodes if a < b and a[0] == b[0] and parts(a[1])
+             and sum(x == y for x, y in zip(parts(a[1]), parts(b[1]))) >= similarity * len(parts(a[1])) - 1e-9]
+    template = union_find(nodes, alike)
+    group = copy_groups(texts)
+    docs = defaultdict(set)
+    for _, doc, _, x in lines:
+        docs[template[x]].add(doc)
+    recurring = {t: min(d) for t, d in docs.items() if len({group[x] for x in d}) >= min_docs}
     gone = defaultdict(set)
-    for (r, doc, no, leaf, t, around), tpl in zip(lines, template):
-        if tpl in recurring and doc != recurring[tpl]:
+    for r, doc, no, x in lines:
+        if doc != recurring.get(template[x], doc):
             gone[r].add(no)
     out = []
     for r, (i, text) in enumerate(rows):

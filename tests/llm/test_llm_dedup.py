@@ -110,16 +110,50 @@ def line_rows():
     return rows
 
 
+def rule_rows():
+    """Texts that tell today's rules from plainer ones: short lines, several templates of a leaf, copies that share a line."""
+    rng = random.Random(21)
+    cities = "oslo rome bern riga kiev lima".split()
+    forms = ["please contact our %s office for more details", "please contact our team in %s by phone"]
+    rows = [(400 + i, "\n".join([*own_lines(rng, 3), "And ornd." if i % 2 else "in 2024", forms[i % 2] % cities[i % 6], str(70 + i)])) for i in range(12)]
+    copied = "\n".join([*own_lines(rng, 6), "only copies and one other text say this here", "copies alone say this line again"])
+    rows += [(500 + i, copied) for i in range(6)] + [(520, copied.replace("a", "Z", 1)), (530, "\n".join([*own_lines(rng, 4), "only copies and one other text say this here"]))]
+    block = own_lines(rng, 10)
+    return rows + [(600 + i, "\n".join([*block, *own_lines(rng, 2)])) for i in range(2)]
+
+
 def test_line_dedup_equals_brute_force(spark):
-    rows = line_rows()
-    leads = sorted({tuple(t[:3]) for _, text in rows if text for t in map(brute.tokens_of, text.split("\n")) if len(t) >= 3})
-    df = spark.createDataFrame([(list(x),) for x in leads], "lead array<string>").select("lead", F.xxhash64("lead").alias("h"))
-    hashes = {tuple(r["lead"]): r["h"] for r in df.collect()}
+    rows = line_rows() + rule_rows()
     docs = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(rows)], "n int, doc_id bigint, text string")
     got = {r["n"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_recurring(docs).collect()}
-    expected = dict(enumerate(brute.line_dedup(rows, hashes.__getitem__)))
+    expected = dict(enumerate(brute.line_dedup(rows)))
     assert got == expected
-    assert sum(x[2] for x in expected.values()) > 40
+    assert sum(x[2] for x in expected.values()) > 60
+    # the fixture tells other rules apart: templates by exact wording, whole copies counted apart, three groups needed, no short lines
+    for other in (dict(similarity=1.1), dict(min_docs=3), dict(depth=4), dict(fields=2)):
+        assert dict(enumerate(brute.line_dedup(rows, **other))) != expected, other
+    kept = {i: t for (i, _), (t, _, _) in zip(rows, expected.values())}
+    assert all("copies alone say this line again" in kept[500 + i] for i in range(6)) and "only copies" not in kept[530]
+    assert "And ornd." in kept[401] and "And ornd." not in kept[403]
+
+
+def test_line_dedup_finds_the_copy_links(spark):
+    """Share of the links between near copies that the hash classes find, against all pairs: 0.9 or more."""
+    rng = random.Random(33)
+    rows = []
+    for g in range(25):
+        base = [w for line in own_lines(rng, 12) for w in line.split(" ")]
+        for k in range(4):
+            text = list(base)
+            for _ in range(k):
+                text[rng.randrange(len(text))] = "changed" + str(k)
+            rows.append((10 * g + k, " ".join(text)))
+    want = brute.copy_groups({i: [t] for i, t in rows})
+    labels = {r["node"]: r["label"] for r in line_dedup.copy_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    linked = [i for i in want if want[i] != i]
+    found = sum(labels.get(i) == want[i] for i in linked)
+    assert len(linked) == 75 and found >= 0.9 * len(linked)
+    assert all(want[i] == want[x] for i, x in labels.items())          # no two texts are joined that all pairs keep apart
 
 
 def test_line_dedup_generalises_variable_fields_and_keeps_the_first(spark):
