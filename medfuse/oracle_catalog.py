@@ -330,7 +330,8 @@ def _prediction_metrics(scope: str, with_regression: bool = True) -> tuple[str,
               "precision": "coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0)", "recall": "coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0)",
               "f1": "coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0)",
               "mae": f"avg(abs{e})", "mse": f"avg({e} ** 2)", "rmse": f"sqrt(avg({e} ** 2))",
-              "r2": f"1 - sum({e} ** 2) / (var_pop(y_raw) * count(*))",
+              "r2": f"""CASE WHEN var_pop(y_raw) * count(y_raw) <> 0 THEN 1 - sum({e} ** 2) / (var_pop(y_raw) * count(y_raw))
+                WHEN sum({e} ** 2) = 0 THEN 1.0 ELSE 0.0 END""",
               "mape": f"100 * avg(abs({e} / CASE WHEN y_raw = 0 THEN {DOUBLE_EPS!r} ELSE y_raw END))"}
     counts = """counts AS (SELECT count(*) FILTER (p_class1 > 0.5 AND label = 1) AS tp, count(*) FILTER (p_class1 > 0.5 AND label = 0) AS fp,
       count(*) FILTER (p_class1 <= 0.5 AND label = 1) AS fn FROM predicted)"""
