@@ -9,11 +9,12 @@ more than the radius are skipped.  Each pair of tiles is a row of its own, so a
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medfuse.llm import textbytes as tb
@@ -51,15 +52,20 @@ def block_fingerprints(data: np.ndarray, offsets: np.ndarray, k: int) -> np.ndar
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(doc_id, fp bigint) for every row; NULL and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS_PER_SHINGLE,
+                 carry: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp bigint) for every row, and the bigint columns of ``carry``; NULL and blank texts have fingerprint 0."""
+    carry = carry or {}
+    names = ["doc_id", "fp", *carry]
+
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in tb.blocks(batch.column(1)):
                 fp = block_fingerprints(data, offsets, k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(fp)], ["doc_id", "fp"])
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id bigint, fp bigint")
+                ids, *others = [batch.column(i).slice(first, end - first) for i in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(fp), *others], names)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
+                       *[c.alias(n) for n, c in carry.items()]).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def link_tiles(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -185,17 +191,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, unchanged.
+    """One row of each group of near duplicates, unchanged: the one with the smallest id, NULL being the largest.
 
-    Rows that share an id are one document, of which the row with the smallest hash of its text stays.  Rows with a NULL
-    id cannot be named by a group and stay.
+    Rows are judged one by one, whatever id they share: of unlike rows with the smallest id, the one with the smaller hash of
+    its text, then of the whole row, stays, and of rows alike in every column one.  So every group keeps exactly one row, also
+    where all of its ids are NULL.  NULL, empty and blank texts are one group.  An empty table gives an empty result.
     """
-    found = cut(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    key, (gone_id,) = F.col(f"`{id_col}`"), fresh(docs, "gone_id")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
-    kept = docs.join(gone, key.cast("bigint") == F.col(gone_id), "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        (place,) = fresh(docs, "place")
-        order = Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`")), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-        kept = kept.withColumn(place, F.row_number().over(order)).where((F.col(place) == 1) | key.isNull()).drop(place)
+    own = {"text_hash": F.xxhash64(F.col(f"`{text_col}`")), "row_hash": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])}
+    key = ["doc_id", *own]
+    rows = cut(fingerprints(docs, id_col, text_col, carry=own).groupBy(*key, "fp").agg(F.count(F.lit(1)).alias("copies"))
+               .withColumn("rank", F.struct(F.col("doc_id").isNull().alias("unnamed"), *key)))
+    prints = cut(rows.groupBy("fp").agg(F.min("rank").alias("rank")))
+    linked = links(prints)
+    labels = components(linked, "u", "v")
+    named = cut(prints.join(labels, prints["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "rank"))
+    lowest = cut(named.groupBy("label").agg(F.min("rank").alias("lowest")))
+    judged = cut(rows.join(named.select("fp", "label").join(lowest, "label"), "fp")
+                 .select(*key, F.col("rank").eqNullSafe(F.col("lowest")).alias("stays"), "copies"))
+    names = fresh(docs, *key)
+    here = [F.col(f"`{id_col}`").cast("bigint"), *own.values()]
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for c, n in zip(here, names)])
+
+    def keys(which: str) -> DataFrame:
+        return judged.where(which).select(*[F.col(c).alias(n) for c, n in zip(key, names)])
+
+    kept = docs.join(keys("NOT stays"), same, "left_anti")
+    if judged.where("stays AND copies > 1").limit(1).count():
+        again = keys("stays AND copies > 1")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates())
+    for old in (rows, prints, linked, named, lowest):
+        discard(old)
     return kept

@@ -72,7 +72,23 @@ def test_simhash_awkward_rows(spark):
     assert got == sorted([(None, 7), (7, 7), (7, 7), (None, None), (9, 9)], key=str)
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [7, 9, None, None]
+    # the NULL id linked to document 7 goes, the group of the NULL text keeps its only row
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [7, 9, None]
+
+
+def test_simhash_keeps_one_row_of_every_group_whatever_its_ids(spark):
+    a, b, c, d = "one two three four five", "red green blue white black", "sun moon star sky sea", "iron gold tin lead zinc"
+    rows = [(2, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (8, b, "x"),        # no text of a repeated id is lost
+            (9, c, "x"), (9, c, "y"), (9, c, "y"), (None, c, "x"),                  # unlike rows with one id and text
+            (None, d, "x"), (None, d, "x"), (None, d, "z")]                         # a group without any id
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row_hash string")
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted((r[1] for r in kept)) == sorted([a, b, c, d]) and set(kept) <= set(rows)
+    assert {(r[0], r[1]) for r in kept} == {(2, a), (5, b), (9, c), (None, d)}
+    # repeated rows only: one of them
+    same = spark.createDataFrame([(1, a, "x")] * 5, df.schema)
+    assert [tuple(r) for r in simhash.keep_one(same).collect()] == [(1, a, "x")]
+    assert simhash.keep_one(df.limit(0)).columns == df.columns
 
 
 def test_simhash_keeps_the_smallest_id_of_each_group(spark):
