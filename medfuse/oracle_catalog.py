@@ -277,6 +277,50 @@ def _x2_permutation() -> str:
               f"r AS (SELECT *, {margin} AS m, {ranks} FROM imaging JOIN (SELECT Patient_ID, CVD_Presence FROM ehr WHERE CVD_Presence IS NOT NULL) USING (Patient_ID))")
 
 
+# ----------------------------------------------------------------------------- F22: whole spectrum by direct sums
+def _spectrum_ctes(key: str) -> str:
+    return f"""s AS (SELECT {key} AS id, value AS x, row_number() OVER (PARTITION BY {key} ORDER BY ts, value) - 1 AS i,
+      count(*) OVER (PARTITION BY {key}) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value))"""
+
+
+def _fft_aggregated(key: str, out: str) -> str:
+    c, var = "m1", "(m2 - m1 * m1)"
+    values = {"centroid": c, "variance": var, "skew": f"CASE WHEN {var} >= 0.5 THEN (m3 - 3 * m1 * {var} - m1 ** 3) / {var} ** 1.5 END",
+              "kurtosis": f"CASE WHEN {var} >= 0.5 THEN (m4 - 4 * m1 * m3 + 6 * m2 * m1 * m1 - 3 * m1) / ({var} * {var}) END"}
+    turn = "2 * pi() * CAST((k * i) % n AS DOUBLE) / n"
+    moments = ", ".join(f"sum(a * CAST(k AS DOUBLE) ** {m}) / nullif(sum(a), 0) AS m{m}" for m in range(1, 5))
+    return f"""WITH {_spectrum_ctes(key)},
+    f AS (SELECT id, k, sqrt(sum(x * cos({turn})) ** 2 + sum(x * sin({turn})) ** 2) AS a
+      FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM s) GROUP BY id, k),
+    m AS (SELECT id, {moments} FROM f GROUP BY id)
+    SELECT id AS "{out}", {", ".join(rnd(v, f"fft_aggregated__aggtype_{a}") for a, v in values.items())} FROM m"""
+
+
+def _fourier_entropy(key: str, out: str) -> str:
+    from medfuse.functions.spectrum import BINS, SEGMENT
+    turn = "2 * pi() * CAST((k * j) % size AS DOUBLE) / size"
+    def place(b):
+        # the bins of a histogram between the smallest and the largest value, the last one closed
+        return f"least(CAST(floor((q - lo) / (hi - lo) * {b}) AS INTEGER), {b - 1})"
+    shares = ", ".join(f"(SELECT -sum(p * ln(p)) FROM (SELECT count(*) / CAST(any_value(z.total) AS DOUBLE) AS p FROM r z WHERE z.id = v.id GROUP BY {place(b)})) AS e{b}"
+                       for b in BINS)
+    return f"""WITH {_spectrum_ctes(key)},
+    l AS (SELECT *, least(n, {SEGMENT}) AS size FROM s),
+    g AS (SELECT *, size - size // 2 AS step FROM l),
+    w AS (SELECT *, unnest(range(0, (n - size // 2) // step)) AS seg FROM g),
+    t AS (SELECT *, i - seg * step AS j FROM w WHERE i >= seg * step AND i < seg * step + size),
+    d AS (SELECT id, seg, j, size, (x - avg(x) OVER (PARTITION BY id, seg)) * CASE WHEN size = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * j / size) END AS y FROM t),
+    p AS (SELECT id, seg, k, any_value(size) AS size, (sum(y * cos({turn})) ** 2 + sum(y * sin({turn})) ** 2)
+        * CASE WHEN k = 0 OR 2 * k = any_value(size) THEN 1 ELSE 2 END AS power
+      FROM (SELECT *, unnest(range(0, size // 2 + 1)) AS k FROM d) GROUP BY id, seg, k),
+    a AS (SELECT id, k, avg(power) AS power FROM p GROUP BY id, k),
+    o AS (SELECT id, k, power / max(power) OVER (PARTITION BY id) AS q FROM a),
+    r AS (SELECT *, min(q) OVER (PARTITION BY id) AS lo, max(q) OVER (PARTITION BY id) AS hi, count(*) OVER (PARTITION BY id) AS total FROM o),
+    v AS (SELECT id, min(x) < max(x) AS varies FROM s GROUP BY id),
+    e AS (SELECT id, varies, {shares} FROM v)
+    SELECT id AS "{out}", {", ".join(rnd(f"CASE WHEN varies THEN e{b} END", f"fourier_entropy__bins_{b}") for b in BINS)} FROM e"""
+
+
 # ----------------------------------------------------------------------------- M6: training rounds
 def _rounds_ctes(cols=ROUND_FEATURES, st=ROUND_SETTINGS) -> list[str]:
     """The whole training path by a recursive query: scaled rows, weights of every round, losses, the round it stops at."""
@@ -450,6 +494,8 @@ def oracle_sql() -> dict[str, str]:
     out.update({"s7_quarantine": S7_SQL, "m10_windowed_stream_features": M10_SQL, "m10_stream_series_features": _m10_series()})
     out.update({"m1_exact_stratified_split": _exact_split_sql("customer", "c_custkey", ", c_mktsegment AS segment", 0.2, 42),
                 "m1_exact_split": _exact_split_sql("orders", "o_orderkey", "", 0.15, 7), "r4_r7_r11_columns": R4_SQL})
+    out.update({"f22_fft_aggregated": _fft_aggregated("user_id", "Patient_ID"), "f22_fourier_entropy": _fourier_entropy("user_id", "Patient_ID"),
+                "f22_fft_aggregated_long": _fft_aggregated("event_type", "series"), "f22_fourier_entropy_long": _fourier_entropy("event_type", "series")})
     out["s2_csv_scan"] = S2_SQL
     out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]
     out["f_all_features"] = _all_features_sql()

@@ -506,6 +506,37 @@ def f_all_features(spark, sf_dir):
     return round_doubles(extract_features(w, "Patient_ID", "time"))
 
 
+def _spectrum(df, kind, key=KEY, **kw):
+    from medfuse.functions.spectrum import spectrum_features
+    return round_doubles(spectrum_features(df, key, "time", kinds=[kind], **kw).drop("signal"))
+
+
+def f22_fft_aggregated(spark, sf_dir):
+    return _spectrum(fx.wearables(spark, sf_dir, inject_nulls=False), "fft_aggregated")
+
+
+def f22_fourier_entropy(spark, sf_dir):
+    return _spectrum(fx.wearables(spark, sf_dir, inject_nulls=False), "fourier_entropy")
+
+
+def _by_event_type(spark, sf_dir):
+    """One long series for each type of event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("event_type").alias("series"), F.col("ts").alias("time"), F.col("value"))
+
+
+def f22_fft_aggregated_long(spark, sf_dir):
+    """Long series by the staged transform (``block`` is small, so that it is taken at every table size)."""
+    return _spectrum(_by_event_type(spark, sf_dir), "fft_aggregated", "series", block=64)
+
+
+def f22_fourier_entropy_long(spark, sf_dir):
+    return _spectrum(_by_event_type(spark, sf_dir), "fourier_entropy", "series")
+
+
+SPECTRUM_QUERIES = [f22_fft_aggregated, f22_fourier_entropy, f22_fft_aggregated_long, f22_fourier_entropy_long]
+
+
 def s2_csv_scan(spark, sf_dir):
     """The EHR modality written as CSV by Spark, read back with a schema (no inference)."""
     from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -537,5 +568,5 @@ def s4_matrix_from_csv(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     out = {name: _feature_query(g) for g, name in FEATURE_QUERIES.items()}
-    out |= {f.__name__: f for f in [*TABLE_QUERIES, *METRIC_QUERIES, *MODEL_QUERIES, *SCORING_QUERIES, f_all_features, s2_csv_scan, s4_matrix_from_csv]}
+    out |= {f.__name__: f for f in [*TABLE_QUERIES, *METRIC_QUERIES, *MODEL_QUERIES, *SCORING_QUERIES, *SPECTRUM_QUERIES, f_all_features, s2_csv_scan, s4_matrix_from_csv]}
     return out
