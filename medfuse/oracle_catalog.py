@@ -6,7 +6,7 @@ from medfuse import oracle as O
 from medfuse.operators.rounds import LOSSES
 from medfuse.operators.split import threshold_hex
 from medfuse.plans.catalog import (ABLATION_SETTINGS, DECLARED_CLASS, DECLARED_INTERCEPTS, DECLARED_TIME, FEATURE_QUERIES, FIXED_NODES,
-                                   ROUND_FEATURES, ROUND_MODALITIES, ROUND_SETTINGS)
+                                   ROUND_FEATURES, ROUND_MODALITIES, ROUND_SETTINGS, STACK_FIRST, STACK_FOLDS, STACK_SECOND)
 
 
 # ----------------------------------------------------------------------------- P, R, J, slice 1
@@ -400,6 +400,41 @@ def _ab1_rounds() -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({_round_metrics(name, leave_one_out(ROUND_MODALITIES, drop), ABLATION_SETTINGS)})" for name, drop in scopes)
 
 
+# ----------------------------------------------------------------------------- M5: stacked fusion
+def _stacked_ctes() -> list[str]:
+    """Every first-level head by its own recursive query, and ``said``: out-of-fold values of training keys, full heads' of others."""
+    h = "substr(md5(CAST(Patient_ID AS VARCHAR) || ':42:fold'), 1, 8)"
+    fold = " + ".join(f"CAST({h} >= '{threshold_hex(i / STACK_FOLDS)}' AS INTEGER)" for i in range(1, STACK_FOLDS))
+    stat, raw, *_ = _rounds_ctes()
+    ctes = [stat, raw.replace("raw AS", "three AS", 1), f"base AS MATERIALIZED (SELECT *, {fold} AS fold FROM three)"]
+    for m, cols in ROUND_MODALITIES.items():
+        parts = []
+        for f in (None, *range(STACK_FOLDS)):
+            learned = "split = 'train'" + ("" if f is None else f" AND fold <> {f}")
+            inner = [f"raw AS (SELECT * REPLACE (CASE WHEN {learned} THEN 'train' ELSE 'test' END AS split) FROM base)", *_rounds_ctes(cols, STACK_FIRST)[2:]]
+            own = "b.split <> 'train'" if f is None else f"b.split = 'train' AND b.fold = {f}"
+            parts.append(f"""SELECT h.Patient_ID, h.p_class1 AS {m}_p_class1, h.pred_time AS {m}_pred_time
+              FROM (WITH RECURSIVE {", ".join(inner)} SELECT * FROM predicted) h JOIN base b ON b.Patient_ID = h.Patient_ID WHERE {own}""")
+        ctes.append(f"said_{m} AS MATERIALIZED ({' UNION ALL '.join(parts)})")
+    joins = " ".join(f"JOIN said_{m} USING (Patient_ID)" for m in ROUND_MODALITIES)
+    return [*ctes, f"said AS MATERIALIZED (SELECT * FROM base {joins})"]
+
+
+def _stacked_values() -> list[str]:
+    return [f"{m}_{v}" for m in ROUND_MODALITIES for v in ("p_class1", "pred_time")]
+
+
+def _stacked_out_of_fold() -> str:
+    return "WITH RECURSIVE " + ",\n".join([MODALITY_CTES, *_stacked_ctes()]) + f"""
+      SELECT Patient_ID, split, fold, {", ".join(rnd(v, v) for v in _stacked_values())} FROM said WHERE split <> 'test'"""
+
+
+def _stacked_metrics() -> str:
+    counts, rows = _prediction_metrics("stacked")
+    second = ["raw AS (SELECT * FROM said)", *_rounds_ctes(_stacked_values(), STACK_SECOND)[2:]]
+    return "WITH RECURSIVE " + ",\n".join([MODALITY_CTES, *_stacked_ctes(), *second, counts]) + "\n" + rows
+
+
 # ----------------------------------------------------------------------------- declared coefficients: S5, S6, S8, S10, M7-M9
 def _declared_ctes() -> list[str]:
     test = f"substr(md5(CAST(Patient_ID AS VARCHAR) || ':42'), 1, 8) < '{threshold_hex(0.2)}'"
@@ -496,6 +531,7 @@ def oracle_sql() -> dict[str, str]:
                 "m1_exact_split": _exact_split_sql("orders", "o_orderkey", "", 0.15, 7), "r4_r7_r11_columns": R4_SQL})
     out.update({"f22_fft_aggregated": _fft_aggregated("user_id", "Patient_ID"), "f22_fourier_entropy": _fourier_entropy("user_id", "Patient_ID"),
                 "f22_fft_aggregated_long": _fft_aggregated("event_type", "series"), "f22_fourier_entropy_long": _fourier_entropy("event_type", "series")})
+    out.update({"m5_stacked_out_of_fold": _stacked_out_of_fold(), "m5_stacked_metrics": _stacked_metrics()})
     out["s2_csv_scan"] = S2_SQL
     out["s4_matrix_from_csv"] = out["j2_patient_feature_matrix"]
     out["f_all_features"] = _all_features_sql()

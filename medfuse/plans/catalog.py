@@ -326,6 +326,26 @@ def ab1_ablation_rounds(spark, sf_dir):
     return round_doubles(TR.ablation_rounds(_round_rows(spark, sf_dir), scopes, ABLATION_SETTINGS))
 
 
+STACK_FOLDS, STACK_FIRST = 3, RD.RoundSettings(rounds=8, patience=8, step=0.05, momentum="none")
+STACK_SECOND = RD.RoundSettings(rounds=20, patience=10, step=0.05, momentum="none")
+
+
+def _stacked(spark, sf_dir):
+    from medfuse.operators.stacking import fit_stacked
+    rows = _round_rows(spark, sf_dir)
+    return rows, fit_stacked(rows, ROUND_MODALITIES, STACK_FIRST, STACK_SECOND, STACK_FOLDS)
+
+
+def m5_stacked_out_of_fold(spark, sf_dir):
+    return round_doubles(_stacked(spark, sf_dir)[1].out_of_fold.drop("CVD_Presence", "Time_To_Event"))
+
+
+def m5_stacked_metrics(spark, sf_dir):
+    from medfuse.operators.stacking import predict_stacked
+    rows, model = _stacked(spark, sf_dir)
+    return round_doubles(TR.evaluate_predictions(predict_stacked(model, rows.where("split = 'test'")), "stacked"))
+
+
 # declared coefficients of a two-headed model on raw columns, for every path that a fitted model takes
 DECLARED_CLASS = {"acctbal": 5e-5, "nationkey": 0.02, "imaging_e0": 1.5, "imaging_e3": -2.0, "value__mean": 0.4, "value__maximum": 0.002, "genomic_g1": 0.1}
 DECLARED_TIME = {"acctbal": -1e-4, "imaging_e1": 4.0, "value__minimum": 0.3, "genomic_g5": -0.5}
@@ -568,5 +588,5 @@ def s4_matrix_from_csv(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     out = {name: _feature_query(g) for g, name in FEATURE_QUERIES.items()}
-    out |= {f.__name__: f for f in [*TABLE_QUERIES, *METRIC_QUERIES, *MODEL_QUERIES, *SCORING_QUERIES, *SPECTRUM_QUERIES, f_all_features, s2_csv_scan, s4_matrix_from_csv]}
+    out |= {f.__name__: f for f in [*TABLE_QUERIES, *METRIC_QUERIES, *MODEL_QUERIES, *SCORING_QUERIES, *SPECTRUM_QUERIES, m5_stacked_out_of_fold, m5_stacked_metrics, f_all_features, s2_csv_scan, s4_matrix_from_csv]}
     return out
