@@ -19,6 +19,32 @@ def test_rank_matches_plain_window(spark, sf_small):
     assert _rows(ranked, ["Patient_ID", "time", "rn"]) == _rows(plain, ["Patient_ID", "time", "rn"])
 
 
+def test_readings_packed_into_a_day_and_an_instant_spread_over_pieces(spark):
+    """200,000 readings of one patient in one day, a quarter of them at one instant, with values of very unlike sizes."""
+    base = spark.range(200_000).select(
+        F.when(F.col("id") < 190_000, 1).otherwise(F.col("id") % 7).cast("long").alias("Patient_ID"),
+        F.when(F.col("id") % 4 == 0, F.lit(43_200_000_000)).otherwise(F.abs(F.xxhash64("id")) % 86_400_000_000).alias("us"), "id")
+    df = base.select("Patient_ID", F.timestamp_micros("us").alias("time"), F.when(F.col("id") % 1001 == 0, F.lit(None))
+                     .when(F.col("id") % 1003 == 0, F.lit(float("nan"))).when(F.col("id") % 1007 == 0, F.lit(float("inf")))
+                     .when(F.col("id") % 1009 == 0, F.lit(float("-inf")))
+                     .otherwise(F.exp((F.abs(F.xxhash64("id", F.lit(1))) % 4000) / 10.0 - 200) * F.when(F.col("id") % 8 < 4, -1).otherwise(1)).alias("value"))
+    rows, pieces = S.chunked(df, ["Patient_ID"], ["time", "value"], dense_rows=2_000)
+    counts = rows.groupBy("Patient_ID", S.CHUNK).count()
+    assert pieces.exceptAll(counts).isEmpty() and counts.exceptAll(pieces).isEmpty()
+    assert counts.agg(F.max("count")).first()[0] <= 2_000 and counts.agg(F.sum("count")).first()[0] == 200_000
+    ranked = S.rank_series(df, ["Patient_ID"], ["time", "value"], dense_rows=2_000)
+    plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("Patient_ID").orderBy("time", "value")))
+    cols = ["Patient_ID", "time", "value", "rn"]
+    assert ranked.select(cols).exceptAll(plain.select(cols)).isEmpty() and ranked.count() == 200_000
+
+
+def test_rows_that_no_order_column_tells_apart_stay_in_one_piece(spark):
+    df = spark.range(500).select(F.lit(1).alias("k"), F.lit(2.0).alias("t"), F.col("id").cast("string").alias("s"))
+    assert S.rank_series(df, ["k"], ["t"], dense_rows=10).select("rn").distinct().count() == 500
+    ordered = S.rank_series(df, ["k"], ["t", "s"], dense_rows=10).orderBy("rn").collect()
+    assert [r["s"] for r in ordered] == sorted(str(i) for i in range(500))
+
+
 def test_neighbors_and_prefix_scan_cross_blocks(spark, sf_small):
     w = fx.wearables(spark, sf_small, inject_nulls=False)
     ranked = S.rank_series(w, ["Patient_ID"], ["time", "value"], chunk_width=7200)
