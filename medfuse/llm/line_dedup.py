@@ -44,10 +44,10 @@ def _even(text: Column) -> Column:
     return F.when(ragged, F.regexp_replace(F.regexp_replace(text, r"[\t\r\f\x0B ]+", " "), r" ?\n ?", "\n")).otherwise(text)
 
 
-def _masked(even: Column) -> Column:
-    """An even text with any token with a digit as the variable field."""
-    digits = reduce(lambda a, b: a | b, [even.contains(str(d)) for d in range(10)])
-    return F.when(digits, F.regexp_replace(even, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE)).otherwise(even)
+def _masked(line: Column) -> Column:
+    """An even line with any token with a digit as the variable field."""
+    digits = reduce(lambda a, b: a | b, [line.contains(str(d)) for d in range(10)])
+    return F.when(digits, F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*", VARIABLE)).otherwise(line)
 
 
 def _doc(id_col: str) -> Column:
@@ -60,11 +60,11 @@ def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = F.zip_with("t", F.expr("slice(t, 2, size(t))"), lambda a, b: F.hash(a, b)).alias("pairs")
     # a long text sorts only hashes below a bound that four times as many as needed are expected under; if there are too
     # few after all (many repeats), it sorts them all
-    bound = F.expr(f"-2147483648D + 4294967296D * {4 * SKETCH} / greatest(size(pairs), {4 * SKETCH})").alias("bound")
-    low = F.array_distinct(F.filter("pairs", lambda x: x < F.col("bound"))).alias("low")
+    bound = F.expr(f"CAST(4294967295L * {4 * SKETCH} DIV greatest(size(pairs), {4 * SKETCH}) - 2147483648L AS INT)").alias("bound")
+    low = F.array_distinct(F.filter("pairs", lambda x: x <= F.col("bound"))).alias("low")
     lowest = F.sort_array(F.when(F.size("low") >= SKETCH, F.col("low")).otherwise(F.array_distinct("pairs")))
-    prints = cut(docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.split(blank, " ").alias("t"))
-                 .where(F.array_join("t", "") != "").select("doc", "rid", pairs).select("doc", "rid", "pairs", bound)
+    prints = cut(docs.where(F.trim(blank) != "").select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"),
+                                                        F.split(blank, " ").alias("t")).select("doc", "rid", pairs).select("doc", "rid", "pairs", bound)
                  .select("doc", "rid", "pairs", low).select("doc", "rid", F.slice(lowest, 1, SKETCH).alias("sketch")))
     classes = [F.expr(f"filter(sketch, x -> pmod(x, {CLASSES}) = {k})") for k in range(CLASSES)]
     keys = prints.select("doc", "rid", F.explode(F.array(*[
@@ -86,21 +86,18 @@ def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def tree_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, fields: int) -> DataFrame:
     """One row per line that reaches a leaf: document, line number, leaf, wording, fields."""
     base = docs.select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), _even(F.col(text_col)).alias("even"))
-    pairs = F.zip_with(F.split(_masked(F.col("even")), "\n"), F.split("even", "\n"),
-                       lambda m, e: F.struct(F.split(F.trim(m), " ").alias("t"), e.alias("e")))
-    lines = F.filter(F.transform(pairs, lambda x, i: F.struct(i.alias("no"), x["t"].alias("t"), x["e"].alias("e"))), lambda x: F.get(x["t"], 0) != "")
+    # lines are taken apart after the explode, where Spark compiles the work; before it, it would interpret it line by line.
+    # The outer form: Spark would test the lines of a plain explode for emptiness by parsing the text once more
+    lines = (base.select("doc", "rid", F.posexplode_outer(F.split("even", "\n")).alias("no", "line"))
+             .select("doc", "rid", "no", F.trim("line").alias("line")).where("line <> ''"))
+    masked = lines.select("*", _masked(F.col("line")).alias("masked")).select("*", F.split("masked", " ").alias("t"))
     # a line of fewer tokens than the tree is deep stands for itself, digits and all: numbers alone make no template
-    exact = F.transform(lines, lambda x: F.struct(
-        x["no"].alias("no"), F.when(F.size(x["t"]) < depth, F.split(F.trim(x["e"]), " ")).otherwise(x["t"]).alias("t")))
-    begun = F.transform(exact, lambda x: F.struct(
-        x["no"].alias("no"), F.size(x["t"]).alias("n"), x["t"].alias("t"), F.xxhash64(F.slice(x["t"], 1, depth)).alias("lead")))
-    # the outer form: Spark would test the lines of a plain explode for emptiness by parsing the text once more
-    rows = (base.select("doc", "rid", F.explode_outer(begun).alias("line")).where("line IS NOT NULL")
-            .select("doc", "rid", "line.*"))
-    step = f"CAST(ceil((n - {depth}) / {fields}) AS INT)"
-    parts = [F.expr(f"IF(n > {depth + i}, IF(n <= {depth + fields}, xxhash64(t[{depth + i}]), "
-                    f"xxhash64(slice(t, {depth + 1} + {i} * {step}, {step}))), 0)").alias(f"f{i}") for i in range(fields)]
-    return rows.select("doc", "rid", "no", "n", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("t").alias("wording"), *parts)
+    rows = masked.select("doc", "rid", "no", "t", F.size("t").alias("n"), F.expr(f"CAST(ceil((size(t) - {depth}) / {fields}) AS INT)").alias("step"),
+                         F.when(F.size("t") < depth, F.col("line")).otherwise(F.col("masked")).alias("own"))
+    # one short form for all fields (runs beyond the end are empty): longer code would be too much for Spark to compile
+    parts = [F.expr(f"xxhash64(slice(t, {depth + 1} + {i} * step, greatest(step, 0)))").alias(f"f{i}") for i in range(fields)]
+    lead = F.substring_index("own", " ", depth)
+    return rows.select("doc", "rid", "no", "n", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("own").alias("wording"), *parts)
 
 
 def generalised(lines: DataFrame, depth: int, fields: int, similarity: float) -> DataFrame:
