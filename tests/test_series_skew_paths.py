@@ -36,6 +36,8 @@ def test_readings_packed_into_a_day_and_an_instant_spread_over_pieces(spark):
     plain = df.withColumn("rn", F.row_number().over(Window.partitionBy("Patient_ID").orderBy("time", "value")))
     cols = ["Patient_ID", "time", "value", "rn"]
     assert ranked.select(cols).exceptAll(plain.select(cols)).isEmpty() and ranked.count() == 200_000
+    shown = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in shown and "Cartesian" not in shown
 
 
 def test_rows_that_no_order_column_tells_apart_stay_in_one_piece(spark):
