@@ -5,8 +5,9 @@ A conversation is ``<s>`` and its turns; a turn is an opening mark, a blank, the
     user       [INST] text [/INST]            assistant   <A> text </s>
     system     <<SYS>> text <</SYS>>          any other   [ROLE=name] text [/ROLE]     (name is URL-encoded)
 
-A mark inside a text would be read as a mark.  A text that the grammar gives back as it is, is set as it is; in any other,
-every mark and every escaped mark gets one more backslash behind its first character, and the parser takes one away.
+A mark inside a text would be read as a mark.  A conversation is rendered with its texts as they are and parsed again; where
+a recovered turn differs from its source, every mark and every escaped mark in the conversation gets one more backslash behind
+its first character, which the parser takes away, and that rendering is parsed and compared as well.
 The parser reads the written output by splits at closing marks, so its work is linear in the text.
 """
 
@@ -27,6 +28,8 @@ CLOSING = r" (?:\[/INST\]|</s>|<</SYS>>|\[/ROLE\])"
 REST = r"(INST\]|/INST\]|ROLE=|/ROLE\]|s>|/s>|A>|<SYS>>|</SYS>>)"
 MARK = r"([\[<])(\\*)" + REST
 ESCAPED = r"([\[<])\\(\\*)" + REST
+#: A mark that the grammar does not allow inside a text.
+BARE = r"[\[<]" + REST
 
 
 def escape(text: Column) -> Column:
@@ -37,11 +40,6 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
-def reads_back(text: Column) -> Column:
-    """Whether the grammar gives a text back that was set as it is: no mark in it, and nothing that looks escaped."""
-    return ~text.rlike(MARK)
-
-
 def _by_role(marks: dict[str, str], other: Column) -> Column:
     out = other
     for name, mark in marks.items():
@@ -62,19 +60,39 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
                         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     name = F.concat(F.lit(OTHER_OPEN), F.url_encode("role"), F.lit(OTHER_MID))
-    pieces = rows.select("*", _by_role(OPEN, name).alias("head"), _by_role(CLOSE, F.lit(OTHER_CLOSE)).alias("tail"),
-                         F.when(reads_back(F.col("text")), F.col("text")).otherwise(escape(F.col("text"))).alias("body"))
+    pieces = rows.select("*", _by_role(OPEN, name).alias("head"), _by_role(CLOSE, F.lit(OTHER_CLOSE)).alias("tail"), escape(F.col("text")).alias("escaped"))
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
-    whole = F.length("head") + F.length("body") + F.length("tail")
-    placed = pieces.select(
-        "conv_id", F.row_number().over(order).alias("place"), F.concat("head", "body", "tail").alias("piece"),
-        F.when(F.col("role") == "assistant", F.struct(
-            (F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("body") - F.length("tail") + len(BEGIN)).alias("first"),
-            F.length("body").cast("bigint").alias("length"))).alias("loss"))
-    gathered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece", "loss"))).alias("turns"))
-    return gathered.select(
-        "conv_id", F.concat(F.lit(BEGIN), F.array_join(F.transform("turns", lambda t: t["piece"]), "")).alias("formatted"),
-        F.transform(F.filter("turns", lambda t: t["loss"].isNotNull()), lambda t: t["loss"]).alias("loss_spans"))
+
+    def loss(body: str) -> Column:
+        whole = F.length("head") + F.length(body) + F.length("tail")
+        return F.when(F.col("role") == "assistant", F.struct(
+            (F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length(body) - F.length("tail") + len(BEGIN)).alias("first"),
+            F.length(body).cast("bigint").alias("length")))
+
+    placed = pieces.select("conv_id", F.row_number().over(order).alias("place"), "role", "text", "head", "tail", "escaped",
+                           loss("text").alias("loss"), loss("escaped").alias("escaped_loss"))
+    gathered = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
+        "place", "role", "text", "head", "tail", "escaped", "loss", "escaped_loss"))).alias("turns"))
+    said = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    plain = gathered.select("*", _rendered("text").alias("plain"))
+    tried = plain.select("*", (recovered(parse(F.col("plain"))) == said).alias("agrees"))
+    rendered = tried.select("*", F.when(F.col("agrees"), F.col("plain")).otherwise(_rendered("escaped")).alias("formatted"))
+    checked = F.when(F.col("agrees"), F.col("formatted")).when(recovered(parse(F.col("formatted"))) == said, F.col("formatted")).otherwise(
+        F.raise_error(F.lit("a conversation is not read back as it was said")))
+    return rendered.select("conv_id", checked.alias("formatted"), F.when(F.col("agrees"), _spans("loss")).otherwise(_spans("escaped_loss")).alias("loss_spans"))
+
+
+def _rendered(body: str) -> Column:
+    return F.concat(F.lit(BEGIN), F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t[body], t["tail"])), ""))
+
+
+def _spans(loss: str) -> Column:
+    return F.transform(F.filter("turns", lambda t: t[loss].isNotNull()), lambda t: t[loss])
+
+
+def recovered(parsed: Column) -> Column:
+    """The (role, text) of parsed turns; a text that holds a bare mark is against the grammar and NULL."""
+    return F.transform(parsed, lambda p: F.struct(p["role"].alias("role"), F.when(~p["body"].rlike(BARE), unescape(p["body"])).alias("text")))
 
 
 def parse(formatted: Column) -> Column:

@@ -43,6 +43,19 @@ def test_chat_round_trip_of_conflicting_texts(spark):
         assert [re.sub(r"([\[<])\\(\\*)" + chat_format.REST, r"\1\2\3", x) for x in cutouts] == said
 
 
+def test_chat_turns_are_compared_with_their_source(spark, monkeypatch):
+    """The operator reads its own rendering back: an escape that does not do its work is noticed, texts that read back stay as they are."""
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    plain = spark.createDataFrame([(1, 0, "user", "a [INST b"), (1, 1, "assistant", "c\\d")], schema)
+    said = [(2, 0, "user", "x </s>[INST] y"), (2, 1, "assistant", "[\\INST] <\\\\/s>"), (2, 2, "tool", "plain")]
+    back = {r["conv_id"]: r for r in chat_format.read_back(cut(chat_format.format_conversations(spark.createDataFrame(said, schema)))).collect()}
+    assert [(t["role"], t["text"]) for t in back[2]["turns"]] == [(role, text) for _, _, role, text in said]
+    monkeypatch.setattr(chat_format, "escape", lambda text: text)
+    assert chat_format.format_conversations(plain).first()["formatted"] == "<s>[INST] a [INST b [/INST]<A> c\\d </s>"
+    with pytest.raises(Exception, match="not read back"):
+        chat_format.format_conversations(spark.createDataFrame(said, schema)).collect()
+
+
 def test_chat_masks_that_do_not_fit_are_read_by_place(spark):
     written = cut(chat_format.format_conversations(spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "defg")], "conv_id bigint, turn bigint, role string, text string")))
     moved = written.withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('first', s.first + 1, 'length', s.length - 2))"))
