@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from medfuse.functions.tsfeatures import FeatureSettings, extract_features
 from medfuse.operators.clean import add_prefix, ensure_column, impute_mean
 from medfuse.operators.split import is_test
+from medfuse.session import materialize
 from medfuse.sources import fixtures as fx
 from medfuse.sources.fixtures import KEY
 
@@ -30,7 +31,7 @@ def impute_modalities(mods: dict[str, DataFrame], fit_filter: Column | None = No
 def build_feature_matrix(mods: dict[str, DataFrame], settings: FeatureSettings = ALL_FEATURES,
                          fit_filter: Column | None = None, time_col: str = "time") -> DataFrame:
     imp = impute_modalities(mods, fit_filter)
-    ts = extract_features(imp["wearables"], KEY, time_col, settings=settings)
+    ts = materialize(extract_features(imp["wearables"], KEY, time_col, settings=settings))    # the joins below plan on a table
     patient = (imp["ehr"]
                .join(add_prefix(imp["imaging"], "imaging"), KEY)
                .join(ts, KEY)

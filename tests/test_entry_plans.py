@@ -62,3 +62,15 @@ def test_all_imaging_elements_and_feature_groups_reach_the_matrix(spark, sf_smal
     width = len(spark.read.parquet(f"{sf_small}/embeddings.parquet").first()["embedding"])
     assert [c for c in columns if c.startswith("imaging_")] == [f"imaging_e{i}" for i in range(width)]
     assert len([c for c in columns if c.startswith("value__")]) > 250
+
+
+def test_no_plan_holds_the_expressions_of_all_feature_groups(spark, sf_small):
+    """What the driver plans last joins a few written tables: no aggregate, window or reading is in it."""
+    from medfuse.plans import training as TR
+    w = fx.wearables(spark, sf_small, inject_nulls=False)
+    p = _plan(extract_features(w, "Patient_ID", "time"))
+    assert "HashAggregate" not in p and "Window" not in p and "events.parquet" not in p
+    assert _count(p, "Join") <= 4
+    assert _count(_plan(E.entry(spark)), "Join") <= 4
+    scored = spark.range(20).selectExpr("CAST(id % 2 AS INT) AS CVD_Presence", "sin(id) AS Time_To_Event", "abs(cos(id)) AS p_class1", "sin(id) + 0.1 AS pred_time")
+    assert "COS(" not in _plan(TR.evaluate_predictions(scored, "x")).upper()        # the scores are read, not made for each metric
