@@ -63,8 +63,9 @@ def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSe
     layout = modality_layout(mods, matrix)
     features = [c for cs in layout.values() for c in cs]
     seen = observed(matrix.where(F.col("split") != "test"), features)
-    # a value that is not finite is a missing one: it gets the training mean, which is 0 after scaling
-    matrix = finite_or_null(matrix, features)
+    # a value that is not finite is a missing one: it gets the training mean, which is 0 after scaling (R10); written
+    # too, as the plan of every step of every fit holds what the matrix is made of
+    matrix = materialize(finite_or_null(matrix, features))
     train, test = matrix.where(F.col("split") != "test"), matrix.where(F.col("split") == "test")
     cols = {m: [c for c in cs if seen[c][0] > 0] for m, cs in layout.items()}
     fills = {}
@@ -78,7 +79,9 @@ def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSe
 
 def evaluate_predictions(pred: DataFrame, scope: str, with_regression: bool = True) -> DataFrame:
     reg = dict(y=REG_LABEL, y_hat="pred_time") if with_regression and "pred_time" in pred.columns else {}
-    return Mx.evaluate(pred, CLASS_LABEL, "p_class1", **reg).select(F.lit(scope).alias("scope"), "metric", "value")
+    # scores are written first: each metric part would else plan (and run) the whole model over every feature column again
+    scores = materialize(pred.select(CLASS_LABEL, "p_class1", *reg.values()))
+    return Mx.evaluate(scores, CLASS_LABEL, "p_class1", **reg).select(F.lit(scope).alias("scope"), "metric", "value")
 
 
 def train_multimodal(prep: Prepared, fusion: bool = True, classifier: str = "logistic",
