@@ -14,16 +14,18 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, Imputer, Interaction, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, ImputerModel, Interaction, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medfuse.operators.clean import numeric_columns
+from medfuse.session import materialize
 from medfuse.sources.fixtures import KEY, LABEL_COLS
 
 CLASS_LABEL, REG_LABEL = LABEL_COLS
+COUNTED = 200             # columns that one aggregate of ``observed`` counts, so that its plan stays small on the driver
 FUSED_COMPONENTS = 3      # leading components of a modality that the fusion multiplies with the next one's
 
 
@@ -45,13 +47,16 @@ def modality_layout(mods: dict[str, DataFrame], matrix: DataFrame, key: str = KE
 
 
 def observed(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, int]]:
-    """(finite values, NaN or infinite values) of each column; one aggregate."""
-    if not cols:
-        return {}
-    value = [f"CAST(`{c}` AS DOUBLE)" for c in cols]
-    row = df.agg(*[F.expr(f"count_if(abs({v}) < double('Infinity'))").alias(f"f{i}") for i, v in enumerate(value)],
-                 *[F.expr(f"count_if(NOT abs({v}) < double('Infinity'))").alias(f"b{i}") for i, v in enumerate(value)]).first()
-    return {c: (row[f"f{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
+    """(finite values, NaN or infinite values) of each column; one aggregate for every ``COUNTED`` columns."""
+    out = {}
+    for at in range(0, len(cols), COUNTED):
+        some = cols[at:at + COUNTED]
+        value = [f"CAST(`{c}` AS DOUBLE)" for c in some]
+        row = df.select(*[f"`{c}`" for c in some]).agg(
+            *[F.expr(f"count_if(abs({v}) < double('Infinity'))").alias(f"f{i}") for i, v in enumerate(value)],
+            *[F.expr(f"count_if(NOT abs({v}) < double('Infinity'))").alias(f"b{i}") for i, v in enumerate(value)]).first()
+        out |= {c: (row[f"f{i}"], row[f"b{i}"]) for i, c in enumerate(some)}
+    return out
 
 
 def usable_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -98,9 +103,9 @@ def build_pipeline(columns: dict[str, list[str]], fusion: bool = True, classifie
     stages = [Imputer(inputCols=all_cols, outputCols=[imputed[c] for c in all_cols], strategy="mean")]
     if fusion:
         scaled = []
+        stages += [VectorAssembler(inputCols=[imputed[c] for c in cols], outputCol=f"{m}_vec", handleInvalid="keep")
+                   for m, cols in columns.items()]        # all that read feature columns come first (``wide_stages``)
         for m, cols in columns.items():
-            stages.append(VectorAssembler(inputCols=[imputed[c] for c in cols], outputCol=f"{m}_vec",
-                                          handleInvalid="keep"))
             stages.append(StandardScaler(inputCol=f"{m}_vec", outputCol=f"{m}_scaled", withMean=True, withStd=True))
             stages.append(PCA(k=min(FUSED_COMPONENTS, len(cols)), inputCol=f"{m}_scaled", outputCol=f"{m}_pca"))
             stages.append(VectorAssembler(inputCols=[f"{m}_pca"], outputCol=f"{m}_lead"))     # names what Interaction multiplies
@@ -134,6 +139,36 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     return pipeline.fit(train)
 
 
+def wide_stages(stages: Sequence) -> int:
+    """How many leading stages read feature columns: the imputer and the assemblers of what it filled."""
+    if not stages or not isinstance(stages[0], (Imputer, ImputerModel)):
+        return 0
+    filled, n = set(stages[0].getOutputCols()), 1
+    while n < len(stages) and isinstance(stages[n], VectorAssembler) and filled.issuperset(stages[n].getInputCols()):
+        n += 1
+    return n
+
+
+def assemble(stages: Sequence, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` of ``df`` and the vectors that the ``wide_stages`` of a model make of the others."""
+    vectors = [st.getOutputCol() for st in stages[1:]]
+    return PipelineModel(list(stages)).transform(df).select(*keep, *vectors)
+
+
+def fit_assembled(pipeline: Pipeline, rows: DataFrame, train: Column, keep: Sequence[str]) -> tuple[PipelineModel, PipelineModel, DataFrame]:
+    """Fit on the rows of ``rows`` where ``train`` holds: (model, its stages after the vectors, the written vectors of all rows).
+
+    The model is that of ``Pipeline.fit``.  Every scaler, component and head here reads a written table of the columns
+    ``keep`` and a few vectors, while there each of their plans fills and assembles every feature column again.
+    """
+    stages = pipeline.getStages()
+    n = wide_stages(stages)
+    wide = Pipeline(stages=stages[:n]).fit(rows.where(train)).stages
+    vectors = materialize(assemble(wide, rows, keep))
+    rest = Pipeline(stages=stages[n:]).fit(vectors.where(train))
+    return PipelineModel([*wide, *rest.stages]), rest, vectors
+
+
 def declared_model(class_weights: dict[str, float], class_intercept: float, reg_weights: dict[str, float],
                    reg_intercept: float) -> PipelineModel:
     """A two-headed linear model with given coefficients on raw columns; a missing or non-finite value counts as 0.
@@ -148,9 +183,14 @@ def declared_model(class_weights: dict[str, float], class_intercept: float, reg_
     return PipelineModel([SQLTransformer(statement=f"SELECT *, CAST(IF(p_class1 > 0.5, 1, 0) AS DOUBLE) AS pred_class FROM ({inner})")])
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """M7: ``p_class1`` (probability of class 1), ``pred_class`` (int), ``pred_time`` when present."""
-    out = model.transform(df)
+def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """M7: ``p_class1`` (probability of class 1), ``pred_class`` (int), ``pred_time`` when present.
+
+    ``keep``: the columns of ``df`` that the caller needs beside them (default all); the feature columns then stay out of
+    the plans of the stages after the vectors.
+    """
+    n = wide_stages(model.stages) if keep is not None else 0
+    out = PipelineModel(model.stages[n:]).transform(assemble(model.stages[:n], df, keep)) if n else model.transform(df)
     if "p_class1" not in out.columns:
         out = out.withColumn("p_class1", vector_to_array("cls_probability").getItem(1))
     return out.withColumn("pred_class", F.col("pred_class").cast("int"))

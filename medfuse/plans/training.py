@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ from medfuse.functions.tsfeatures import FeatureSettings
 from medfuse.operators import metrics as Mx
 from medfuse.operators.clean import fit_means, numeric_columns
 from medfuse.operators.joins import leave_one_out
-from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, modality_layout,
-                                      observed, predict)
+from medfuse.operators.models import (CLASS_LABEL, REG_LABEL, build_pipeline, feature_names, fit_assembled,
+                                      modality_layout, observed, predict)
 from medfuse.operators.rounds import RoundSettings, fit_rounds, predict_rounds
 from medfuse.operators.split import assign_split, is_test
 from medfuse.plans.features import ALL_FEATURES, build_feature_matrix
@@ -51,6 +51,7 @@ class Trained:
     predictions: DataFrame
     metrics: DataFrame         # (scope, metric, value)
     columns: dict[str, list[str]]
+    background: DataFrame      # the model's output for the train split
 
 
 def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSettings = ALL_FEATURES,
@@ -87,22 +88,24 @@ def evaluate_predictions(pred: DataFrame, scope: str, with_regression: bool = Tr
 def train_multimodal(prep: Prepared, fusion: bool = True, classifier: str = "logistic",
                      regressor: str | None = "linear", scope: str = "multimodal") -> Trained:
     """M4-M7: fit both heads on the train split, score and evaluate the test split."""
-    val = None
-    train = prep.train
-    if classifier == "gbt" or regressor == "gbt":
-        train = train.withColumn("is_validation", F.col("split") == "validation")
-        val = "is_validation"
-    model = build_pipeline(prep.columns, fusion, classifier, regressor, validation_col=val).fit(train)
-    pred = predict(model, prep.test)
-    return Trained(model, pred, evaluate_predictions(pred, scope, regressor is not None), prep.columns)
+    val = "is_validation" if classifier == "gbt" or regressor == "gbt" else None
+    model, pred, background = _fit_and_score(prep, build_pipeline(prep.columns, fusion, classifier, regressor, validation_col=val))
+    return Trained(model, pred, evaluate_predictions(pred, scope, regressor is not None), prep.columns, background)
+
+
+def _fit_and_score(prep: Prepared, pipeline: Pipeline) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """(model, predictions of the test split, output for the train split), by one written table of key, labels and vectors."""
+    rows = prep.matrix.withColumn("is_validation", F.col("split") == "validation")
+    is_train = F.col("split") != "test"
+    model, rest, vectors = fit_assembled(pipeline, rows, is_train, [KEY, *LABEL_COLS, "split", "is_validation"])
+    return model, predict(rest, vectors.where(F.col("split") == "test")), rest.transform(vectors.where(is_train))
 
 
 def train_baseline(prep: Prepared, modality: str = "ehr", classifier: str = "logistic") -> Trained:
     """M3: class head on one modality only."""
     cols = {modality: prep.columns.get(modality, [])}
-    model = build_pipeline(cols, fusion=False, classifier=classifier, regressor=None).fit(prep.train)
-    pred = predict(model, prep.test)
-    return Trained(model, pred, evaluate_predictions(pred, f"baseline_{modality}", False), cols)
+    model, pred, background = _fit_and_score(prep, build_pipeline(cols, fusion=False, classifier=classifier, regressor=None))
+    return Trained(model, pred, evaluate_predictions(pred, f"baseline_{modality}", False), cols, background)
 
 
 def ablation_study(prep: Prepared, classifier: str = "logistic", regressor: str | None = "linear",
@@ -124,8 +127,8 @@ def ablation_study(prep: Prepared, classifier: str = "logistic", regressor: str
         name, drop = scope
         left = set(leave_one_out(prep.columns, drop))
         cols = {m: cs for m, cs in prep.columns.items() if left.issuperset(cs)}
-        model = build_pipeline(cols, True, classifier, regressor).fit(prep.train)
-        return evaluate_predictions(predict(model, prep.test), name, regressor is not None)
+        _, pred, _ = _fit_and_score(prep, build_pipeline(cols, True, classifier, regressor))
+        return evaluate_predictions(pred, name, regressor is not None)
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(scopes)))) as pool:
         parts = list(pool.map(one, scopes))
