@@ -25,6 +25,7 @@ from medfuse.functions.exprs import finite_or_null
 from medfuse.functions.tsfeatures import FeatureSettings, extract_features
 from medfuse.operators.models import predict
 from medfuse.plans.features import ALL_FEATURES
+from medfuse.session import materialize
 from medfuse.sources import records as R
 from medfuse.sources.fixtures import KEY
 
@@ -87,7 +88,9 @@ def score_records(raw: DataFrame, model: PipelineModel, columns: dict[str, list[
             "_errors", F.when(F.coalesce(some, F.lit(False)), F.col("_errors")).otherwise(
                 F.concat("_errors", F.array(F.lit("wearables_data: no reading of " + ", ".join(signals))))))
         known = known.drop("_known").unionByName(alone.drop("_of").withColumn("features_from", F.lit("record")))
-    return R.result_records(predict(model, finite_or_null(known, [c for cs in columns.values() for c in cs]))), quarantine
+    # the joins and the cleaning of all feature columns are one plan, the model is another
+    rows = materialize(finite_or_null(known.drop("_reading", "_key", "_known"), [c for cs in columns.values() for c in cs]))
+    return R.result_records(predict(model, rows, [KEY, "features_from", "_errors"])), quarantine
 
 
 def records_from_modalities(mods: dict[str, DataFrame], keys: DataFrame | None = None,
