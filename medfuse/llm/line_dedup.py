@@ -12,7 +12,9 @@ each text's pairs.  Sketches that agree on all pairs of one of ``CLASSES`` hash
 pairs in common are linked; the groups are the connected components.  Copies without a recurring line are thus left whole
 for the near-duplicate operators, which keep one of each group.
 
-Only hashes are shuffled until the very end: the texts move once, to meet the numbers of their dropped lines.
+Only hashes are shuffled until the very end: the texts move once, to meet the numbers of their dropped lines.  Joins are by
+sort-merge at every size: both sides grow with the corpus, and a plan that broadcasts one of them while it is small would
+shuffle more for each row of a larger corpus.
 """
 
 from __future__ import annotations
@@ -56,26 +58,26 @@ def _doc(id_col: str) -> Column:
 
 def copy_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, label): the copy group (its smallest document) of each document that is a copy or near copy of another one."""
-    blank = reduce(lambda text, c: F.replace(text, F.lit(c), F.lit(" ")), "\n\t\r\f\x0b", F.col(text_col))
+    text = F.col(text_col)
+    spaced = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(" ")), "\n\t\r\f\x0b", text)
+    blank = F.when(text.rlike(r"[\t\r\f\x0B]"), spaced).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
     pairs = F.zip_with("t", F.expr("slice(t, 2, size(t))"), lambda a, b: F.hash(a, b)).alias("pairs")
-    # a long text sorts only hashes below a bound that four times as many as needed are expected under; if there are too
-    # few after all (many repeats), it sorts them all
-    bound = F.expr(f"CAST(4294967295L * {4 * SKETCH} DIV greatest(size(pairs), {4 * SKETCH}) - 2147483648L AS INT)").alias("bound")
-    low = F.array_distinct(F.filter("pairs", lambda x: x <= F.col("bound"))).alias("low")
-    lowest = F.sort_array(F.when(F.size("low") >= SKETCH, F.col("low")).otherwise(F.array_distinct("pairs")))
-    prints = cut(docs.where(F.trim(blank) != "").select(_doc(id_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"),
-                                                        F.split(blank, " ").alias("t")).select("doc", "rid", pairs).select("doc", "rid", "pairs", bound)
-                 .select("doc", "rid", "pairs", low).select("doc", "rid", F.slice(lowest, 1, SKETCH).alias("sketch")))
-    classes = [F.expr(f"filter(sketch, x -> pmod(x, {CLASSES}) = {k})") for k in range(CLASSES)]
-    keys = prints.select("doc", "rid", F.explode(F.array(*[
-        F.when(F.size(c) > 0, F.xxhash64(F.lit(k), c)) for k, c in enumerate(classes)])).alias("key")).where("key IS NOT NULL")
+    # plain integers are made distinct and sorted by compiled code; a filter that lets fewer of them through is interpreted and dearer
+    sketch = F.slice(F.sort_array(F.array_distinct("pairs")), 1, SKETCH).alias("sketch")
+    classes = [F.expr(f"filter(sketch, x -> pmod(x, {CLASSES}) = {k})").alias(f"c{k}") for k in range(CLASSES)]
+    class_keys = F.array(*[F.when(F.size(f"c{k}") > 0, F.xxhash64(F.lit(k), f"c{k}")) for k in range(CLASSES)]).alias("keys")
+    # trimmed by its left end, a text is tested for words without being rewritten a second time; keys are written, as they are read twice
+    prints = cut(docs.where(F.ltrim(text, F.lit(" \n\t\r\f\x0b")) != "").select(_doc(id_col), F.xxhash64(F.col(id_col), text).alias("rid"),
+                                                                               F.split(blank, " ").alias("t"))
+                 .select("doc", "rid", pairs).select("doc", "rid", sketch).select("*", *classes).select("doc", "rid", "sketch", class_keys))
+    keys = prints.select("doc", "rid", F.explode("keys").alias("key")).where("key IS NOT NULL")
     # every text of a class is compared with the first one alone, so a large group costs no more than its rows
     firsts = cut(keys.groupBy("key").agg(F.min(F.struct("doc", "rid")).alias("head"), F.max("doc").alias("hi"))
                  .where("head.doc <> hi").selectExpr("key", "head.doc AS first", "head.rid AS first_rid"))
-    met = cut(keys.join(firsts, "key").where("doc <> first").select("rid", "first", "first_rid").distinct())
-    heads = cut(prints.join(firsts.select(F.col("first_rid").alias("rid")).distinct(), "rid", "left_semi")
+    met = cut(keys.join(firsts.hint("merge"), "key").where("doc <> first").select("rid", "first", "first_rid").distinct())
+    heads = cut(prints.join(firsts.select(F.col("first_rid").alias("rid")).distinct().hint("merge"), "rid", "left_semi")
                 .groupBy(F.col("rid").alias("first_rid")).agg(F.first("sketch").alias("other")))
-    links = cut(prints.join(met, "rid").join(heads, "first_rid").where(
+    links = cut(prints.join(met.hint("merge"), "rid").join(heads.hint("merge"), "first_rid").where(
         F.size(F.array_intersect("sketch", "other")) >= COPY * F.size(F.array_union("sketch", "other"))).select("doc", "first").distinct())
     out = components(links, "doc", "first")
     for old in (prints, firsts, met, heads, links):
@@ -110,9 +112,10 @@ def generalised(lines: DataFrame, depth: int, fields: int, similarity: float) ->
                   .where("lo <> hi").select("leaf"))
     # the fields in use come first, and their number follows from the leaf's token count
     used = (f"IF(n <= {depth + fields}, n - {depth}, CAST(ceil((n - {depth}) / ceil((n - {depth}) / {fields})) AS INT))")
-    wordings = cut(lines.join(several, "leaf").groupBy("leaf", "wording")
-                   .agg(F.max("n").alias("n"), *[F.max(c).alias(c) for c in names])
-                   .select("leaf", F.xxhash64("leaf", "wording").alias("node"), F.expr(used).alias("used"), *names))
+    # grouped by node, not by leaf: a shuffle follows the join, so that Spark may split a leaf with many lines
+    wordings = cut(lines.join(several.hint("merge"), "leaf").groupBy(F.xxhash64("leaf", "wording").alias("node"))
+                   .agg(F.max("leaf").alias("leaf"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in names])
+                   .select("leaf", "node", F.expr(used).alias("used"), *names))
     subsets = "CASE used "
     for u in range(1, fields + 1):
         least = max(1, math.ceil(similarity * u - 1e-9))
@@ -120,7 +123,7 @@ def generalised(lines: DataFrame, depth: int, fields: int, similarity: float) ->
         subsets += f"WHEN {u} THEN array({keys}) "
     keyed = wordings.select("node", F.explode(F.expr(subsets + "END")).alias("key"))
     firsts = cut(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("hi")).where("first <> hi").select("key", "first"))
-    links = cut(keyed.join(firsts, "key").where("node <> first").select("node", "first").distinct())
+    links = cut(keyed.join(firsts.hint("merge"), "key").where("node <> first").select("node", "first").distinct())
     out = components(links, "node", "first")
     for old in (several, wordings, firsts, links):
         discard(old)
@@ -134,18 +137,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = cut(tree_lines(docs, id_col, text_col, depth, fields))
     templates = generalised(lines, depth, fields, similarity)
     node = F.xxhash64("leaf", "wording")
-    marked = cut(lines.select("doc", "rid", "no", node.alias("own")).join(templates, F.col("own") == templates["node"], "left").select(
+    marked = cut(lines.select("doc", "rid", "no", node.alias("own")).join(templates.hint("merge"), F.col("own") == templates["node"], "left").select(
         "doc", "rid", "no", F.coalesce("label", "own").alias("template")))
     discard(lines)
     several = marked.groupBy("template").agg(F.min("doc").alias("first"), F.max("doc").alias("hi")).where("first <> hi")
-    shared = cut(marked.select("template", "doc").join(several.select("template", "first"), "template").distinct())
+    shared = cut(marked.select("template", "doc").join(several.select("template", "first").hint("merge"), "template").distinct())
     group = copy_groups(docs, id_col, text_col)
     # a copy group counts once for a template
-    groups = (shared.join(group, shared["doc"] == group["node"], "left")
+    groups = (shared.join(group.hint("merge"), shared["doc"] == group["node"], "left")
               .groupBy("template", F.coalesce("label", "doc").alias("group")).agg(F.min("first").alias("first")))
     recurring = cut(groups.groupBy("template").agg(F.count(F.lit(1)).alias("groups"), F.min("first").alias("first"))
                     .where(F.col("groups") >= min_docs).select("template", "first"))
-    out = cut(marked.join(recurring, "template").where(F.col("doc") != F.col("first"))
+    out = cut(marked.join(recurring.hint("merge"), "template").where(F.col("doc") != F.col("first"))
               .groupBy("rid", "no").agg(F.lit(1).alias("one"))
               .groupBy("rid").agg(F.sort_array(F.collect_list("no")).alias("nos"))
               .select("rid", F.size("nos").alias("n_gone"), F.expr(

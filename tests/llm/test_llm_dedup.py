@@ -230,6 +230,16 @@ def test_line_dedup_a_shared_block_makes_no_copies(spark):
     assert got == {0: rows[0][1], **{i: "\n".join(rows[i][1].split("\n")[10:]) for i in (1, 2)}}
 
 
+def test_line_dedup_plans_alike_at_every_size(spark, monkeypatch):
+    """No step broadcasts a table that grows with the corpus, however small it is here, and the sketches are taken apart once."""
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    docs = spark.createDataFrame(line_rows() + rule_rows(), "doc_id bigint, text string")
+    assert line_dedup.drop_recurring(docs).count() == docs.count()
+    assert sum("SortMergeJoin" in p for p in plans) >= 8 and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert sum("filter(sketch" in p for p in plans) == 1
+
+
 def test_line_dedup_awkward_columns_and_long_text(spark):
     assert line_dedup.drop_recurring(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     long = "\n".join(f"line {w} of this very long text" for w in "abcdefghij" * 3000)
