@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from medfuse.functions.exprs import finite_or_null
 from medfuse.functions.tsfeatures import FeatureSettings, extract_features
 from medfuse.operators.clean import add_prefix, ensure_column, impute_mean
 from medfuse.operators.split import is_test
@@ -31,7 +32,10 @@ def impute_modalities(mods: dict[str, DataFrame], fit_filter: Column | None = No
 def build_feature_matrix(mods: dict[str, DataFrame], settings: FeatureSettings = ALL_FEATURES,
                          fit_filter: Column | None = None, time_col: str = "time") -> DataFrame:
     imp = impute_modalities(mods, fit_filter)
-    ts = materialize(extract_features(imp["wearables"], KEY, time_col, settings=settings))    # the joins below plan on a table
+    ts = extract_features(imp["wearables"], KEY, time_col, settings=settings)
+    # an infinite sample entropy (pairs of which none goes on) has no place in the matrix
+    ts = finite_or_null(ts, [c for c in ts.columns if c.endswith("__sample_entropy")])
+    ts = materialize(ts)    # the joins below plan on a table
     patient = (imp["ehr"]
                .join(add_prefix(imp["imaging"], "imaging"), KEY)
                .join(ts, KEY)
