@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, Imputer, ImputerModel, Interaction, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -136,7 +136,24 @@ def feature_names(columns: dict[str, list[str]], fusion: bool = False) -> list[s
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
+    """``Pipeline.fit`` whose heads learn from the rows that have their label.
+
+    A patient may have one label and not the other (no event yet), and Spark's heads raise on a NULL or NaN label.  All
+    other stages learn from every row.
+    """
+    fitted, stages = [], pipeline.getStages()
+    last = max((i for i, st in enumerate(stages) if isinstance(st, Estimator)), default=-1)
+    for i, st in enumerate(stages):
+        if isinstance(st, Estimator):
+            st = st.fit(train.where(has_label(st.getLabelCol())) if st.hasParam("labelCol") else train)
+        fitted.append(st)
+        if i < last:
+            train = st.transform(train)
+    return PipelineModel(fitted)
+
+
+def has_label(label: str) -> Column:
+    return F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))
 
 
 def wide_stages(stages: Sequence) -> int:
@@ -158,14 +175,14 @@ def assemble(stages: Sequence, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def fit_assembled(pipeline: Pipeline, rows: DataFrame, train: Column, keep: Sequence[str]) -> tuple[PipelineModel, PipelineModel, DataFrame]:
     """Fit on the rows of ``rows`` where ``train`` holds: (model, its stages after the vectors, the written vectors of all rows).
 
-    The model is that of ``Pipeline.fit``.  Every scaler, component and head here reads a written table of the columns
+    The model is that of ``fit``.  Every scaler, component and head here reads a written table of the columns
     ``keep`` and a few vectors, while there each of their plans fills and assembles every feature column again.
     """
     stages = pipeline.getStages()
     n = wide_stages(stages)
     wide = Pipeline(stages=stages[:n]).fit(rows.where(train)).stages
     vectors = materialize(assemble(wide, rows, keep))
-    rest = Pipeline(stages=stages[n:]).fit(vectors.where(train))
+    rest = fit(Pipeline(stages=stages[n:]), vectors.where(train))
     return PipelineModel([*wide, *rest.stages]), rest, vectors
 
 

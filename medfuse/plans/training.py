@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medfuse.functions.exprs import finite_or_null
+from medfuse.functions.exprs import finite_or_null, nan_to_null
 from medfuse.functions.tsfeatures import FeatureSettings
 from medfuse.operators import metrics as Mx
 from medfuse.operators.clean import fit_means, numeric_columns
@@ -81,7 +81,9 @@ def prepare(spark: SparkSession, mods: dict[str, DataFrame], settings: FeatureSe
 def evaluate_predictions(pred: DataFrame, scope: str, with_regression: bool = True) -> DataFrame:
     reg = dict(y=REG_LABEL, y_hat="pred_time") if with_regression and "pred_time" in pred.columns else {}
     # scores are written first: each metric part would else plan (and run) the whole model over every feature column again
-    scores = materialize(pred.select(CLASS_LABEL, "p_class1", *reg.values()))
+    # a time that is NaN is a missing one, which no regression metric counts
+    cols = [nan_to_null(c).alias(c) if c == REG_LABEL else c for c in (CLASS_LABEL, "p_class1", *reg.values())]
+    scores = materialize(pred.select(*cols))
     return Mx.evaluate(scores, CLASS_LABEL, "p_class1", **reg).select(F.lit(scope).alias("scope"), "metric", "value")
 
 

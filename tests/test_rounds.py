@@ -141,3 +141,28 @@ def test_values_are_counted_for_more_columns_than_one_aggregate_takes(spark, mon
     df = spark.createDataFrame([(1.0, float("nan"), None, 2), (float("inf"), 3.0, None, None), (2.0, 5.0, 1.0, 7)], "a double, b double, c double, d int")
     assert models.observed(df, ["a", "b", "c", "d"]) == {"a": (2, 1), "b": (2, 1), "c": (1, 0), "d": (2, 0)}
     assert models.observed(df, []) == {}
+
+
+def test_time_head_learns_from_patients_with_a_time(spark):
+    """A patient without an event (NULL or NaN time) still teaches the class head, is scored, and counts in no regression metric."""
+    from dataclasses import replace
+
+    from medfuse.plans import training as TR
+    prep = _wide_prep(spark)
+    time = F.when(F.col("Patient_ID") % 5 == 0, None).when(F.col("Patient_ID") % 5 == 1, float("nan")).otherwise(F.col("Time_To_Event"))
+    some = prep.matrix.withColumn("Time_To_Event", time)
+    gaps = replace(prep, matrix=some, train=some.where("split != 'test'"), test=some.where("split = 'test'"))
+    whole, part = (TR.train_multimodal(p, fusion=False) for p in (prep, gaps))
+    told = lambda tr: {r["Patient_ID"]: r for r in tr.predictions.select("Patient_ID", "p_class1", "pred_time").collect()}
+    assert told(part).keys() == told(whole).keys()
+    assert all(abs(told(part)[k]["p_class1"] - r["p_class1"]) < 1e-9 for k, r in told(whole).items())
+    assert all(np.isfinite(r["pred_time"]) for r in told(part).values())
+    assert part.background.count() == whole.background.count()
+    known = {r[0]: r[1] for r in prep.test.where("Patient_ID % 5 > 1").select("Patient_ID", "Time_To_Event").collect()}
+    mae = np.mean([abs(told(part)[k]["pred_time"] - y) for k, y in known.items()])
+    metrics = {r["metric"]: r["value"] for r in part.metrics.collect()}
+    assert known and abs(metrics["mae"] - mae) < 1e-9 and all(np.isfinite(v) for v in metrics.values())
+    stopped = replace(gaps, matrix=some.withColumn("split", F.expr("IF(split = 'train' AND Patient_ID % 3 = 0, 'validation', split)")))
+    gbt = TR.train_multimodal(stopped, fusion=False, classifier="gbt", regressor="gbt")
+    assert all(np.isfinite(r["value"]) for r in gbt.metrics.collect())
+    assert {r["metric"] for r in TR.ablation_study(gaps, parallelism=2).where("scope = 'All'").collect()} == set(metrics)
